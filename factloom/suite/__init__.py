@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ingest",)
+_MODULES = ("ingest", "stats", "catalogue")
 
 
 def load():
