@@ -12,6 +12,10 @@ from factloom.functions.numbers import half_even
 from factloom.schema import BUCKETS, FACTS, NATURAL_KEY, WINDOW_MODES
 
 
+FACT_RULE_NAMES = ("window_mode_domain", "bucket_domain", "quarter_domain") + tuple(
+    f"{f.name}_not_null" for f in FACTS.fields if not f.nullable)
+
+
 class GateError(RuntimeError):
     """A check that must hold does not."""
 
