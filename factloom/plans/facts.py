@@ -158,7 +158,10 @@ def build_facts(tables, measures: Iterable[str] = MEASURES,
         raise ValueError("unknown measure or level")
     rows = request_rows(tables.orders, tables.lineitem, measures, fys)
     entity = entity_dimension(tables.customer, tables.nation, tables.region)
-    named = _levels(rows, measures, levels).join(entity, "o_custkey").withColumn(
+    # Both sides grow with the data and the rows fan out right after this join, so
+    # it is a merge join: broadcasting either side would leave the fan-out with the
+    # few partitions of the other.
+    named = _levels(rows, measures, levels).join(entity.hint("merge"), "o_custkey").withColumn(
         "entity_key", F.col("o_custkey").cast("string"))
     ids = ["entity_key", "entity_name", "fy", "quarter", "window_mode", "portfolio"]
     facts = _finish(_long(named, ids, measures, buckets), derived=False)

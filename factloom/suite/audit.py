@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from factloom.functions.checked import computed_column
-from factloom.functions.hashing import content_digest, row_hash
+from factloom.functions.hashing import SLICES, content_digest, row_hash
 from factloom.functions.numbers import half_even
 from factloom.operators import quality as Q
 from factloom.plans import lineage as L
@@ -43,7 +43,7 @@ _EVENT_TEXT = {"event_id": "CAST(event_id AS VARCHAR)", "user_id": "CAST(user_id
 
 @query("content_digest", f"""
 SELECT event_type, count(*) AS row_count,
-       {digest('count(*)', [f'sum(h{i})' for i in range(4)])} AS content_digest
+       {digest('count(*)', [f'sum(h{i})' for i in range(SLICES)])} AS content_digest
 FROM (SELECT event_type, {slices('rh')}
       FROM (SELECT event_type, sha256({line(_EVENT_COLUMNS, _EVENT_TEXT)}) AS rh FROM events))
 GROUP BY event_type""")
@@ -54,7 +54,7 @@ def _(t):
 @query("facts_digest", f"""
 WITH {hashed_facts("window_mode = 'fy'")}
 SELECT fy, count(*) AS row_count,
-       {digest('count(*)', [f'sum(h{i})' for i in range(4)])} AS content_digest
+       {digest('count(*)', [f'sum(h{i})' for i in range(SLICES)])} AS content_digest
 FROM hashed GROUP BY fy""")
 def _(t):
     return content_digest(build_facts(t), HASH_COLUMNS, by=["fy"])
@@ -228,14 +228,14 @@ def _(t):
 @query("computed_column", """
 SELECT l_orderkey, l_linenumber, l_partkey,
        CASE WHEN l_discount <> 0 AND l_quantity <> 1 THEN round_even(
-         l_extendedprice * (1 - l_discount) / l_discount + pow(l_quantity, 2)
+         pow(l_extendedprice * (1 - l_discount), 0.5) / l_discount + l_quantity
          - (-l_tax) / (l_quantity - 1), 2) END AS value,
        CASE WHEN l_discount = 0 OR l_quantity = 1 THEN 'division by zero' END AS error
 FROM lineitem""")
 def _(t):
     def formula(x):
         net = x["l_extendedprice"] * (1 - x["l_discount"])
-        return net / x["l_discount"] + x["l_quantity"] ** 2 - (-x["l_tax"]) / (x["l_quantity"] - 1)
+        return net ** 0.5 / x["l_discount"] + x["l_quantity"] - (-x["l_tax"]) / (x["l_quantity"] - 1)
 
     return computed_column(t.lineitem, formula).select(
         "l_orderkey", "l_linenumber", "l_partkey", "value", "error")
@@ -255,12 +255,12 @@ def _(t):
 
 @query("write_snapshot", f"""
 WITH {hashed_facts("window_mode = 'fy' OR derived")},
-d AS (SELECT count(*) AS n, {digest('count(*)', [f'sum(h{i})' for i in range(4)])} AS content_digest
+d AS (SELECT count(*) AS n, {digest('count(*)', [f'sum(h{i})' for i in range(SLICES)])} AS content_digest
       FROM hashed)
 SELECT unnest([1, 2, 3]) AS attempt, unnest([1, 1, 2]::BIGINT[]) AS dataset_id,
        unnest([n, 0, (SELECT count(*) FROM hashed WHERE derived)]) AS inserted,
        unnest([content_digest, content_digest,
-               (SELECT {digest('count(*)', [f'sum(h{i})' for i in range(4)])}
+               (SELECT {digest('count(*)', [f'sum(h{i})' for i in range(SLICES)])}
                 FROM hashed WHERE derived)]) AS content_digest FROM d""")
 def _(t):
     """The same facts twice (the second adds nothing), then other facts."""

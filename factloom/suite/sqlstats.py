@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.functions.hashing import SLICES
 from factloom.schema import HASH_COLUMNS, MEASURES
 from factloom.suite.sql import FACTS
 
@@ -23,7 +24,7 @@ def line(columns=HASH_COLUMNS, text=TEXT):
 
 def slices(hashed):
     return ", ".join(
-        f"CAST('0x' || substr({hashed}, {1 + i * 15}, 15) AS BIGINT) AS h{i}" for i in range(4))
+        f"CAST('0x' || substr({hashed}, {1 + i * 15}, 15) AS BIGINT) AS h{i}" for i in range(SLICES))
 
 
 def digest(count, sums):
@@ -35,7 +36,7 @@ def digest(count, sums):
 
 def digest_where(condition):
     count = f"count(*) FILTER ({condition})"
-    return count, digest(count, [f"sum(h{i}) FILTER ({condition})" for i in range(4)])
+    return count, digest(count, [f"sum(h{i}) FILTER ({condition})" for i in range(SLICES)])
 
 
 def hashed_facts(where="true", cte="hashed"):

@@ -68,8 +68,9 @@ def compare(spark, con, path, name, run, sql):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     got, want = normalise(df.columns, rows), normalise(columns, expected)
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        in_got, in_want = set(got), set(want)
+        only_got = [r for r in got if r not in in_want][:3]
+        only_want = [r for r in want if r not in in_got][:3]
         return False, (f"{sorted(columns)}\n rows {len(got)} vs {len(want)}\n spark only: {only_got}"
                        f"\n sql only:   {only_want}")
     return True, f"{len(rows)} rows in {spent:.1f}s (sql {duck_spent:.1f}s)"
