@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 
 class Checked:
-    """A value column paired with an error column; combine with + - * / **."""
+    """A value column with the checks it must pass; combine with + - * / **.
 
-    def __init__(self, value: Column, error: Column | None = None):
+    The value is plain column arithmetic.  The checks are a list, first failure
+    first, so the expression grows with the formula and not with its nesting.
+    """
+
+    def __init__(self, value: Column, checks: tuple[Column, ...] = ()):
         self.value = value.cast("double")
-        self.error = F.lit(None).cast("string") if error is None else error
+        self.checks = checks
+
+    @property
+    def error(self) -> Column:
+        value = self.value
+        range_check = F.when(F.isnan(value) | F.abs(value).isin(float("inf")),
+                             "result out of range")
+        return F.coalesce(*self.checks, range_check)
 
     @staticmethod
     def of(term) -> "Checked":
@@ -23,13 +34,11 @@ class Checked:
 
     def _combine(self, other, make, check=None) -> "Checked":
         other = Checked.of(other)
+        checks = self.checks + other.checks
         value = make(self.value, other.value)
-        error = F.coalesce(self.error, other.error)
         if check is not None:
-            error = F.coalesce(error, check(self.value, other.value))
-        bad = F.isnan(value) | F.abs(value).isin(float("inf"))
-        error = F.coalesce(error, F.when(bad, "result out of range"))
-        return Checked(F.when(error.isNull(), value), error)
+            checks += (check(self.value, other.value, value),)
+        return Checked(value, checks)
 
     def __add__(self, other):
         return self._combine(other, lambda a, b: a + b)
@@ -51,7 +60,7 @@ class Checked:
 
     def __truediv__(self, other):
         return self._combine(
-            other, F.try_divide, lambda a, b: F.when(b == 0, "division by zero"))
+            other, F.try_divide, lambda a, b, _: F.when(b == 0, "division by zero"))
 
     def __rtruediv__(self, other):
         return Checked.of(other) / self
@@ -59,13 +68,14 @@ class Checked:
     def __pow__(self, other):
         return self._combine(
             other, F.pow,
-            lambda a, b: F.when((a == 0) & (b < 0), "division by zero"))
+            lambda a, b, power: F.when((a == 0) & (b < 0), "division by zero").when(
+                F.isnan(power) | F.abs(power).isin(float("inf")), "result out of range"))
 
     def __rpow__(self, other):
         return Checked.of(other) ** self
 
     def __neg__(self):
-        return Checked(-self.value, self.error)
+        return Checked(-self.value, self.checks)
 
 
 class Terms:
@@ -76,9 +86,9 @@ class Terms:
 
     def __getitem__(self, name: str) -> Checked:
         if name not in self._columns:
-            return Checked(F.lit(None), F.lit(f"unknown column {name}"))
+            return Checked(F.lit(None), (F.lit(f"unknown column {name}"),))
         column = F.col(name)
-        return Checked(column, F.when(column.isNull(), F.lit(f"no value in {name}")))
+        return Checked(column, (F.when(column.isNull(), F.lit(f"no value in {name}")),))
 
 
 def computed_column(df: DataFrame, formula, places: int = 2,

@@ -12,12 +12,15 @@ def fiscal_start_year(date: Column) -> Column:
     return F.year(date) - F.when(F.month(date) < 7, 1).otherwise(0)
 
 
-def fiscal_year(date: Column) -> Column:
-    """Label of the fiscal year of a date, e.g. ``1999-00``."""
-    start = fiscal_start_year(date)
+def start_label(start: Column) -> Column:
+    """Label of the fiscal year that starts in a calendar year, e.g. ``1999-00``."""
     return F.format_string("%d-%02d", start, F.pmod(start + 1, F.lit(100)))
 
 
+def fiscal_year(date: Column) -> Column:
+    return start_label(fiscal_start_year(date))
+
+
 def fiscal_quarter(date: Column) -> Column:
     return F.floor(F.pmod(F.month(date) + 5, F.lit(12)) / 3).cast("int") + 1
 

@@ -12,7 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.periods import in_fiscal_years, with_fiscal_period
+from factloom.functions.periods import (
+    fiscal_quarter, fiscal_start_year, in_fiscal_years, start_label)
 from factloom.schema import FACT_COLUMNS, MEASURE_GROUP, MEASURES, TOTAL_KEY, TOTAL_NAME, WINDOW_MODES
 
 URGENT = ("1-URGENT", "2-HIGH")
@@ -42,19 +43,23 @@ def request_rows(orders: DataFrame, lineitem: DataFrame, measures: Iterable[str]
                  fys: Iterable[str] | None = None) -> DataFrame:
     """One row per order with its period, its bucket and one flag per measure.
 
+    The year stays its starting number here; labels are made after aggregation.
+
     ``lineitem`` is only touched when timeliness is asked for: its earliest ship
     date per order meets the orders on the shared order key, one shuffle a side.
     """
     if fys is not None:
         orders = orders.filter(in_fiscal_years(F.col("o_orderdate"), fys))
-    rows = with_fiscal_period(orders, "o_orderdate").withColumn(
-        "personal", F.col("o_orderpriority").isin(*URGENT))
+    date = F.col("o_orderdate")
+    rows = orders.withColumns({
+        "start_year": fiscal_start_year(date), "quarter": fiscal_quarter(date),
+        "personal": F.col("o_orderpriority").isin(*URGENT)})
     if "within_statutory" in measures:
         shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             F.min("l_shipdate").alias("first_ship"))
         rows = rows.join(shipped, "o_orderkey", "left")
     flags = _flags()
-    return rows.select("o_custkey", "fy", "quarter", "personal",
+    return rows.select("o_custkey", "start_year", "quarter", "personal",
                        *[flags[m].alias(m) for m in measures])
 
 
@@ -79,17 +84,17 @@ def _levels(rows: DataFrame, measures: list[str], levels: set[str]) -> DataFrame
     """
     names = _counter_names(measures)
     if levels == {"fy"}:
-        annual = rows.groupBy("o_custkey", "fy").agg(*_counters(measures))
+        annual = rows.groupBy("o_custkey", "start_year").agg(*_counters(measures))
         return annual.withColumns(
             {"quarter": F.lit(None).cast("int"), "window_mode": F.lit("fy")})
 
-    quarterly = rows.groupBy("o_custkey", "fy", "quarter").agg(*_counters(measures))
+    quarterly = rows.groupBy("o_custkey", "start_year", "quarter").agg(*_counters(measures))
     if levels == {"single_quarter"}:
         return quarterly.withColumn("window_mode", F.lit("single_quarter"))
 
     # At most four rows per (entity, year): running and whole-year sums share
     # one exchange on that key.
-    year = Window.partitionBy("o_custkey", "fy")
+    year = Window.partitionBy("o_custkey", "start_year")
     running = year.orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0)
     presence = ["n_personal", "n_other"]
     added = {"_last": F.col("quarter") == F.max("quarter").over(year)}
@@ -112,7 +117,7 @@ def _levels(rows: DataFrame, measures: list[str], levels: set[str]) -> DataFrame
     }
     chosen = F.filter(F.array(*[parts[m] for m in WINDOW_MODES if m in levels]),
                       lambda x: x.isNotNull())
-    return wide.select("o_custkey", "fy", F.inline(chosen))
+    return wide.select("o_custkey", "start_year", F.inline(chosen))
 
 
 def _long(wide: DataFrame, ids: list[str], measures: list[str], buckets) -> DataFrame:
@@ -161,8 +166,9 @@ def build_facts(tables, measures: Iterable[str] = MEASURES,
     # Both sides grow with the data and the rows fan out right after this join, so
     # it is a merge join: broadcasting either side would leave the fan-out with the
     # few partitions of the other.
-    named = _levels(rows, measures, levels).join(entity.hint("merge"), "o_custkey").withColumn(
-        "entity_key", F.col("o_custkey").cast("string"))
+    named = _levels(rows, measures, levels).join(entity.hint("merge"), "o_custkey").withColumns({
+        "entity_key": F.col("o_custkey").cast("string"),
+        "fy": start_label(F.col("start_year"))})
     ids = ["entity_key", "entity_name", "fy", "quarter", "window_mode", "portfolio"]
     facts = _finish(_long(named, ids, measures, buckets), derived=False)
     if headline:
@@ -175,7 +181,8 @@ def headline_facts(tables, measures: Iterable[str] = MEASURES,
     """Single-quarter totals straight from the orders, as the entity ``Total``."""
     measures = list(measures)
     rows = request_rows(tables.orders, tables.lineitem, measures, fys)
-    wide = rows.groupBy("fy", "quarter").agg(*_counters(measures)).withColumns({
+    wide = rows.groupBy("start_year", "quarter").agg(*_counters(measures)).withColumns({
+        "fy": start_label(F.col("start_year")),
         "entity_key": F.lit(TOTAL_KEY),
         "entity_name": F.lit(TOTAL_NAME),
         "window_mode": F.lit("single_quarter"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ingest", "stats", "catalogue", "sheets", "audit", "ledger")
+_MODULES = ("ingest", "stats", "catalogue", "sheets", "audit", "ledger", "streams")
 
 
 def load():

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import number_label, parse_number
-from factloom.functions.periods import fiscal_label, fiscal_quarter, with_fiscal_period
+from factloom.functions.periods import (
+    fiscal_label, fiscal_quarter, start_label, with_fiscal_period)
 from factloom.operators import melt as M
 from factloom.plans.facts import (
     build_facts, entity_dimension, headline_facts, request_rows)
@@ -58,7 +59,8 @@ def _sheet_counts(t, measures):
         cells += [F.count_if(F.col(m) & F.col("personal")).alias(f"{m}_p"),
                   F.count_if(F.col(m) & ~F.col("personal")).alias(f"{m}_o"),
                   F.count_if(F.col(m)).alias(f"{m}_t")]
-    return rows.groupBy("o_custkey", "fy").agg(*cells).join(entity, "o_custkey")
+    counts = rows.groupBy("o_custkey", "start_year").agg(*cells)
+    return counts.join(entity, "o_custkey").withColumn("fy", start_label(F.col("start_year")))
 
 
 def positional_sheet(t):
