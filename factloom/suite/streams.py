@@ -34,8 +34,7 @@ SELECT event_id, user_id, window_start, n_in_window, n_in_window <= {LIMIT} AS a
        CASE WHEN n_in_window <= {LIMIT} THEN 0
             ELSE (window_start + {WINDOW}000000 - t) / 1e6 END AS retry_after FROM fold""")
 def _(t):
-    flags = quota_flags(t.events, "user_id", epoch_micros(F.col("ts")), "event_id", LIMIT, WINDOW,
-                        windows_per_chunk=4)
+    flags = quota_flags(t.events, "user_id", epoch_micros(F.col("ts")), "event_id", LIMIT, WINDOW)
     return flags.drop("ts", "event_type", "value", "props")
 
 
