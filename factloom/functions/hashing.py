@@ -48,9 +48,12 @@ def hash_slices(hashed: Column) -> list[Column]:
     ]
 
 
-def with_slices(df: DataFrame, columns: Iterable[str] = HASH_COLUMNS) -> DataFrame:
-    """Add ``h0``, ``h1``, the slices whose sums make the digest."""
-    hashed = df.withColumn("_hash", row_hash(df, columns))
+def with_slices(df: DataFrame, columns: Iterable[str] = HASH_COLUMNS,
+                where: Column | None = None) -> DataFrame:
+    """Add ``h0``, ``h1``, the slices whose sums make the digest; NULL (and no
+    hashing) for rows outside ``where``."""
+    hashed = row_hash(df, columns)
+    hashed = df.withColumn("_hash", hashed if where is None else F.when(where, hashed))
     parts = {f"h{i}": part for i, part in enumerate(hash_slices(F.col("_hash")))}
     return hashed.withColumns(parts).drop("_hash")
 

@@ -30,13 +30,12 @@ from factloom.sources.shared import settled
 def _entry_map(window: int, chunk: int):
     """(key, chunk) instants, own and of the next chunk's first window, to entries."""
 
-    def run(key, pdf):
+    def run(key, table):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        name = key[1]
-        start = name * chunk
-        t = np.unique(pdf["t"].to_numpy())
+        start = key[1].as_py() * chunk
+        t = np.unique(table["t"].to_numpy())
         own = int(np.searchsorted(t, start + chunk))
         nxt = np.append(np.searchsorted(t, t + window), len(t))
         jump = np.arange(len(t) + 1)
@@ -51,9 +50,10 @@ def _entry_map(window: int, chunk: int):
             entries = np.append(entries, late)
         leads = jump[entries]
         known = leads < len(t)
-        dst = pd.array(t[np.minimum(leads, len(t) - 1)], dtype="Int64")
-        dst[~known] = pd.NA
-        return pd.DataFrame({"k": key[0], "chunk": name, "src": t[entries], "dst": dst})
+        dst = pa.array(t[np.minimum(leads, len(t) - 1)], mask=~known)
+        n = len(entries)
+        return pa.table({"k": pa.repeat(key[0], n), "chunk": pa.repeat(key[1], n),
+                         "src": pa.array(t[entries]), "dst": dst})
 
     return run
 
@@ -61,20 +61,22 @@ def _entry_map(window: int, chunk: int):
 def _window_starts(window: int):
     """Window starts of one (key, chunk) from its entry; rows without an entry start none."""
 
-    def run(key, pdf):
+    def run(key, table):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        entry = pdf["entry"].max()
+        entry = pc.max(table["entry"]).as_py()
         starts = []
-        if not pd.isna(entry):
-            t = np.sort(pdf["t"].to_numpy())
-            at = int(np.searchsorted(t, int(entry)))
+        if entry is not None:
+            t = np.sort(table["t"].to_numpy())
+            at = int(np.searchsorted(t, entry))
             while at < len(t):
                 starts.append(int(t[at]))
                 at = int(np.searchsorted(t, t[at] + window))
-        return pd.DataFrame({"k": key[0], "chunk": key[1],
-                             "start": pd.Series(starts, dtype="int64")})
+        n = len(starts)
+        return pa.table({"k": pa.repeat(key[0], n), "chunk": pa.repeat(key[1], n),
+                         "start": pa.array(starts, pa.int64())})
 
     return run
 
@@ -117,6 +119,8 @@ def window_starts(events: DataFrame, key: str, micros: Column, window: int,
         })
     chunks = settled(chunks, "quota-chunks")
     fresh = chunks.filter("fresh").select("k", F.col("first").alias("t"))
+    # most keys of a sparse log: one window holds the whole chunk
+    alone = F.col("fresh") & (F.col("last") - F.col("first") < window)
 
     # only chunks that hand an open window on take part in the mapping
     busy = chunks.filter(~F.col("fresh") | ~F.col("next_fresh"))
@@ -127,7 +131,7 @@ def window_starts(events: DataFrame, key: str, micros: Column, window: int,
         ahead = instants.filter(in_first).withColumn("chunk", F.col("chunk") - 1)
         pieces = instants.unionByName(ahead).join(busy_keys, ["k", "chunk"], "left_semi")
         k_type = dict(instants.dtypes)["k"]
-        entries = pieces.groupBy("k", "chunk").applyInPandas(
+        entries = pieces.groupBy("k", "chunk").applyInArrow(
             _entry_map(window, chunk), f"k {k_type}, chunk bigint, src bigint, dst bigint")
         # a walk that ends beyond the next chunk's first window resumes at that
         # chunk's later instants, or at the next chunk that has any
@@ -145,8 +149,12 @@ def window_starts(events: DataFrame, key: str, micros: Column, window: int,
     marked = instants.select("k", "chunk", "t", F.lit(None).cast("bigint").alias("entry"))
     entry_rows = reach.select("k", F.floor(F.col("t") / chunk).alias("chunk"), "t",
                               F.col("t").alias("entry"))
-    return marked.unionByName(entry_rows).groupBy("k", "chunk").applyInPandas(
+    longer = chunks.filter(~alone).select("k", "chunk")
+    walked = marked.unionByName(entry_rows).join(longer, ["k", "chunk"], "left_semi").groupBy(
+        "k", "chunk").applyInArrow(
         _window_starts(window), f"k {dict(instants.dtypes)['k']}, chunk bigint, start bigint")
+    return walked.unionByName(
+        chunks.filter(alone).select("k", "chunk", F.col("first").alias("start")))
 
 
 def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,

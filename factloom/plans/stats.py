@@ -126,15 +126,41 @@ _CELL = ("window_mode", "derived", "fy", "quarter", "measure", "bucket")
 _SLICE_NAMES = tuple(f"h{i}" for i in range(SLICES))
 
 
-def cell_summary(facts: DataFrame, by: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
-    """Sum, row count and digest slices per cell (and per ``by``, e.g. dataset_id)."""
+def cell_summary(facts: DataFrame, by: tuple[str, ...] = (),
+                 digest: bool | Column = True) -> DataFrame:
+    """Sum, row count and digest slices per cell (and per ``by``, e.g. dataset_id).
+
+    Hashing rows is the costly part: a condition on cell columns as ``digest``
+    hashes only the rows of the cells it selects.
+    """
     sums = [F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")]
-    if digest:
-        facts = with_slices(facts, HASH_COLUMNS)
+    if digest is not False:
+        facts = with_slices(facts, HASH_COLUMNS, None if digest is True else digest)
         sums += [F.sum(h).alias(h) for h in _SLICE_NAMES]
     return facts.groupBy(*by, *_CELL).agg(*sums)
 
 
+def _pinned(pins: Pins) -> Column:
+    return ((F.col("bucket") == "total") & F.col("derived")
+            & (F.col("window_mode") == "single_quarter") & (F.col("fy") == pins.headline_fy)
+            & (F.col("quarter") == pins.headline_quarter))
+
+
+def _moving(pins: Pins) -> Column:
+    return ((F.col("window_mode") == ANNUAL) & (F.col("bucket") == "total")
+            & F.col("fy").isin(*pins.mover_fys))
+
+
+def _correlated() -> Column:
+    return ((F.col("window_mode") == ANNUAL) & (F.col("bucket") == "total")
+            & F.col("measure").isin(*CORRELATED))
+
+
+def stat_sources(pins: Pins) -> Column:
+    """The rows any stat key is made of (figures are made of all of them)."""
+    return _pinned(pins) | _moving(pins) | _correlated()
+
+
 def _source(where: Column) -> list[Column]:
     """Row count and digest of the cells that meet a condition."""
     def over(name):
@@ -144,14 +170,11 @@ def _source(where: Column) -> list[Column]:
     return [count, digest_text(count, [over(h) for h in _SLICE_NAMES])]
 
 
-def headline_stats(cells: DataFrame, pins: Pins, by: tuple[str, ...] = ()) -> DataFrame:
+def headline_stats(cells: DataFrame, pins: Pins, by: tuple[str, ...] = (),
+                   keys: tuple[str, ...] = STAT_KEYS + FIGURE_KEYS) -> DataFrame:
     """The quarter stats, the mover and correlation stats and every figure key:
     value (NULL for list-valued keys), basis, source_rows and rows_hash."""
-    total = F.col("bucket") == "total"
-    annual = F.col("window_mode") == ANNUAL
-    pinned = (total & F.col("derived") & (F.col("window_mode") == "single_quarter")
-              & (F.col("fy") == pins.headline_fy)
-              & (F.col("quarter") == pins.headline_quarter))
+    pinned = _pinned(pins)
 
     def pinned_sum(m):
         return half_even(F.coalesce(
@@ -166,11 +189,12 @@ def headline_stats(cells: DataFrame, pins: Pins, by: tuple[str, ...] = ()) -> Da
                         _source(pinned & F.col("measure").isin(*measures))))
     nothing = F.lit(None).cast("double")
     entries.append((MOVERS_STAT, nothing, ANNUAL,
-                    _source(annual & total & F.col("fy").isin(*pins.mover_fys))))
+                    _source(_moving(pins))))
     entries.append((CORRELATION_STAT, nothing, ANNUAL,
-                    _source(annual & total & F.col("measure").isin(*CORRELATED))))
+                    _source(_correlated())))
     everything = _source(F.lit(True))
     entries += [(key, nothing, ANNUAL, everything) for key in FIGURE_KEYS]
+    entries = [e for e in entries if e[0] in keys]
     rows = [
         F.struct(F.lit(key).alias("stat_key"), value.alias("value"), F.lit(base).alias("basis"),
                  count.alias("source_rows"), digest.alias("rows_hash"))
@@ -193,7 +217,7 @@ def stat_board(cells: DataFrame, pins: Pins, by: tuple[str, ...] = ()) -> DataFr
     The list-valued mover stat has a NULL value here; its rows are
     :func:`~factloom.operators.aggregates.period_movers`.
     """
-    stats = headline_stats(cells, pins, by).filter(F.col("stat_key").isin(*STAT_KEYS))
+    stats = headline_stats(cells, pins, by, STAT_KEYS)
     x, y = CORRELATED
     coefficient = series_of(cells, by).groupBy(*by).agg(pearson(F.col(x), F.col(y)).alias("_r"))
     if by:
@@ -207,6 +231,11 @@ def stat_board(cells: DataFrame, pins: Pins, by: tuple[str, ...] = ()) -> DataFr
         "basis", "source_rows", "rows_hash")
 
 
+def board_of(facts: DataFrame, pins: Pins) -> DataFrame:
+    """:func:`stat_board` straight from facts, reading only the rows it needs."""
+    return stat_board(cell_summary(facts.filter(stat_sources(pins))), pins)
+
+
 def trend_figures(cells: DataFrame) -> DataFrame:
     """Rows (figure_key, series, category, value) of the yearly figures; a series
     without any published value has no rows."""
@@ -250,8 +279,8 @@ def figures(facts: DataFrame, cells: DataFrame, pins: Pins) -> DataFrame:
 
 def export_all(facts: DataFrame, pins: Pins) -> DataFrame:
     """Every stat and figure of the catalogue as one table."""
-    cells = cell_summary(facts, digest=True)
-    board = stat_board(cells, pins).select(
+    cells = cell_summary(facts, digest=False)
+    board = board_of(facts, pins).select(
         F.lit("stat").alias("kind"), F.col("stat_key").alias("key"),
         F.lit(None).cast("string").alias("series"), F.lit(None).cast("string").alias("category"),
         "value", "basis")
@@ -274,7 +303,7 @@ def stat(facts: DataFrame, key: str, pins: Pins = PUBLISHED_PINS) -> DataFrame:
         return period_movers(facts, *pins.mover_fys).orderBy(
             F.desc(F.abs("change")), "entity_name")
     if key in STAT_KEYS:
-        return stat_board(cell_summary(facts), pins).filter(F.col("stat_key") == key)
+        return board_of(facts, pins).filter(F.col("stat_key") == key)
     table = top_figures(facts, pins) if key in TOP_FIGURES else trend_figures(
         cell_summary(facts, digest=False))
     return table.filter(F.col("figure_key") == key)

@@ -80,7 +80,7 @@ SELECT op_id, artifact_id, op, status, status = 'verified' AS verified FROM (
               WHEN forced IS NULL THEN 'verified' ELSE 'mismatch' END AS status
   FROM ops LEFT JOIN fresh f ON f.stat_key = ops.op)""")
 def _(t):
-    board = S.stat_board(S.cell_summary(catalogue_facts(t)), PINS).select(
+    board = S.board_of(catalogue_facts(t, buckets=("total",)), PINS).select(
         F.lit(1).cast("bigint").alias("dataset_id"), "stat_key", "rows_hash")
     kind = F.col("event_type")
     op = (F.when(kind == "click", "decided_q1").when(kind == "view", "refused_share_q1")

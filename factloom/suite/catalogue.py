@@ -27,7 +27,7 @@ def catalogue_facts(t, **kw):
 WITH {CATALOGUE_HASHED}
 SELECT * FROM ({stat_rows(PINS, pearson_sql)}) WHERE stat_key IN ({STAT_LIST})""")
 def _(t):
-    return S.stat_board(S.cell_summary(catalogue_facts(t)), PINS)
+    return S.board_of(catalogue_facts(t, buckets=("total",)), PINS)
 
 
 @query("figure_table", over_facts(f", {SERIES_CTE}\n{figure_rows(PINS)}"))
@@ -47,7 +47,7 @@ UNION ALL SELECT 'figure', figure_key, series, category, value, 'fy' FROM figs
 UNION ALL SELECT 'list', '{S.MOVERS_STAT}', unnest(['fy_a_rate', 'fy_b_rate', 'change']),
   entity_name, unnest([fy_a_rate, fy_b_rate, change]), 'fy' FROM movers""")
 def _(t):
-    return S.export_all(catalogue_facts(t), PINS)
+    return S.export_all(catalogue_facts(t, buckets=("total",)), PINS)
 
 
 @query("presence_check", over_facts(f""", {SERIES_CTE}
