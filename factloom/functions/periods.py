@@ -54,9 +54,9 @@ def in_fiscal_years(date: Column, fys) -> Column:
             merged.append((low, high))
     predicate = None
     for low, high in merged:
-        span = (date >= F.lit(low).cast("timestamp_ntz")) & (
-            date < F.lit(high).cast("timestamp_ntz")
-        )
+        # text literals: a datetime literal would pass through the session zone
+        span = (date >= F.lit(low.isoformat(" ")).cast("timestamp_ntz")) & (
+            date < F.lit(high.isoformat(" ")).cast("timestamp_ntz"))
         predicate = span if predicate is None else predicate | span
     return predicate
 

@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 
 from factloom.functions.numbers import half_even, percent
 from factloom.operators.filters import ANNUAL, at_level, exclude_pseudo, filter_facts, not_pseudo
-from factloom.schema import UNMAPPED
+from factloom.schema import UNMAPPED, WINDOW_MODES
 
 
 def basis() -> Column:
-    """Window basis of the rows summed: their one mode, else ``mixed``."""
-    low, high = F.min("window_mode"), F.max("window_mode")
-    return F.when(low == high, low).when(low.isNotNull(), "mixed").alias("basis")
+    """Window basis of the rows summed: their one mode, else ``mixed``.
+
+    Modes are collected as bits: a number buffer keeps the aggregate hash-based.
+    """
+    bit = F.lit(0)
+    for i, mode in enumerate(WINDOW_MODES):
+        bit = F.when(F.col("window_mode") == mode, 1 << i).otherwise(bit)
+    seen, name = F.bit_or(bit), F.lit("mixed")
+    for i, mode in enumerate(WINDOW_MODES):
+        name = F.when(seen == 1 << i, mode).otherwise(name)
+    return F.when(seen.isNotNull(), name).alias("basis")
 
 
 def sum_measure(facts: DataFrame, measure: str = "received", bucket: str = "total") -> DataFrame:

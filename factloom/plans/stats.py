@@ -19,6 +19,7 @@ from factloom.functions.numbers import half_even, percent
 from factloom.operators.aggregates import pearson, period_movers, ratio
 from factloom.operators.filters import ANNUAL, filter_facts
 from factloom.schema import DEFAULT_TOP_N, HASH_COLUMNS, MEASURES
+from factloom.sources.shared import settled
 
 # --------------------------------------------------------------------------
 # The published keys, captions, and the page each figure is on.
@@ -140,6 +141,12 @@ def cell_summary(facts: DataFrame, by: tuple[str, ...] = (),
     return facts.groupBy(*by, *_CELL).agg(*sums)
 
 
+def summarised(facts: DataFrame, digest: bool | Column = True) -> DataFrame:
+    """The cell summary, computed once and kept in the shared folder: it is small,
+    and everything built on it would otherwise read the facts again."""
+    return settled(cell_summary(facts, digest=digest), "cells")
+
+
 def _pinned(pins: Pins) -> Column:
     return ((F.col("bucket") == "total") & F.col("derived")
             & (F.col("window_mode") == "single_quarter") & (F.col("fy") == pins.headline_fy)
@@ -233,7 +240,7 @@ def stat_board(cells: DataFrame, pins: Pins, by: tuple[str, ...] = ()) -> DataFr
 
 def board_of(facts: DataFrame, pins: Pins) -> DataFrame:
     """:func:`stat_board` straight from facts, reading only the rows it needs."""
-    return stat_board(cell_summary(facts.filter(stat_sources(pins))), pins)
+    return stat_board(summarised(facts.filter(stat_sources(pins))), pins)
 
 
 def trend_figures(cells: DataFrame) -> DataFrame:
@@ -260,17 +267,17 @@ def top_figures(facts: DataFrame, pins: Pins, n: int = DEFAULT_TOP_N) -> DataFra
     measures = sorted(set(TOP_FIGURES.values()))
     rows = filter_facts(facts, level=ANNUAL, fy=pins.top_fy, bucket="total").filter(
         F.col("measure").isin(*measures))
-    sums = rows.groupBy("entity_name").agg(*[
-        F.sum(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in measures])
-    out = None
+    sums = rows.groupBy("measure", "entity_name").agg(F.sum("value").alias("_sum"))
+    # every task keeps its own first n per measure before anything is shuffled
+    ranked = Window.partitionBy("measure").orderBy(F.desc("_sum"), "entity_name")
+    top = sums.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= n)
+    keys = F.lit(None).cast("array<string>")
     for m in measures:
-        keys = [k for k, measure in TOP_FIGURES.items() if measure == m]
-        top = sums.filter(F.col(m).isNotNull()).orderBy(F.desc(m), "entity_name").limit(n)
-        part = top.select(
-            F.explode(F.array(*map(F.lit, keys))).alias("figure_key"), F.lit(m).alias("series"),
-            F.col("entity_name").alias("category"), half_even(F.col(m)).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        named = F.array(*[F.lit(k) for k, measure in TOP_FIGURES.items() if measure == m])
+        keys = F.when(F.col("measure") == m, named).otherwise(keys)
+    return top.select(
+        F.explode(keys).alias("figure_key"), F.col("measure").alias("series"),
+        F.col("entity_name").alias("category"), half_even(F.col("_sum")).alias("value"))
 
 
 def figures(facts: DataFrame, cells: DataFrame, pins: Pins) -> DataFrame:
@@ -278,9 +285,12 @@ def figures(facts: DataFrame, cells: DataFrame, pins: Pins) -> DataFrame:
 
 
 def export_all(facts: DataFrame, pins: Pins) -> DataFrame:
-    """Every stat and figure of the catalogue as one table."""
-    cells = cell_summary(facts, digest=False)
-    board = board_of(facts, pins).select(
+    """Every stat and figure of the catalogue as one table.
+
+    Three passes over the facts: the cell summary, the rankings, the movers.
+    """
+    cells = summarised(facts, digest=stat_sources(pins))
+    board = stat_board(cells, pins).select(
         F.lit("stat").alias("kind"), F.col("stat_key").alias("key"),
         F.lit(None).cast("string").alias("series"), F.lit(None).cast("string").alias("category"),
         "value", "basis")
@@ -305,7 +315,7 @@ def stat(facts: DataFrame, key: str, pins: Pins = PUBLISHED_PINS) -> DataFrame:
     if key in STAT_KEYS:
         return board_of(facts, pins).filter(F.col("stat_key") == key)
     table = top_figures(facts, pins) if key in TOP_FIGURES else trend_figures(
-        cell_summary(facts, digest=False))
+        summarised(facts, digest=False))
     return table.filter(F.col("figure_key") == key)
 
 

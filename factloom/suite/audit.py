@@ -302,7 +302,7 @@ def _(t):
     from factloom.operators.filters import filter_options
 
     facts = build_facts(t, buckets=("total",))
-    table = S.figures(facts, S.cell_summary(facts, digest=False), PINS)
+    table = S.figures(facts, S.summarised(facts, digest=False), PINS)
     path = fresh_path(t.spark, "bundle")
     export_figures(table, facts, filter_options(facts), path)
     return read_exported_figures(t.spark, path).drop("caption")

@@ -33,7 +33,7 @@ def _(t):
 @query("figure_table", over_facts(f", {SERIES_CTE}\n{figure_rows(PINS)}"))
 def _(t):
     facts = build_facts(t, buckets=("total",))
-    return S.figures(facts, S.cell_summary(facts, digest=False), PINS)
+    return S.figures(facts, S.summarised(facts, digest=False), PINS)
 
 
 @query("export_all_stats", f"""
@@ -55,7 +55,7 @@ SELECT figure_key, series, count(*) > 0 AS has_data, count(value) > 0 AS has_val
 FROM ({figure_rows(PINS)}) GROUP BY figure_key, series"""))
 def _(t):
     facts = build_facts(t, buckets=("total",))
-    return presence_check(S.figures(facts, S.cell_summary(facts, digest=False), PINS))
+    return presence_check(S.figures(facts, S.summarised(facts, digest=False), PINS))
 
 
 @query("rederive_under_filter", over_facts(f"""

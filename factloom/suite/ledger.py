@@ -275,7 +275,7 @@ cited AS (SELECT event_id AS artifact_id, pos, coalesce(nullif(stat, ''), figure
 SELECT artifact_id, CAST(1 AS BIGINT) AS dataset_id, pos, 'stat' AS kind, op, '{{}}' AS params,
        source_rows AS row_count, rows_hash FROM cited JOIN board ON stat_key = op""")
 def _(t):
-    board = S.headline_stats(S.cell_summary(catalogue_facts(t)), PINS)
+    board = S.headline_stats(S.summarised(catalogue_facts(t)), PINS)
     rows = SP.panels(specs(t)).withColumnRenamed("event_id", "artifact_id")
     return L.record_stat_ops(rows, board).drop("result_value")
 
