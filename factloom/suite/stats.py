@@ -235,10 +235,16 @@ def _(t):
 
 
 def pearson_sql(x, y):
-    return (f"CASE WHEN count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) >= 2 THEN "
-            f"round_even(covar_pop({x}, {y}) / nullif("
-            f"sqrt(var_pop({x}) FILTER ({y} IS NOT NULL)) * "
-            f"sqrt(var_pop({y}) FILTER ({x} IS NOT NULL)), 0), 3) + 0e0 END")
+    """Coefficient over complete pairs of two expressions."""
+    both = f"FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)"
+
+    def spread(a, b):
+        return (f"(count(*) {both} * sum({a} * {b}) {both} "
+                f"- sum({a}) {both} * sum({b}) {both})")
+
+    return (f"CASE WHEN count(*) {both} >= 2 AND min({x}) {both} < max({x}) {both} "
+            f"AND min({y}) {both} < max({y}) {both} THEN round_even({spread(x, y)} "
+            f"/ sqrt({spread(x, x)} * {spread(y, y)}), 3) + 0e0 END")
 
 
 @query("pearson", over_series(
