@@ -14,7 +14,8 @@ key, so a key with a third of all events must not become one task:
    reached are found by doubling the jumps, log2(chunks) joins;
 4. with its entry known, each chunk lists its window starts on its own.
 
-Nothing larger than one key's distinct instants in one chunk is ever held.
+What a task holds is one key's distinct instants in one chunk.  The chunk length is
+chosen from the densest window in the data, down to a single window.
 """
 
 from __future__ import annotations
@@ -97,13 +98,25 @@ def _reached(first: DataFrame, edges: DataFrame) -> DataFrame:
     return reach
 
 
+_INSTANTS_PER_CHUNK = 4_000_000
+_MOST_WINDOWS = 1024
+
+
+def _chunk_length(instants: DataFrame, window: int) -> int:
+    """Windows per chunk, such that the densest key fits in memory comfortably."""
+    slots = instants.groupBy("k", F.floor(F.col("t") / window).alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"))
+    densest = slots.agg(F.max("n")).first()[0] or 1
+    return max(1, min(_MOST_WINDOWS, _INSTANTS_PER_CHUNK // densest))
+
+
 def window_starts(events: DataFrame, key: str, micros: Column, window: int,
-                  windows_per_chunk: int = 64) -> DataFrame:
+                  windows_per_chunk: int | None = None) -> DataFrame:
     """Rows (k, chunk, start): every window start, in microseconds."""
-    chunk = window * windows_per_chunk
-    instants = events.select(F.col(key).alias("k"), micros.alias("t")).distinct()
-    instants = settled(instants.withColumn("chunk", F.floor(F.col("t") / chunk)),
+    instants = settled(events.select(F.col(key).alias("k"), micros.alias("t")).distinct(),
                        "quota-instants")
+    chunk = window * (windows_per_chunk or _chunk_length(instants, window))
+    instants = instants.withColumn("chunk", F.floor(F.col("t") / chunk))
     in_first = F.col("t") - F.col("chunk") * chunk < window
 
     # one row per key and non-empty chunk
@@ -159,12 +172,11 @@ def window_starts(events: DataFrame, key: str, micros: Column, window: int,
 
 def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,
                 limit: int = QUOTA_LIMIT, window_seconds: float = QUOTA_WINDOW_SECONDS,
-                windows_per_chunk: int = 64) -> DataFrame:
+                windows_per_chunk: int | None = None) -> DataFrame:
     """Add window_start (us), n_in_window, allowed, remaining and retry_after (s)."""
     window = int(round(window_seconds * 1_000_000))
-    if window <= 0 or windows_per_chunk < 1:
+    if window <= 0 or (windows_per_chunk is not None and windows_per_chunk < 1):
         raise ValueError("window and chunk must be positive")
-    chunk = window * windows_per_chunk
     starts = settled(window_starts(events, key, micros, window, windows_per_chunk),
                      "quota-starts")
 

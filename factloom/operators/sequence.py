@@ -25,17 +25,15 @@ def numbered(rows: DataFrame, keys: Iterable[str], order: Iterable[str], slice_b
     of a key's earlier slices, a small table, give the offset.
     """
     keys, order = list(keys), list(order)
-    sliced = rows.withColumn("_slice", slice_by)
-    cell = [*keys, "_slice"]
-    sizes = sliced.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(c).alias(f"_o{c}") for c in cell],
+    # one struct key: window, size count and join share its hash partitioning,
+    # and NULL parts compare equal inside a struct
+    celled = rows.withColumn("_cell", F.struct(*keys, slice_by.alias("_slice")))
+    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*[F.col("_cell")[k] for k in keys]).orderBy(
+        F.col("_cell")["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_cell").alias("_of"),
                            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-    on = None
-    for c in cell:
-        same = F.col(c).eqNullSafe(F.col(f"_o{c}"))
-        on = same if on is None else on & same
-    return sliced.withColumn("_local", local).join(offsets, on).select(
+    local = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    return celled.withColumn("_local", local).join(
+        offsets, F.col("_cell") == F.col("_of")).select(
         *rows.columns, (F.col("_offset") + F.col("_local")).alias(name))

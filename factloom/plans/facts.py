@@ -104,20 +104,20 @@ def _levels(rows: DataFrame, measures: list[str], levels: set[str]) -> DataFrame
         added[f"all_{n}"] = F.sum(n).over(year)
     wide = quarterly.withColumns(added)
 
-    def level(mode, quarter, prefix, presence_prefix):
+    def level(mode, quarter, prefix, presence_prefix, kept):
         return F.struct(
-            quarter.alias("quarter"), F.lit(mode).alias("window_mode"),
+            quarter.alias("quarter"), F.lit(mode).alias("window_mode"), kept.alias("_kept"),
             *[F.col(presence_prefix + p).alias(p) for p in presence],
             *[F.col(prefix + n).alias(n) for n in names])
 
+    quarter, always = F.col("quarter"), F.lit(True)
     parts = {
-        "single_quarter": level("single_quarter", F.col("quarter"), "", ""),
-        "cumulative": level("cumulative", F.col("quarter"), "run_", ""),
-        "fy": F.when(F.col("_last"), level("fy", F.lit(None).cast("int"), "all_", "all_")),
+        "single_quarter": level("single_quarter", quarter, "", "", always),
+        "cumulative": level("cumulative", quarter, "run_", "", always),
+        "fy": level("fy", F.lit(None).cast("int"), "all_", "all_", F.col("_last")),
     }
-    chosen = F.filter(F.array(*[parts[m] for m in WINDOW_MODES if m in levels]),
-                      lambda x: x.isNotNull())
-    return wide.select("o_custkey", "start_year", F.inline(chosen))
+    chosen = F.array(*[parts[m] for m in WINDOW_MODES if m in levels])
+    return wide.select("o_custkey", "start_year", F.inline(chosen)).filter("_kept").drop("_kept")
 
 
 def _long(wide: DataFrame, ids: list[str], measures: list[str], buckets) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.periods import epoch_micros
 from factloom.operators.sequence import latest_by_key, numbered
 from factloom.operators.specs import panel_key
 from factloom.plans.stats import FIGURE_KEYS, STAT_KEYS
@@ -22,7 +23,8 @@ def assign_seq(events: DataFrame, key: str, order: list[str], slice_by: Column)
 def transcript_table(events: DataFrame) -> DataFrame:
     """Tool-call events as rows with their call number."""
     calls = events.filter(F.col("event") == "tool_call")
-    ordered = assign_seq(calls, "artifact_id", ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
+    hour = F.floor(epoch_micros(F.col("ts")) / 3_600_000_000)
+    ordered = assign_seq(calls, "artifact_id", ["ts", "event_id"], hour)
     return ordered.select(
         "artifact_id", F.col("seq").cast("int").alias("seq"), "tool", "op",
         F.col("args").alias("input_json"), F.col("result").alias("output_json"))

@@ -16,7 +16,7 @@ from factloom.plans.export import export_figures, read_exported_figures
 from factloom.plans.facts import build_facts, headline_facts
 from factloom.schema import HASH_COLUMNS, MEASURES
 from factloom.sources.shared import fresh_path
-from factloom.sources.snapshots import SnapshotStore
+from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, catalogue_facts
 from factloom.suite.registry import query
 from factloom.suite.sql import over_facts
@@ -276,6 +276,35 @@ def _(t):
     return t.spark.range(1).select(F.inline(attempts))
 
 
+_HEADERS = """headers AS (
+  SELECT o_orderkey AS dataset_id, o_orderpriority AS period_label,
+         CAST(o_custkey AS VARCHAR) AS content_digest, o_orderdate AS created_at,
+         CASE WHEN o_orderstatus = 'P' THEN o_orderkey + 1 END AS superseded_by FROM orders)"""
+
+
+def _headers(t):
+    """One snapshot header per order: its customer stands for the digest."""
+    return t.orders.select(
+        F.col("o_orderkey").alias("dataset_id"), F.col("o_orderpriority").alias("period_label"),
+        F.col("o_custkey").cast("string").alias("content_digest"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") + 1).alias("superseded_by"))
+
+
+@query("find_snapshot", f"""WITH {_HEADERS}
+SELECT max(dataset_id) AS dataset_id FROM headers
+WHERE content_digest = '7' AND superseded_by IS NULL""")
+def _(t):
+    return find_snapshot(_headers(t), "7")
+
+
+@query("current_snapshots", f"""WITH {_HEADERS}
+SELECT * FROM headers QUALIFY row_number() OVER (
+  PARTITION BY period_label ORDER BY created_at DESC, dataset_id DESC) = 1""")
+def _(t):
+    return current_snapshots(_headers(t))
+
+
 @query("load_snapshot", over_facts("""
 SELECT CAST(1 AS BIGINT) AS dataset_id, fy, measure, bucket, count(*) AS n, sum(value) AS value
 FROM facts WHERE window_mode = 'fy' AND measure IN ('received', 'withdrawn') GROUP BY ALL"""))

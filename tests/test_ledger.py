@@ -92,10 +92,11 @@ def test_audit_panels(spark):
 
 def test_numbered_matches_a_plain_row_number(spark):
     data = [("hot" if i % 3 else f"k{i % 11}", i * 7 % 1000, i) for i in range(2000)]
-    df = spark.createDataFrame(data, "k string, t int, id int")
+    nameless = [(None, i, 5000 + i) for i in range(5)]
+    df = spark.createDataFrame(data + nameless, "k string, t int, id int")
     out = numbered(df, ["k"], ["t", "id"], F.floor(F.col("t") / 50)).collect()
     order = {}
-    for k, t, i in sorted(data):
+    for k, t, i in sorted(data) + nameless:
         order.setdefault(k, []).append(i)
     assert {(r["k"], r["seq"]): r["id"] for r in out} == {
         (k, n + 1): i for k, ids in order.items() for n, i in enumerate(ids)}
