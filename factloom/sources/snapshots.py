@@ -60,9 +60,10 @@ class SnapshotStore:
         if window_mode not in WINDOW_MODES:
             raise ValueError(f"unknown window mode {window_mode!r}")
         folder = posixpath.join(self._facts, uuid.uuid4().hex)
-        rows = facts.select(*FACT_COLUMNS).withColumn("row_hash", row_hash(facts))
-        # one fiscal year may hold most rows: adaptive rebalancing splits it
-        rows.hint("rebalance", "fy").write.partitionBy("fy").parquet(folder)
+        # one fiscal year may hold most rows: adaptive rebalancing splits it; hashes
+        # are added after the shuffle
+        rows = facts.select(*FACT_COLUMNS).hint("rebalance", "fy")
+        rows.withColumn("row_hash", row_hash(rows)).write.partitionBy("fy").parquet(folder)
         stored = self.spark.read.schema(_STORED).parquet(folder)
         sums = [F.sum(s).alias(f"h{i}") for i, s in enumerate(hash_slices(F.col("row_hash")))]
         done = stored.agg(F.count(F.lit(1)).alias("n"), *sums).select(
