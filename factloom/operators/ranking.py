@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import half_even
@@ -59,8 +59,9 @@ def page_facts(facts: DataFrame, limit: int = DEFAULT_PAGE_LIMIT, offset: int =
 
 def bar_scale(figures: DataFrame) -> DataFrame:
     """Value as a percentage of the largest in its figure; NULL stays NULL and a
-    true 0 stays 0."""
-    peaks = figures.groupBy("figure_key").agg(F.max("value").alias("_peak"))
-    scaled = F.try_divide(F.lit(100.0).cast("double") * F.col("value"), F.col("_peak"))
-    height = F.when(F.col("value").isNotNull(), F.coalesce(scaled, F.lit(0.0)))
-    return figures.join(peaks, "figure_key").withColumn("height", height).drop("_peak")
+    true 0 stays 0.  A figure is one row per year or top entity, so its rows fit a
+    window."""
+    peak = F.max("value").over(Window.partitionBy("figure_key"))
+    scaled = F.try_divide(F.lit(100.0).cast("double") * F.col("value"), peak)
+    return figures.withColumn(
+        "height", F.when(F.col("value").isNotNull(), F.coalesce(scaled, F.lit(0.0))))

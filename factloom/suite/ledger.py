@@ -60,14 +60,16 @@ def artifacts(t):
     return t.conversations.select(
         F.col("conv_id").alias("artifact_id"), F.col("turn").cast("int").alias("version"),
         F.lit("dashboard").alias("artifact_type"), F.col("role").alias("artifact_key"),
-        F.lit(1).cast("bigint").alias("dataset_id"), F.col("text").alias("request_text"),
+        F.when(F.col("role") == "assistant", 1).when(F.col("role") == "user", 2).otherwise(4)
+        .cast("bigint").alias("dataset_id"), F.col("text").alias("request_text"),
         F.concat(F.lit('{"title":"'), F.col("role"), F.lit('"}')).alias("spec_json"),
         F.when(F.col("turn") == 0, "building").otherwise("done").alias("status"))
 
 
 _ARTIFACTS = """artifacts AS (
   SELECT conv_id AS artifact_id, CAST(turn AS INTEGER) AS version, 'dashboard' AS artifact_type,
-         role AS artifact_key, CAST(1 AS BIGINT) AS dataset_id, text AS request_text,
+         role AS artifact_key, CAST(CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 4 END
+           AS BIGINT) AS dataset_id, text AS request_text,
          '{"title":"' || role || '"}' AS spec_json,
          CASE WHEN turn = 0 THEN 'building' ELSE 'done' END AS status
   FROM conversations),
@@ -121,14 +123,18 @@ def _(t):
 
 # -- reports -----------------------------------------------------------------
 
-_SNAPSHOT = ("SELECT CAST(1 AS BIGINT) AS dataset_id, 'all' AS period_label, "
-             "'d' AS content_digest, CAST(count(*) AS BIGINT) AS fact_count FROM orders")
+_SNAPSHOT = """SELECT CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS BIGINT)
+    AS dataset_id, o_orderstatus AS period_label, sha256(o_orderstatus) AS content_digest,
+  count(*) AS fact_count FROM orders GROUP BY o_orderstatus"""
 
 
 def _snapshots(t):
-    return t.orders.agg(F.count(F.lit(1)).alias("fact_count")).select(
-        F.lit(1).cast("bigint").alias("dataset_id"), F.lit("all").alias("period_label"),
-        F.lit("d").alias("content_digest"), "fact_count")
+    """One snapshot header per order status."""
+    status = F.col("o_orderstatus")
+    return t.orders.groupBy(status).agg(F.count(F.lit(1)).alias("fact_count")).select(
+        F.when(status == "F", 1).when(status == "O", 2).otherwise(3).cast("bigint")
+        .alias("dataset_id"), status.alias("period_label"),
+        F.sha2(status, 256).alias("content_digest"), "fact_count")
 
 
 @query("lineage_report", f"""WITH {_LEDGER}, {_ARTIFACTS}, snapshots AS ({_SNAPSHOT}),
