@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.tables import shared_path, table
+from factloom.llm.tables import kept, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,52 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT x, max(page_id) AS top FROM p GROUP BY x)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (x)"""
+
+
+@query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm import warc
+
+    archive = shared_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archive, "page_id", "url", "html")
+    records = kept(warc.read(spark, archive), "warc-records")
+    return warc.lookup(records).select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                                       "record_type", F.col("refers_to_key").alias("refers_to"))
+
+
+ORACLES["op3_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+  FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n),
+found AS (SELECT doc_id, i, n, item FROM places JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) t(j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.decontaminate import hits
+
+    return hits(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"))
+
+
 @query
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from factloom.llm.bpe import round_trip
@@ -40,5 +86,12 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
