@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.tables import kept, shared_path, table
+from factloom.llm.tables import crc32_mod, kept, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Least score of a document that counts as good.
+GOOD = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str):
+    """Fitted on rows whose crc32(doc_id) mod 5 isn't 0."""
+    from factloom.llm.quality import train
+
+    labels = table(spark, folder, "labels").filter(crc32_mod("doc_id", 5) != 0)
+    return train(docs, "doc_id", "text", labels, "quality")
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op1_warc"] = """
@@ -48,6 +60,16 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
                                        "record_type", F.col("refers_to_key").alias("refers_to"))
 
 
+@query
+def op2_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.quality import scored
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
+    made = scored(docs, "text", quality_model(spark, docs, folder))
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 ORACLES["op3_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
