@@ -108,6 +108,14 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.class_lm import scored
+
+    made = scored(table(spark, folder, "documents"), "doc_id", "text", crc32_mod("doc_id", 10) != 0)
+    return made.withColumn("held_out", F.coalesce(crc32_mod("doc_id", 10) == 0, F.lit(False)))
+
+
 @query
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from factloom.llm.near_dup import near_duplicates
@@ -115,5 +123,39 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _license_sql() -> str:
+    from factloom.llm.licenses import TEMPLATES
+
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    words = "regexp_extract_all(" + _LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH templates(tid, name, text) AS (VALUES {rows}),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+t AS (SELECT tid, name, {words} AS w FROM templates),
+sets AS (SELECT DISTINCT tid, name, list_slice(w, i, i + 4) AS g FROM t, unnest(range(1, len(w) - 3)) r(i)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY tid) AS n FROM sets),
+places AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM d, unnest(range(1, len(w) - 3)) r(i) WHERE len(w) >= 5),
+found AS (SELECT doc_id, tid, name, n, i, g FROM places JOIN sized USING (g)),
+runs AS (SELECT a.doc_id, a.tid, a.name, a.n, a.i, count(DISTINCT b.g) AS k FROM found a JOIN found b
+  ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.i BETWEEN a.i AND a.i + a.n + a.n // 2 - 1 GROUP BY ALL),
+held AS (SELECT doc_id, tid, name, max(k)::DOUBLE / n AS share FROM runs WHERE 100 * k >= 75 * n GROUP BY doc_id, tid, name, n),
+listed AS (SELECT doc_id, count(*) AS n, max(share) AS share, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM held GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::INT AS n_templates, coalesce(names, '') AS licenses, share AS containment
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLES["op10_license_scan"] = _license_sql()
+
+
+@query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.licenses import scanned
+
+    made = scanned(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",")
+    return made.select("doc_id", "n_words", F.size("matches").alias("n_templates"), names.alias("licenses"),
+                       F.array_max(F.col("matches.containment")).alias("containment"))
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
