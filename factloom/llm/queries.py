@@ -92,6 +92,14 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return hits(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"))
 
 
+@query
+def op4_forest(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.forest import nearest
+
+    rows = table(spark, folder, "embeddings")
+    return nearest(rows, "vec_id", "embedding", rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 @query
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from factloom.llm.bpe import round_trip
