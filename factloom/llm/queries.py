@@ -100,6 +100,13 @@ def op4_forest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, "vec_id", "embedding", rows.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+@query
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.substrings import removed, repeats
+
+    return removed(repeats(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+
+
 @query
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from factloom.llm.bpe import round_trip
