@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from factloom.llm.arrow import ends_of, flat, ranges, steps
 from factloom.llm.pretoken import HASHED_BYTES, Codes, borders, hashes, per_text
@@ -311,33 +312,35 @@ def loaded(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encoded(df: DataFrame, text: str, path: str, ids: str = "ids") -> DataFrame:
-    """``df`` with an array column ``ids`` of the token ids of ``text``.
+def encoded(df: DataFrame, text: str, path: str, ids: str = "ids", verify: str | None = None) -> DataFrame:
+    """``df`` with an array column ``ids`` of the token ids of ``text``; with ``verify``, also a
+    boolean column of that name: whether decoding the ids gives the text back.
 
-    Null and empty texts get an empty array. A column of that name is replaced; all others
+    Null and empty texts get an empty array. Columns of those names are replaced; all others
     stay, repeated rows too. Texts of any length are encoded whole.
     """
-    from pyspark.sql import types as T
-
-    fields = [f for f in df.schema.fields if f.name != ids]
-    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    fields = [f for f in df.schema.fields if f.name not in (ids, verify)]
+    checked = [T.StructField(verify, T.BooleanType())] if verify else []
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *checked])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
             for part in steps(batch, text):
-                found, offsets = bpe.encode(*flat(part.column(text))[::-1])
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, ids])
+                ends, data = flat(part.column(text))
+                found, offsets = bpe.encode(data, ends)
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))]
+                if verify:
+                    back, raw = bpe.decode(found, offsets), data.tobytes()
+                    made.append(pa.array([b.encode() == raw[x:y] for b, x, y in zip(back, ends, ends[1:])], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, ids: str, path: str, text: str = "decoded") -> DataFrame:
     """``df`` with a column ``text`` that holds the decoded ``ids``; null ids give an empty text."""
-    from pyspark.sql import types as T
-
     fields = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField(text, T.StringType())])
     names = [f.name for f in fields]
@@ -359,8 +362,6 @@ def round_trip(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     The digests are lower-case hex of the comma-joined decimal ids and of the decoded text in
     UTF-8. Null texts count as empty: no tokens, digests of nothing. One row per input row.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -380,8 +381,6 @@ def round_trip(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
 def counted(df: DataFrame, text: str, path: str, count: str = "n_tokens") -> DataFrame:
     """``df`` without ``text`` but with the number of its tokens; null counts as empty."""
-    from pyspark.sql import types as T
-
     fields = [f for f in df.schema.fields if f.name not in (text, count)]
     schema = T.StructType([*fields, T.StructField(count, T.LongType())])
     names = [f.name for f in fields]

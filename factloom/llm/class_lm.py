@@ -1,13 +1,12 @@
 """Brown class-based bigrams: how likely a text is under a model of word classes.
 
 The probability of a word after another is that of its class after the other's class, times
-that of the word in its class. The ``VOCABULARY`` commonest words are put into ``CLASSES`` classes by
-exchange: one word after the other goes to the class that makes the corpus likeliest, in
-``SWEEPS`` rounds. All other words fall into ``ENDINGS`` classes by their last bytes, so every word
-has a class of its own form and needs no table. Both probabilities are smoothed.
+that of the word in its class. The commonest words, the vocabulary, are put into classes by exchange:
+one word after the other goes to the class that makes the corpus likeliest, in some sweeps. All other
+words fall into classes by their last bytes, the endings, which takes no table. ``Shape`` has the numbers. Both probabilities are smoothed.
 
 All counts are over every training text. Word counts stay a distributed table; tasks hold only
-its ``HEAD`` commonest words, and the occurrences of all others are joined to the table. Bigram
+the commonest words, its head, and the occurrences of all others are joined to the table. Bigram
 counts are of ids in a fixed range, so their table has a fixed size, and so has what reaches the
 driver: the counts of the vocabulary's bigrams.
 
@@ -33,26 +32,44 @@ from factloom.llm.pretoken import Codes
 from factloom.llm.tables import kept
 from factloom.llm.words import SOLID, Words
 
-VOCABULARY, CLASSES, ENDINGS, SWEEPS = 4096, 48, 64, 6
-HEAD = 1 << 18
 #: Added to every count.
 DELTA = 0.1
 
+
+@dataclass(frozen=True)
+class Shape:
+    """Bounds of a model."""
+
+    vocabulary: int = 4096
+    classes: int = 48
+    endings: int = 64
+    sweeps: int = 6
+    head: int = 1 << 18
+
+    @property
+    def ids(self) -> int:
+        return self.vocabulary + self.endings + 1
+
+    @property
+    def kinds(self) -> int:
+        return self.classes + self.endings + 1
+
+
 #: Distinct words, and bigrams, that a task gathers before it hands them on.
 _GATHERED_WORDS, _GATHERED_PAIRS = 1 << 20, 1 << 22
 _TAIL = odd_numbers(2, 31)
 
 
-def _words(part: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
-    """The words, and the ending class of each."""
+def _words(part: pa.RecordBatch, text: str, endings: int) -> tuple[Words, np.ndarray]:
+    """The words, and the ending of each."""
     offsets, data = flat(part.column(text))
     words = Words(data, offsets, SOLID)
     last = words.low[words.ends - 1].astype(np.uint64)
     before = np.where(words.ends - words.starts > 1, words.low[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-    return words, (mixed(last * _TAIL[0] + before * _TAIL[1]) % np.uint64(ENDINGS)).astype(np.int64)
+    return words, (mixed(last * _TAIL[0] + before * _TAIL[1]) % np.uint64(endings)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame, text: str) -> DataFrame:
+def word_counts(texts: DataFrame, text: str, endings: int) -> DataFrame:
     """(word, ending, n): occurrences of each word, by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -66,7 +83,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for part in steps(batch, text):
-                words, ending = _words(part, text)
+                words, ending = _words(part, text, endings)
                 hashes, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
                 held.append((hashes, ending[first], n))
                 if sum(len(h[0]) for h in held) > _GATHERED_WORDS:
@@ -95,27 +112,27 @@ class Head:
         return out
 
 
-def _ids(words: Words, ending: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ids(words: Words, ending: np.ndarray, rank: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words and ends in order, first position of each text): the number of a
     vocabulary word, or what stands for its ending, or the end."""
-    ids = np.where((rank >= 0) & (rank < VOCABULARY), rank, VOCABULARY + ending)
+    ids = np.where((rank >= 0) & (rank < shape.vocabulary), rank, shape.vocabulary + ending)
     texts = len(words.by_text) - 1
-    out = np.full(len(ids) + texts, VOCABULARY + ENDINGS, np.int64)
+    out = np.full(len(ids) + texts, shape.ids - 1, np.int64)
     text = np.repeat(np.arange(texts), np.diff(words.by_text))
     out[np.arange(len(ids)) + text] = ids
     return out, words.by_text[:-1] + np.arange(texts)
 
 
-def _before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _before(ids: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
     out = np.empty_like(ids)
     out[1:] = ids[:-1]
-    out[first] = VOCABULARY + ENDINGS
+    out[first] = shape.ids - 1
     return out
 
 
-def bigram_counts(texts: DataFrame, text: str, head: Head) -> np.ndarray:
+def bigram_counts(texts: DataFrame, text: str, head: Head, shape: Shape) -> np.ndarray:
     """Occurrences of each pair of ids, as a square of fixed size."""
-    size = VOCABULARY + ENDINGS + 1
+    size = shape.ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total, held = head.codes(), np.zeros(size * size, np.int32), []
@@ -129,9 +146,9 @@ def bigram_counts(texts: DataFrame, text: str, head: Head) -> np.ndarray:
 
         for batch in batches:
             for part in steps(batch, text):
-                words, ending = _words(part, text)
-                ids, first = _ids(words, ending, codes.find(words.hashes))
-                held.append(_before(ids, first) * size + ids)
+                words, ending = _words(part, text, shape.endings)
+                ids, first = _ids(words, ending, codes.find(words.hashes), shape)
+                held.append(_before(ids, first, shape) * size + ids)
                 if sum(map(len, held)) > _GATHERED_PAIRS:
                     add()
         if held:
@@ -166,20 +183,20 @@ def _h(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray, shape: Shape) -> np.ndarray:
     """The class of each id: vocabulary words by exchange, endings and the end one class each.
 
     Words start in turn by rank and move, commonest first, to wherever the likelihood of the
     bigrams of classes is largest; ties go to the first class. Stops when none moves.
     """
-    size, kinds = len(pairs), CLASSES + ENDINGS + 1
-    place = np.concatenate([np.arange(VOCABULARY) % CLASSES, CLASSES + np.arange(ENDINGS + 1)])
-    active = [w for w in range(VOCABULARY) if pairs[w].any() or pairs[:, w].any()]
+    size, kinds = shape.ids, shape.kinds
+    place = np.concatenate([np.arange(shape.vocabulary) % shape.classes, shape.classes + np.arange(shape.endings + 1)])
+    active = [w for w in range(shape.vocabulary) if pairs[w].any() or pairs[:, w].any()]
     rows = {w: (np.flatnonzero(pairs[w]), np.flatnonzero(pairs[:, w])) for w in active}
     grid = np.zeros((kinds, kinds))
     for i in range(size):
         grid[place[i]] += np.bincount(place, pairs[i], minlength=kinds)
-    for _ in range(sweeps):
+    for _ in range(shape.sweeps):
         moved = 0
         for w in active:
             after, before = rows[w]
@@ -191,7 +208,7 @@ def exchange(pairs: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
             grid[old] -= r
             grid[:, old] -= c
             grid[old, old] -= own
-            best = int(np.argmax(_gains(grid, r, c, own)))
+            best = int(np.argmax(_gains(grid, r, c, own, shape.classes)))
             grid[best] += r
             grid[:, best] += c
             grid[best, best] += own
@@ -202,20 +219,21 @@ def exchange(pairs: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
     return place
 
 
-def _gains(grid: np.ndarray, r: np.ndarray, c: np.ndarray, own: float) -> np.ndarray:
+def _gains(grid: np.ndarray, r: np.ndarray, c: np.ndarray, own: float, classes: int) -> np.ndarray:
     """How much the log-likelihood rises by a word with these neighbours in each class."""
-    k = np.arange(CLASSES)
+    k = np.arange(classes)
     right, left = np.flatnonzero(r), np.flatnonzero(c)
-    x, y = grid[:CLASSES, right], grid[left, :CLASSES]
+    x, y = grid[:classes, right], grid[left, :classes]
     out = (_h(x + r[right]) - _h(x)).sum(1) + (_h(y + c[left][:, None]) - _h(y)).sum(0)
     d = grid[k, k]
     out += _h(d + r[k] + c[k] + own) + _h(d) - _h(d + r[k]) - _h(d + c[k])
-    rows, columns = grid[:CLASSES].sum(1), grid[:, :CLASSES].sum(0)
+    rows, columns = grid[:classes].sum(1), grid[:, :classes].sum(0)
     return out - _h(rows + r.sum() + own) + _h(rows) - _h(columns + c.sum() + own) + _h(columns)
 
 
 @dataclass
 class Model:
+    shape: Shape
     head: Head
     place: np.ndarray  # class of each id
     moves: np.ndarray  # log10 probability of a class after another
@@ -225,15 +243,14 @@ class Model:
     ends: int  # training texts
 
 
-def fit(texts: DataFrame, text: str) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model of all ``texts``, and their word counts (word, n)."""
-    counts = kept(word_counts(texts, text), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    counts = kept(word_counts(texts, text, shape.endings), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(shape.head).collect()
     head = Head(np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64))
     by_ending = {r.ending: (r["n"], r.distinct) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-    pairs = bigram_counts(texts, text, head)
-    place = exchange(pairs)
-    kinds = CLASSES + ENDINGS + 1
+    pairs = bigram_counts(texts, text, head, shape)
+    place, kinds = exchange(pairs, shape), shape.kinds
     grid = np.zeros((kinds, kinds))
     for i in range(len(pairs)):
         grid[place[i]] += np.bincount(place, pairs[i], minlength=kinds)
@@ -243,13 +260,13 @@ def fit(texts: DataFrame, text: str) -> tuple[Model, DataFrame]:
     share = (occurs + DELTA) / (occurs.sum() + DELTA * kinds)
     moves = np.log10((grid + kinds * share) / (grid.sum(1, keepdims=True) + kinds))
     # distinct words of each class: of an ending, those outside of the vocabulary
-    words = np.bincount(place[: min(VOCABULARY, len(head.words))], minlength=kinds)
-    ending_of_top = np.array([r.ending for r in top[:VOCABULARY]], np.int64)
-    for e in range(ENDINGS):
-        words[CLASSES + e] = by_ending.get(e, (0, 0))[1] - int((ending_of_top == e).sum())
+    words = np.bincount(place[: min(shape.vocabulary, len(head.words))], minlength=kinds)
+    ending_of_top = np.array([r.ending for r in top[: shape.vocabulary]], np.int64)
+    for e in range(shape.endings):
+        words[shape.classes + e] = by_ending.get(e, (0, 0))[1] - int((ending_of_top == e).sum())
     words[-1] = ends > 0
     members = np.log10(occurs + DELTA * (words + 1))
-    return Model(head, place, moves, members, int(tokens), int(distinct), ends), counts.select("word", "n")
+    return Model(shape, head, place, moves, members, int(tokens), int(distinct), ends), counts.select("word", "n")
 
 
 _DOC = "no long, key {}, n_tokens long, n_known long, sum_log double, moved double, members double, rare array<long>, times array<int>"
@@ -265,11 +282,11 @@ def _local(rows: DataFrame, model: Model) -> DataFrame:
         end = np.log10(model.ends + DELTA)
         for batch in batches:
             for part in steps(batch, "text"):
-                words, ending = _words(part, "text")
+                words, ending = _words(part, "text", model.shape.endings)
                 texts = part.num_rows
                 rank = codes.find(words.hashes)
-                ids, first = _ids(words, ending, rank)
-                kind, before = model.place[ids], model.place[_before(ids, first)]
+                ids, first = _ids(words, ending, rank, model.shape)
+                kind, before = model.place[ids], model.place[_before(ids, first, model.shape)]
                 owner = np.repeat(np.arange(texts), np.diff(words.by_text))
                 whose = np.repeat(np.arange(texts), np.diff(words.by_text) + 1)
                 common = rank >= 0
@@ -291,7 +308,7 @@ def _local(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, _DOC.format(rows.schema["key"].dataType.simpleString()))
 
 
-def scored(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
+def scored(df: DataFrame, key: str, text: str, train: Column, shape: Shape = Shape()) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row of ``df``.
 
     Learns from the rows for which ``train`` holds. base_score: the sum over tokens of
@@ -300,7 +317,7 @@ def scored(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
     word is unknown. ``df`` must be a stored table: it is read more than once.
     """
     chosen = df.filter(train).select(F.col(text).alias("text"))
-    model, counts = fit(chosen, "text")
+    model, counts = fit(chosen, "text", shape)
     rows = df.select(F.monotonically_increasing_id().alias("no"), F.col(key).alias("key"), F.col(text).alias("text"))
     docs = kept(_local(rows, model), "local-scores")
     rare = docs.select("no", F.explode(F.arrays_zip(F.col("rare").alias("rare"), F.col("times").alias("times"))).alias("x"))
