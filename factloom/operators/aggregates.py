@@ -152,18 +152,24 @@ def pearson(x: Column, y: Column, places: int = 3) -> Column:
     """Pearson coefficient over complete pairs; NULL below two pairs or when a
     series is constant.
 
-    Plain sums, which for counts are exact in any order: merged running moments
-    would let a coefficient that ends in 5 round either way from run to run.
+    The pairs of a group, one per year, are listed in order and summed about
+    their means: large values don't cancel, and the order of rows doesn't matter.
     """
-    pair = x.isNotNull() & y.isNotNull()
-    x, y = F.when(pair, x), F.when(pair, y)
-    n = F.count(x)
+    pair = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    pairs = F.array_sort(F.collect_list(F.when(x.isNotNull() & y.isNotNull(), pair)))
+    n = F.size(pairs)
+
+    def total(term):
+        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + term(p))
+
+    means = {c: F.try_divide(total(lambda p, c=c: p[c]), n) for c in "xy"}
 
     def spread(a, b):
-        return n * F.sum(a * b) - F.sum(a) * F.sum(b)
+        return total(lambda p: (p[a] - means[a]) * (p[b] - means[b]))
 
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    r = F.try_divide(spread(x, y), F.sqrt(spread(x, x) * spread(y, y)))
+    varies = (F.array_min(pairs["x"]) < F.array_max(pairs["x"])) & (
+        F.array_min(pairs["y"]) < F.array_max(pairs["y"]))
+    r = F.try_divide(spread("x", "y"), F.sqrt(spread("x", "x")) * F.sqrt(spread("y", "y")))
     return F.when((n >= 2) & varies, half_even(r, places))
 
 
@@ -232,7 +238,10 @@ def period_movers(facts: DataFrame, fy_a: str, fy_b: str, part: str = "refused",
         half_even(rate_b, 1).alias("fy_b_rate"), half_even(rate_b - rate_a, 1).alias("change"))
 
 
-def presence_check(figures: DataFrame) -> DataFrame:
-    """Whether each series of a figure table has rows, and any value among them."""
-    return figures.groupBy("figure_key", "series").agg(
-        (F.count(F.lit(1)) > 0).alias("has_data"), (F.count("value") > 0).alias("has_values"))
+def presence_check(figures: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Whether each series of the catalogue (figure_key, series) has rows in a figure
+    table, and any value among them; series that a table lacks are there too."""
+    found = figures.groupBy("figure_key", "series").agg(F.count("value").alias("_values"))
+    return catalogue.join(found, ["figure_key", "series"], "left").select(
+        "figure_key", "series", F.col("_values").isNotNull().alias("has_data"),
+        (F.coalesce("_values", F.lit(0)) > 0).alias("has_values"))

@@ -14,8 +14,8 @@ key, so a key with a third of all events must not become one task:
    reached are found by doubling the jumps, log2(chunks) joins;
 4. with its entry known, each chunk lists its window starts on its own.
 
-What a task holds is one key's distinct instants in one chunk.  The chunk length is
-chosen from the densest window in the data, down to a single window.
+What a task holds is one key's distinct instants in one chunk, a fixed number of
+windows; a parameter sets it, down to a single window.
 """
 
 from __future__ import annotations
@@ -98,24 +98,21 @@ def _reached(first: DataFrame, edges: DataFrame) -> DataFrame:
     return reach
 
 
-_INSTANTS_PER_CHUNK = 4_000_000
-_MOST_WINDOWS = 1024
-
-
-def _chunk_length(instants: DataFrame, window: int) -> int:
-    """Windows per chunk, such that the densest key fits in memory comfortably."""
-    slots = instants.groupBy("k", F.floor(F.col("t") / window).alias("slot")).agg(
-        F.count(F.lit(1)).alias("n"))
-    densest = slots.agg(F.max("n")).first()[0] or 1
-    return max(1, min(_MOST_WINDOWS, _INSTANTS_PER_CHUNK // densest))
+#: Windows of a chunk, at every size of the data: what a task holds is one key's distinct
+#: instants in so many windows.
+WINDOWS_PER_CHUNK = 16
 
 
 def window_starts(events: DataFrame, key: str, micros: Column, window: int,
-                  windows_per_chunk: int | None = None) -> DataFrame:
-    """Rows (k, chunk, start): every window start, in microseconds."""
-    instants = settled(events.select(F.col(key).alias("k"), micros.alias("t")).distinct(),
-                       "quota-instants")
-    chunk = window * (windows_per_chunk or _chunk_length(instants, window))
+                  windows_per_chunk: int = WINDOWS_PER_CHUNK) -> DataFrame:
+    """Rows (k, chunk, start): every window start, in microseconds.
+
+    ``k`` is the key in a struct: NULL keys are equal there, so their events have
+    windows of their own.  Events without a time start none.
+    """
+    timed = events.select(F.struct(F.col(key)).alias("k"), micros.alias("t")).filter("t IS NOT NULL")
+    instants = settled(timed.distinct(), "quota-instants")
+    chunk = window * windows_per_chunk
     instants = instants.withColumn("chunk", F.floor(F.col("t") / chunk))
     in_first = F.col("t") - F.col("chunk") * chunk < window
 
@@ -172,11 +169,16 @@ def window_starts(events: DataFrame, key: str, micros: Column, window: int,
 
 def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,
                 limit: int = QUOTA_LIMIT, window_seconds: float = QUOTA_WINDOW_SECONDS,
-                windows_per_chunk: int | None = None) -> DataFrame:
-    """Add window_start (us), n_in_window, allowed, remaining and retry_after (s)."""
+                windows_per_chunk: int = WINDOWS_PER_CHUNK, slices: int = 64) -> DataFrame:
+    """Add window_start (us), n_in_window, allowed, remaining and retry_after (s).
+
+    Every event stays: a NULL key is a key like others, and an event without a
+    time has NULL in all five.  Numbers within a window are taken in ``slices``
+    equal parts of it, so no task sorts a whole window of a busy key.
+    """
     window = int(round(window_seconds * 1_000_000))
-    if window <= 0 or (windows_per_chunk is not None and windows_per_chunk < 1):
-        raise ValueError("window and chunk must be positive")
+    if window <= 0 or windows_per_chunk < 1 or slices < 1:
+        raise ValueError("window, chunk and slices must be positive")
     starts = settled(window_starts(events, key, micros, window, windows_per_chunk),
                      "quota-starts")
 
@@ -187,15 +189,19 @@ def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,
         F.array(slot, slot + 1)).alias("_slot"))
     placed = events.withColumn("_t", micros).withColumn(
         "_at", F.floor(F.col("_t") / window)).join(
-        held, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_slot"))
-        & (F.col("start") <= F.col("_t")) & (F.col("_t") < F.col("start") + window))
-    fine = F.floor((F.col("_t") - F.col("start")) * 64 / window)
+        held, (F.struct(F.col(key)) == F.col("_k")) & (F.col("_at") == F.col("_slot"))
+        & (F.col("start") <= F.col("_t")) & (F.col("_t") < F.col("start") + window), "left")
+    # events without a window are dealt out by their tie-break: they get no number
+    fine = F.when(F.col("start").isNull(), F.pmod(F.xxhash64(tie), F.lit(slices))).otherwise(
+        F.floor((F.col("_t") - F.col("start")) * slices / window))
     counted = numbered(placed.drop("_k", "_slot", "_at"), [key, "start"], ["_t", tie], fine,
                        "n_in_window")
     allowed = F.col("n_in_window") <= limit
     wait = (F.col("start") + window - F.col("_t")) / 1e6
+    placed = F.col("start").isNotNull()
     return counted.select(
-        *events.columns, F.col("start").alias("window_start"), "n_in_window",
-        allowed.alias("allowed"),
-        F.when(allowed, limit - F.col("n_in_window")).otherwise(0).alias("remaining"),
-        F.when(allowed, F.lit(0.0)).otherwise(wait).alias("retry_after"))
+        *events.columns, F.col("start").alias("window_start"),
+        F.when(placed, F.col("n_in_window")).alias("n_in_window"),
+        F.when(placed, allowed).alias("allowed"),
+        F.when(placed, F.when(allowed, limit - F.col("n_in_window")).otherwise(0)).alias("remaining"),
+        F.when(placed, F.when(allowed, F.lit(0.0)).otherwise(wait)).alias("retry_after"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions.periods import (
     fiscal_quarter, fiscal_start_year, in_fiscal_years, start_label)
 from factloom.schema import FACT_COLUMNS, MEASURE_GROUP, MEASURES, TOTAL_KEY, TOTAL_NAME, WINDOW_MODES
+from factloom.sources.shared import settled
 
 URGENT = ("1-URGENT", "2-HIGH")
 CLOSED = ("F", "P")
@@ -72,23 +73,39 @@ def _counters(measures: Iterable[str]) -> list[Column]:
     return out
 
 
+def _refolded(counters: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Counters summed up to fewer keys."""
+    names = ["n_personal", "n_other", *_counter_names(measures)]
+    return counters.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def quarter_counters(tables, measures: Iterable[str], fys: Iterable[str] | None = None) -> DataFrame:
+    """Orders folded to one row of counters per entity and quarter, written out: every level,
+    the headline and whatever else is asked of the facts is summed up from these."""
+    rows = request_rows(tables.orders, tables.lineitem, measures, fys)
+    folded = rows.groupBy("o_custkey", "start_year", "quarter").agg(*_counters(measures))
+    return settled(folded, "counters")
+
+
 def _counter_names(measures: Iterable[str]) -> list[str]:
     return [f"{m}_{b}" for m in measures for b in ("personal", "other")]
 
 
-def _levels(rows: DataFrame, measures: list[str], levels: set[str]) -> DataFrame:
-    """Counters per entity and period, at every level asked for.
+def _levels(rows: DataFrame, measures: list[str], levels: set[str], folded: bool = False) -> DataFrame:
+    """Counters per entity and period, at every level asked for.  ``rows``: requests, or
+    their quarter counters if ``folded``.
 
     A bucket is present in a period only where an order fell into it; presence is
     carried by ``n_personal``/``n_other`` so that missing never becomes 0.
     """
     names = _counter_names(measures)
     if levels == {"fy"}:
-        annual = rows.groupBy("o_custkey", "start_year").agg(*_counters(measures))
+        keys = ["o_custkey", "start_year"]
+        annual = _refolded(rows, keys, measures) if folded else rows.groupBy(*keys).agg(*_counters(measures))
         return annual.withColumns(
             {"quarter": F.lit(None).cast("int"), "window_mode": F.lit("fy")})
 
-    quarterly = rows.groupBy("o_custkey", "start_year", "quarter").agg(*_counters(measures))
+    quarterly = rows if folded else rows.groupBy("o_custkey", "start_year", "quarter").agg(*_counters(measures))
     if levels == {"single_quarter"}:
         return quarterly.withColumn("window_mode", F.lit("single_quarter"))
 
@@ -155,24 +172,30 @@ def entity_dimension(customer: DataFrame, nation: DataFrame, region: DataFrame,
 def build_facts(tables, measures: Iterable[str] = MEASURES,
                 levels: Iterable[str] = ("fy",), headline: bool = False,
                 fys: Iterable[str] | None = None, buckets=("personal", "other", "total"),
-                ) -> DataFrame:
-    """Canonical fact rows; only the measures, levels and years asked for."""
+                folded: bool = False) -> DataFrame:
+    """Canonical fact rows; only the measures, levels and years asked for.
+
+    With a headline, or if ``folded`` because the facts are read more than once, orders and
+    line items are read once and folded to quarter counters.
+    """
     measures = [m for m in MEASURES if m in set(measures)]
     levels = set(levels)
     if not measures or not levels or not levels <= set(WINDOW_MODES):
         raise ValueError("unknown measure or level")
-    rows = request_rows(tables.orders, tables.lineitem, measures, fys)
+    folded = folded or headline
+    rows = quarter_counters(tables, measures, fys) if folded else request_rows(
+        tables.orders, tables.lineitem, measures, fys)
     entity = entity_dimension(tables.customer, tables.nation, tables.region)
     # Both sides grow with the data and the rows fan out right after this join, so
     # it is a merge join: broadcasting either side would leave the fan-out with the
     # few partitions of the other.
-    named = _levels(rows, measures, levels).join(entity.hint("merge"), "o_custkey").withColumns({
+    named = _levels(rows, measures, levels, folded).join(entity.hint("merge"), "o_custkey").withColumns({
         "entity_key": F.col("o_custkey").cast("string"),
         "fy": start_label(F.col("start_year"))})
     ids = ["entity_key", "entity_name", "fy", "quarter", "window_mode", "portfolio"]
     facts = _finish(_long(named, ids, measures, buckets), derived=False)
     if headline:
-        facts = facts.unionByName(headline_facts(tables, measures, fys))
+        facts = facts.unionByName(_headline(_refolded(rows, ["start_year", "quarter"], measures), measures))
     return facts
 
 
@@ -181,7 +204,11 @@ def headline_facts(tables, measures: Iterable[str] = MEASURES,
     """Single-quarter totals straight from the orders, as the entity ``Total``."""
     measures = list(measures)
     rows = request_rows(tables.orders, tables.lineitem, measures, fys)
-    wide = rows.groupBy("start_year", "quarter").agg(*_counters(measures)).withColumns({
+    return _headline(rows.groupBy("start_year", "quarter").agg(*_counters(measures)), measures)
+
+
+def _headline(counters: DataFrame, measures: list[str]) -> DataFrame:
+    wide = counters.withColumns({
         "fy": start_label(F.col("start_year")),
         "entity_key": F.lit(TOTAL_KEY),
         "entity_name": F.lit(TOTAL_NAME),

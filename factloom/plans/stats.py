@@ -243,9 +243,16 @@ def board_of(facts: DataFrame, pins: Pins) -> DataFrame:
     return stat_board(summarised(facts.filter(stat_sources(pins))), pins)
 
 
-def trend_figures(cells: DataFrame) -> DataFrame:
-    """Rows (figure_key, series, category, value) of the yearly figures; a series
-    without any published value has no rows."""
+def catalogue_series() -> list[tuple[str, str]]:
+    """Every (figure key, series) of the catalogue."""
+    out = [(key, name) for key, series in TREND_FIGURES.items() for name in series]
+    out += [(key, name) for key, (name, *_) in RATIO_FIGURES.items()]
+    return out + list(TOP_FIGURES.items())
+
+
+def trend_figures(cells: DataFrame, published: bool = True) -> DataFrame:
+    """Rows (figure_key, series, category, value) of the yearly figures; of the published
+    ones, a series without any value has no rows."""
     entries = []
     for key, series in TREND_FIGURES.items():
         entries += [(key, name, F.col(m)) for name, m in series.items()]
@@ -257,6 +264,8 @@ def trend_figures(cells: DataFrame) -> DataFrame:
     long = series_of(cells).select(
         F.col("fy").alias("category"),
         F.stack(F.lit(len(entries)), *flat).alias("figure_key", "series", "value"))
+    if not published:
+        return long.select("figure_key", "series", "category", "value")
     whole_series = Window.partitionBy("figure_key", "series")
     return long.withColumn("_any", F.count("value").over(whole_series)).filter(
         F.col("_any") > 0).select("figure_key", "series", "category", "value")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +11,14 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder is used, which only a local
-    session can share with its executors.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get(_KEY, None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {_KEY} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set(_KEY, folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one below the
+    warehouse, which every session has and all executors reach."""
+    folder = _setting(spark)
+    return folder or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_factloom")
+
+
+def _setting(spark: SparkSession) -> str | None:
+    return spark.conf.get(_KEY, None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -140,17 +140,15 @@ def _(t):
 
 
 @query("drop_total_rows", over_facts("""
-SELECT 'fact' AS kind, fy, sum(value) AS value FROM facts
-WHERE window_mode = 'single_quarter' AND measure = 'decided' AND bucket = 'total'
-  AND lower(entity_name) <> 'total' GROUP BY fy
-UNION ALL SELECT 'control', fy, sum(value) FROM facts
-WHERE derived AND measure = 'decided' GROUP BY fy"""))
+SELECT 'fact' AS kind, fy, measure, bucket, sum(value) AS value FROM facts
+WHERE window_mode = 'single_quarter' AND lower(entity_name) <> 'total' GROUP BY ALL
+UNION ALL SELECT 'control', fy, measure, bucket, sum(value) FROM facts
+WHERE derived GROUP BY ALL"""))
 def _(t):
-    facts = build_facts(t, ["decided"], levels=("single_quarter",), headline=True,
-                        buckets=("total",))
+    facts = build_facts(t, levels=("single_quarter",), headline=True)
 
     def per_year(kind, rows):
-        return rows.groupBy("fy").agg(F.sum("value").alias("value")).select(
+        return rows.groupBy("fy", "measure", "bucket").agg(F.sum("value").alias("value")).select(
             F.lit(kind).alias("kind"), "*")
 
     return per_year("fact", M.drop_total_rows(facts)).unionByName(
@@ -191,11 +189,10 @@ def _(t):
 
 
 @query("inject_headline", over_facts(f"""
-SELECT {_COLUMNS} FROM facts WHERE window_mode = 'single_quarter' AND measure = 'received'
-  AND bucket = 'total'"""))
+SELECT {_COLUMNS} FROM facts WHERE window_mode = 'single_quarter'"""))
 def _(t):
-    facts = build_facts(t, ["received"], levels=("single_quarter",), buckets=("total",))
-    published = headline_facts(t, ["received"]).select("fy", "quarter", "measure", "value")
+    facts = build_facts(t, levels=("single_quarter",))
+    published = headline_facts(t).select("fy", "quarter", "measure", "value")
     return M.inject_headline(facts, published)
 
 

@@ -33,10 +33,9 @@ def _(t):
 
 
 @query("annual_rows", over_facts(f"""
-SELECT {_COLUMNS} FROM facts WHERE quarter IS NULL AND measure IN ('received', 'decided')"""))
+SELECT {_COLUMNS} FROM facts WHERE quarter IS NULL"""))
 def _(t):
-    return P.annual_rows(build_facts(t, ["received", "decided"],
-                                     levels=("fy", "single_quarter")))
+    return P.annual_rows(build_facts(t, levels=("fy", "single_quarter")))
 
 
 @query("search_facts", over_facts(f"""
@@ -52,12 +51,12 @@ def _(t):
 SELECT DISTINCT entity_name FROM facts
 WHERE NOT starts_with(entity_name, 'x') AND lower(entity_name) <> 'total'"""))
 def _(t):
-    return P.list_entities(build_facts(t, ["received"], buckets=("total",)))
+    return P.list_entities(build_facts(t, levels=("fy", "single_quarter"), headline=True))
 
 
 @query("list_groups", over_facts("SELECT DISTINCT measure_group FROM facts"))
 def _(t):
-    return P.list_groups(build_facts(t, ["received"], buckets=("total",)))
+    return P.list_groups(build_facts(t))
 
 
 @query("measures_by_group", over_facts("""
@@ -84,24 +83,22 @@ SELECT 'entity' AS dimension, entity_name AS option FROM facts GROUP BY ALL
 UNION ALL SELECT 'bucket', bucket FROM facts GROUP BY ALL
 UNION ALL SELECT 'fy', fy FROM facts GROUP BY ALL"""))
 def _(t):
-    return P.filter_options(build_facts(t, ["received"], headline=True))
+    return P.filter_options(build_facts(t, headline=True))
 
 
 @query("present_buckets", over_facts("""
 SELECT bucket, CAST(list_position(['personal', 'other', 'total'], bucket) AS INTEGER) AS ord
 FROM facts GROUP BY bucket"""))
 def _(t):
-    return P.present_buckets(build_facts(t, ["received"]))
+    return P.present_buckets(build_facts(t))
 
 
 @query("exclude_pseudo", over_facts("""
-SELECT fy, quarter, count(*) AS entities, sum(value) AS value FROM facts
-WHERE window_mode = 'single_quarter' AND measure = 'received' AND bucket = 'total'
-  AND lower(entity_name) <> 'total' GROUP BY fy, quarter"""))
+SELECT fy, quarter, measure, bucket, count(*) AS entities, sum(value) AS value FROM facts
+WHERE window_mode = 'single_quarter' AND lower(entity_name) <> 'total' GROUP BY ALL"""))
 def _(t):
-    facts = build_facts(t, ["received"], levels=("single_quarter",), headline=True,
-                        buckets=("total",))
-    return P.exclude_pseudo(facts).groupBy("fy", "quarter").agg(
+    facts = build_facts(t, levels=("single_quarter",), headline=True)
+    return P.exclude_pseudo(facts).groupBy("fy", "quarter", "measure", "bucket").agg(
         F.count(F.lit(1)).alias("entities"), F.sum("value").alias("value"))
 
 
@@ -134,7 +131,7 @@ def _(t):
 SELECT count(DISTINCT entity_name) AS entities FROM facts
 WHERE window_mode = 'fy' AND lower(entity_name) <> 'total'"""))
 def _(t):
-    return A.distinct_entities(build_facts(t, ["received"], buckets=("total",)))
+    return A.distinct_entities(build_facts(t, headline=True))
 
 
 @query("trend", over_facts("""
@@ -235,16 +232,10 @@ def _(t):
 
 
 def pearson_sql(x, y):
-    """Coefficient over complete pairs of two expressions."""
+    """Coefficient over complete pairs of two expressions, by the database's own function."""
     both = f"FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)"
-
-    def spread(a, b):
-        return (f"(count(*) {both} * sum({a} * {b}) {both} "
-                f"- sum({a}) {both} * sum({b}) {both})")
-
     return (f"CASE WHEN count(*) {both} >= 2 AND min({x}) {both} < max({x}) {both} "
-            f"AND min({y}) {both} < max({y}) {both} THEN round_even({spread(x, y)} "
-            f"/ sqrt({spread(x, x)} * {spread(y, y)}), 3) + 0e0 END")
+            f"AND min({y}) {both} < max({y}) {both} THEN round_even(corr({x}, {y}) {both}, 3) + 0e0 END")
 
 
 @query("pearson", over_series(
@@ -326,11 +317,11 @@ def _(t):
 
 @query("page_facts", over_facts(f"""
 SELECT {_COLUMNS}, count(*) OVER () AS total FROM facts
-WHERE window_mode = 'fy' AND measure IN ('received', 'refused')
+WHERE window_mode = 'fy'
 ORDER BY entity_key, fy, quarter NULLS FIRST, measure_group, measure, bucket, window_mode
 LIMIT 1000 OFFSET 2000"""))
 def _(t):
-    return R.page_facts(build_facts(t, ["received", "refused"]), limit=1000, offset=2000)
+    return R.page_facts(build_facts(t, folded=True), limit=1000, offset=2000)
 
 
 @query("bar_scale", over_series("""

@@ -40,7 +40,7 @@ def mixed(seed, n):
     return out
 
 
-@pytest.mark.parametrize("per_chunk", [1, 3, None])
+@pytest.mark.parametrize("per_chunk", [1, 3, 16])
 def test_dense_key_without_pauses(spark, per_chunk):
     events = regular(300)
     assert flags(spark, events, 2, 20.0, per_chunk) == brute(events, 2, 20 * SECOND)
