@@ -100,7 +100,7 @@ def _published(series: DataFrame, column: str) -> DataFrame:
 
 def trend(facts: DataFrame, measure: str = "received") -> DataFrame:
     series = fy_series(facts, [measure], pseudo=False)
-    return _published(series.select("fy", F.col(measure).alias("value")), "value")
+    return _published(series.select("fy", F.col(measure).alias("value"), F.lit(ANNUAL).alias("basis")), "value")
 
 
 def ratio(parts: Iterable[str], whole: str, places: int) -> Column:
@@ -116,36 +116,75 @@ def ratio_trend(facts: DataFrame, parts: Iterable[str], whole: str = "decided",
     """Yearly percentage of one or several measures in another, e.g. refused of decided."""
     parts = list(parts)
     series = fy_series(facts, dict.fromkeys([*parts, whole]))
-    return series.select("fy", ratio(parts, whole, places).alias("value"))
+    return series.select("fy", ratio(parts, whole, places).alias("value"), F.lit(ANNUAL).alias("basis"))
 
 
 def zip_series(facts: DataFrame, left: str, right: str) -> DataFrame:
     """Two yearly series side by side with their element-wise ratio."""
     series = fy_series(facts, dict.fromkeys([left, right]))
     return series.select("fy", F.col(left).alias("left_value"), F.col(right).alias("right_value"),
-                         F.try_divide(F.col(left), F.col(right)).alias("ratio"))
+                         F.try_divide(F.col(left), F.col(right)).alias("ratio"),
+                         F.lit(ANNUAL).alias("basis"))
 
 
 def multi_measure_trend(facts: DataFrame, measures: Iterable[str] = (
         "granted_full", "granted_part", "refused", "withdrawn")) -> DataFrame:
-    return fy_series(facts, measures)
+    return fy_series(facts, measures).withColumn("basis", F.lit(ANNUAL))
 
 
 def compare_periods(facts: DataFrame, fy_a: str, fy_b: str, measure: str = "received",
                     level: str | None = ANNUAL) -> DataFrame:
-    """Totals of two years, change and percentage; a missing year counts as 0 and
-    a zero base has no percentage."""
+    """Totals of two years, change and percentage; a missing year, or none given, counts as 0
+    and a zero base has no percentage."""
     rows = _entity_rows(facts, level, measure=measure).filter(F.col("fy").isin(fy_a, fy_b))
 
     def total(fy):
-        return F.coalesce(F.sum(F.when(F.col("fy") == fy, F.col("value"))), F.lit(0.0))
+        return F.coalesce(F.sum(F.when(F.col("fy") == F.lit(fy).cast("string"), F.col("value"))), F.lit(0.0))
 
-    sums = rows.agg(total(fy_a).alias("a"), total(fy_b).alias("b"))
+    sums = rows.agg(total(fy_a).alias("a"), total(fy_b).alias("b"), basis())
     change = F.col("b") - F.col("a")
     return sums.select(
-        F.lit(fy_a).alias("fy_a"), F.lit(fy_b).alias("fy_b"),
+        F.lit(fy_a).cast("string").alias("fy_a"), F.lit(fy_b).cast("string").alias("fy_b"),
         half_even(F.col("a")).alias("value_a"), half_even(F.col("b")).alias("value_b"),
-        half_even(change).alias("change"), percent(change, F.col("a")).alias("change_pct"))
+        half_even(change).alias("change"), percent(change, F.col("a")).alias("change_pct"), "basis")
+
+
+def period_change(facts: DataFrame, measure: str = "received", level: str = ANNUAL) -> DataFrame:
+    """Each period's total, the one before it among those with rows, and the change: year on
+    year for annual rows, quarter on quarter for single quarters."""
+    rows = _entity_rows(facts, level, measure=measure)
+    totals = rows.groupBy("fy", "quarter").agg(F.sum("value").alias("_v"), basis())
+    before = Window.partitionBy("basis").orderBy("fy", "quarter")  # a row per period
+    change = F.col("_v") - F.col("_p")
+    return totals.withColumn("_p", F.lag("_v").over(before)).select(
+        "fy", "quarter", half_even(F.col("_v")).alias("value"), half_even(F.col("_p")).alias("previous"),
+        half_even(change).alias("change"), percent(change, F.col("_p"), 1).alias("change_pct"), "basis")
+
+
+def _entity_changes(facts, fy_a, fy_b, measure, level):
+    """Change of every entity with rows in either year; the other one then counts as 0."""
+    rows = _entity_rows(facts, level, measure=measure).filter(F.col("fy").isin(fy_a, fy_b))
+    signed = F.when(F.col("fy") == fy_b, F.col("value")).otherwise(-F.col("value"))
+    return rows.groupBy("entity_name").agg(F.sum(signed).alias("change"), basis())
+
+
+def change_contributions(facts: DataFrame, fy_a: str, fy_b: str, measure: str = "received",
+                         level: str = ANNUAL) -> DataFrame:
+    """What part of the whole change between two years each entity makes up, in per cent;
+    NULL where the whole doesn't change."""
+    changes = _entity_changes(facts, fy_a, fy_b, measure, level)
+    whole = changes.agg(F.sum("change").alias("whole"))
+    return changes.select("entity_name", half_even(F.col("change")).alias("change"),
+                          percent(F.col("change"), whole.scalar(), 1).alias("share_pct"), "basis")
+
+
+def change_counts(facts: DataFrame, fy_a: str, fy_b: str, measure: str = "received",
+                  level: str = ANNUAL) -> DataFrame:
+    """How many entities went up, down or stayed between two years."""
+    changes = _entity_changes(facts, fy_a, fy_b, measure, level)
+    change = F.col("change")
+    return changes.agg(F.count_if(change > 0).alias("up"), F.count_if(change < 0).alias("down"),
+                       F.count_if(change == 0).alias("same"))
 
 
 def pearson(x: Column, y: Column, places: int = 3) -> Column:
@@ -235,7 +274,8 @@ def period_movers(facts: DataFrame, fy_a: str, fy_b: str, part: str = "refused",
     rate_b = F.lit(100.0).cast("double") * F.col("pb") / F.col("wb")
     return sums.filter((F.col("wa") > 0) & (F.col("wb") > 0)).select(
         "entity_name", half_even(rate_a, 1).alias("fy_a_rate"),
-        half_even(rate_b, 1).alias("fy_b_rate"), half_even(rate_b - rate_a, 1).alias("change"))
+        half_even(rate_b, 1).alias("fy_b_rate"), half_even(rate_b - rate_a, 1).alias("change"),
+        F.lit(ANNUAL).alias("basis"))
 
 
 def presence_check(figures: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def run_op(facts: DataFrame, op: str, params: dict | None = None,
     if name == "trend":
         return A.trend(facts, params.get("measure", "received")).orderBy("fy")
     if name == "compare_period":
-        return A.compare_periods(facts, params["fy_a"], params["fy_b"],
+        return A.compare_periods(facts, params.get("fy_a"), params.get("fy_b"),
                                  params.get("measure", "received"), level)
     if name == "by_portfolio":
         return A.by_portfolio(facts, **chosen, level=level)

@@ -51,7 +51,7 @@ def record_stat_ops(panel_rows: DataFrame, board: DataFrame, dataset_id: int = 1
         F.col("op").isNotNull())
     return cited.join(board, cited["op"] == board["stat_key"]).select(
         "artifact_id", F.lit(dataset_id).cast("bigint").alias("dataset_id"), "pos",
-        F.lit("stat").alias("kind"), "op", F.lit("{}").alias("params"),
+        F.lit("figure").alias("kind"), "op", F.lit("{}").alias("params"),
         F.col("source_rows").alias("row_count"), "rows_hash",
         F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("result_value"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from factloom.functions.numbers import parse_number
 from factloom.functions.periods import fiscal_label
-from factloom.schema import POSITIONAL_WIDTH
+from factloom.schema import HEADER_ROWS, POSITIONAL_WIDTH
 
 # Header of the long-run file.
 LONG_RUN_COLUMNS = {
@@ -34,16 +35,47 @@ def _text_schema(names) -> T.StructType:
 
 def read_wide(spark: SparkSession, path, width: int = POSITIONAL_WIDTH,
               headers: list[str] | None = None) -> DataFrame:
-    """A sheet as text cells, named by position or by the headers given.
+    """A sheet without banner rows as text cells, named by position or by the headers given.
 
-    Short rows are padded with NULL.  Rows without an entity name or under a
-    banner are for the melt step to drop.
+    Short rows are padded with NULL.  Rows without an entity name are for the melt
+    step to drop.  :func:`read_sheet` reads sheets that begin with header rows.
     """
     names = headers if headers is not None else [f"c{i}" for i in range(width)]
     return spark.read.schema(_text_schema(names)).option("mode", "PERMISSIVE").option(
         "multiLine", False).csv(path)
 
 
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """(pos, line) of each file below ``path``; a sheet file is read whole, so its rows have
+    places.  Cells don't hold line breaks."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+
+
+def sheet_headers(spark: SparkSession, path) -> list[str]:
+    """The header texts of a sheet: its first row.  Cells without one are named by place, as
+    are those that repeat an earlier one."""
+    first = _lines(spark, path).filter("pos = 0").agg(F.min("line")).first()[0]
+    names: list[str] = []
+    for i, text in enumerate(next(csv.reader([first or ""]), [])):
+        text = text.strip()
+        names.append(text if text and text.lower() not in {n.lower() for n in names} else f"c{i}")
+    return names
+
+
+def read_sheet(spark: SparkSession, path, header_rows: int = HEADER_ROWS, by_header: bool = False,
+               width: int = POSITIONAL_WIDTH) -> DataFrame:
+    """A sheet as it comes: its first ``header_rows`` rows are no data, whatever they hold.
+
+    Columns are named by place, or by the texts of the first row.  Files of one sheet
+    have the same header.  Empty lines are dropped, short rows padded with NULL.
+    """
+    names = sheet_headers(spark, path) if by_header else [f"c{i}" for i in range(width)]
+    rows = _lines(spark, path).filter((F.col("pos") >= header_rows) & (F.trim("line") != ""))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    return rows.select(F.from_csv("line", schema).alias("_row")).select("_row.*")
+
+
 def union_periods(spark: SparkSession, paths: Mapping[str, str], width: int = POSITIONAL_WIDTH,
                   headers: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Per-period sheets as one table with a ``fy`` column.

@@ -278,12 +278,13 @@ def _(t):
 @query("record_stat_ops", f"""
 WITH {CATALOGUE_HASHED}, {_PANELS}, board AS ({stat_rows(PINS, pearson_sql)}),
 cited AS (SELECT event_id AS artifact_id, pos, coalesce(nullif(stat, ''), figure) AS op FROM panels)
-SELECT artifact_id, CAST(1 AS BIGINT) AS dataset_id, pos, 'stat' AS kind, op, '{{}}' AS params,
-       source_rows AS row_count, rows_hash FROM cited JOIN board ON stat_key = op""")
+SELECT artifact_id, CAST(1 AS BIGINT) AS dataset_id, pos, 'figure' AS kind, op, '{{}}' AS params,
+       source_rows AS row_count, rows_hash, coalesce(CAST(value AS VARCHAR), 'null') AS result_value FROM cited JOIN board ON stat_key = op""")
 def _(t):
-    board = S.headline_stats(S.summarised(catalogue_facts(t)), PINS)
+    cells = S.summarised(catalogue_facts(t))
+    board = S.stat_board(cells, PINS).unionByName(S.headline_stats(cells, PINS, keys=S.FIGURE_KEYS))
     rows = SP.panels(specs(t)).withColumnRenamed("event_id", "artifact_id")
-    return L.record_stat_ops(rows, board).drop("result_value")
+    return L.record_stat_ops(rows, board)
 
 
 # -- screening ---------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import number_label, parse_number
@@ -12,7 +14,8 @@ from factloom.plans.facts import (
     build_facts, entity_dimension, headline_facts, request_rows)
 from factloom.schema import ACTION_PREFIXES, FACT_COLUMNS, POSITIONAL_WIDTH, RESPONSE_PREFIXES
 from factloom.sources.shared import fresh_path
-from factloom.sources.wide import LONG_RUN_COLUMNS, read_long_run, read_wide, union_periods
+from factloom.sources.wide import (
+    LONG_RUN_COLUMNS, read_long_run, read_sheet, read_wide, union_periods)
 from factloom.suite.registry import query
 from factloom.suite.sql import fy, over_facts, over_requests
 
@@ -221,6 +224,59 @@ def _(t):
         "c0", "entity_name")
 
 
+_SHEET_ROWS = 500
+
+
+def _write_sheets(t, sheet, path, head):
+    """Sheets as they are published: header rows, entity rows, a note, a total row; a file
+    has ``_SHEET_ROWS`` entities or so."""
+    cells = sheet.drop("fy")
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cells.columns]))
+    part = F.pmod(F.xxhash64(sheet.columns[0]), F.lit(1 + t.customer.count() // _SHEET_ROWS))
+    files = sheet.select(line.alias("line"), "fy", part.alias("part")).groupBy("fy", "part").agg(
+        F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    tail = ["", "x a note" + ",7" * 30, "Total" + ",12114" * 30]
+    text = F.concat_ws("\n", *[F.lit(h) for h in head], "lines", *[F.lit(x) for x in tail])
+    files.select(text.alias("value"), "fy", "part").write.partitionBy("fy", "part").text(path)
+
+
+def _read_sheets(t, path, years, **how):
+    return reduce(lambda a, b: a.unionByName(b), [
+        read_sheet(t.spark, f"{path}/fy={fy}/*", **how).withColumn("fy", F.lit(fy)) for fy in years])
+
+
+def _no_extras(rows, name):
+    return M.drop_total_rows(M.drop_note_rows(rows, name), name)
+
+
+@query("read_sheet", _melt_sql(["received", "finalised"]))
+def _(t):
+    """Positional sheets whose three header rows hold numbers too, as a melt must not see."""
+    path = fresh_path(t.spark, "sheets")
+    sheet = positional_sheet(t)
+    _write_sheets(t, sheet, path, ["Agency" + ",received" * 21, "Agency name" + ",12114" * 21, "" + ",1" * 21])
+    years = [r[0] for r in sheet.select("fy").distinct().collect()]  # one row per calendar year
+    rows = _no_extras(_read_sheets(t, path, years), "c0")
+    return M.melt_positional(rows, ["c0", "fy"], on_bad="zero").withColumnRenamed("c0", "entity_name")
+
+
+@query("read_sheet_by_header", _melt_sql(["withdrawn", "granted_part", "refused"]))
+def _(t):
+    """Sheets whose columns are found by the header texts in the file."""
+    named = {"withdrawn": "Withdrawn", "granted_part": "GRANTED IN PART (no.)", "refused": "Access refused"}
+    path, head = fresh_path(t.spark, "sheets"), ["Agency"]
+    counts = _sheet_counts(t, list(named))
+    cells = [F.col("entity_name")]
+    for m, text in named.items():
+        cells += [F.col(f"{m}_{b}").cast("string").alias(f"{m}_{b}") for b in "pot"]
+        head += [f'"{text}, all"', "", ""]
+    sheet = counts.select(*cells, "fy")
+    _write_sheets(t, sheet, path, [",".join([*head, "Withdrawn %"]), "Agency name" + ",99" * 10, "" + ",2" * 10])
+    years = [r[0] for r in sheet.select("fy").distinct().collect()]
+    rows = _no_extras(_read_sheets(t, path, years, by_header=True), "Agency")
+    return M.melt_by_header(rows, ["Agency", "fy"], ACTION_PREFIXES).withColumnRenamed("Agency", "entity_name")
+
+
 @query("union_periods", _melt_sql(["received", "finalised"]))
 def _(t):
     root = fresh_path(t.spark, "periods")

@@ -136,7 +136,7 @@ def _(t):
 
 @query("trend", over_facts("""
 SELECT fy, round_even(sum(CASE WHEN measure = 'received' AND bucket = 'total'
-                               THEN value END), 0) AS value
+                               THEN value END), 0) AS value, 'fy' AS basis
 FROM facts WHERE window_mode = 'fy' GROUP BY fy"""))
 def _(t):
     return A.trend(build_facts(t, ["received"]), "received")
@@ -145,7 +145,7 @@ def _(t):
 @query("compare_periods", over_facts(f"""
 SELECT '{FY_A}' AS fy_a, '{FY_B}' AS fy_b, round_even(a, 0) AS value_a,
        round_even(b, 0) AS value_b, round_even(b - a, 0) AS change,
-       {_pct('(b - a)', 'a', 0)} AS change_pct
+       {_pct('(b - a)', 'a', 0)} AS change_pct, 'fy' AS basis
 FROM (SELECT coalesce(sum(value) FILTER (fy = '{FY_A}'), 0) AS a,
              coalesce(sum(value) FILTER (fy = '{FY_B}'), 0) AS b
       FROM facts WHERE window_mode = 'fy' AND measure = 'received' AND bucket = 'total')"""))
@@ -199,26 +199,26 @@ def over_series(body: str) -> str:
 
 
 @query("pct_trend", over_series(
-    f"SELECT fy, {_pct('refused', 'decided', 1)} AS value FROM series"))
+    f"SELECT fy, {_pct('refused', 'decided', 1)} AS value, 'fy' AS basis FROM series"))
 def _(t):
     return A.ratio_trend(build_facts(t, ["refused", "decided"]), ["refused"])
 
 
 @query("combined_pct_trend", over_series(
-    f"SELECT fy, {_pct('(granted_full + granted_part)', 'decided', 1)} AS value FROM series"))
+    f"SELECT fy, {_pct('(granted_full + granted_part)', 'decided', 1)} AS value, 'fy' AS basis FROM series"))
 def _(t):
     parts = ["granted_full", "granted_part"]
     return A.ratio_trend(build_facts(t, [*parts, "decided"]), parts)
 
 
 @query("within_pct_trend", over_series(
-    f"SELECT fy, {_pct('within_statutory', 'decided', 1)} AS value FROM series"))
+    f"SELECT fy, {_pct('within_statutory', 'decided', 1)} AS value, 'fy' AS basis FROM series"))
 def _(t):
     return A.ratio_trend(build_facts(t, ["within_statutory", "decided"]), ["within_statutory"])
 
 
 @query("multi_measure_trend", over_series(
-    "SELECT fy, granted_full, granted_part, refused, withdrawn FROM series"))
+    "SELECT fy, granted_full, granted_part, refused, withdrawn, 'fy' AS basis FROM series"))
 def _(t):
     return A.multi_measure_trend(
         build_facts(t, ["granted_full", "granted_part", "refused", "withdrawn"]))
@@ -226,7 +226,7 @@ def _(t):
 
 @query("zip_series", over_series("""
 SELECT fy, finalised AS left_value, received AS right_value,
-       finalised / nullif(received, 0) AS ratio FROM series"""))
+       finalised / nullif(received, 0) AS ratio, 'fy' AS basis FROM series"""))
 def _(t):
     return A.zip_series(build_facts(t, ["finalised", "received"]), "finalised", "received")
 
@@ -269,7 +269,7 @@ _RATES = f"""
 MOVERS = f"""
 SELECT entity_name, round_even(100e0 * pa / wa, 1) AS fy_a_rate,
        round_even(100e0 * pb / wb, 1) AS fy_b_rate,
-       round_even(100e0 * pb / wb - 100e0 * pa / wa, 1) + 0e0 AS change
+       round_even(100e0 * pb / wb - 100e0 * pa / wa, 1) + 0e0 AS change, 'fy' AS basis
 FROM ({_RATES}) WHERE wa > 0 AND wb > 0"""
 
 
@@ -282,6 +282,48 @@ def _(t):
     return A.period_movers(_rate_facts(t), FY_A, FY_B)
 
 
+_PERIODS = """SELECT fy, quarter, sum(value) AS v FROM facts
+  WHERE window_mode = '{level}' AND NOT derived AND measure = '{measure}' AND bucket = 'total' GROUP BY fy, quarter"""
+
+
+def _change_sql(level, measure):
+    return (f"SELECT fy, quarter, round_even(v, 0) AS value, round_even(p, 0) AS previous, "
+            f"round_even(v - p, 0) AS change, {_pct('(v - p)', 'p', 1)} AS change_pct, '{level}' AS basis "
+            f"FROM (SELECT *, lag(v) OVER (ORDER BY fy, quarter) AS p FROM ({_PERIODS.format(level=level, measure=measure)}))")
+
+
+@query("period_change", over_facts(
+    f"{_change_sql('fy', 'received')} UNION ALL {_change_sql('single_quarter', 'received')}"))
+def _(t):
+    """Year on year and quarter on quarter."""
+    facts = build_facts(t, ["received"], levels=("fy", "single_quarter"), folded=True)
+    return A.period_change(facts).unionByName(A.period_change(facts, level="single_quarter"))
+
+
+_CHANGES = f"""changes AS (
+  SELECT entity_name, sum(CASE WHEN fy = '{FY_B}' THEN value ELSE -value END) AS change FROM facts
+  WHERE window_mode = 'fy' AND measure = 'finalised' AND bucket = 'total' AND fy IN ('{FY_A}', '{FY_B}')
+  GROUP BY entity_name)"""
+
+
+@query("change_contributions", over_facts(f"""
+, {_CHANGES}
+SELECT entity_name, round_even(change, 0) AS change,
+       {_pct('change', '(SELECT sum(change) FROM changes)', 1)} + 0e0 AS share_pct, 'fy' AS basis FROM changes"""))
+def _(t):
+    facts = build_facts(t, ["finalised"], fys=[FY_A, FY_B], buckets=("total",))
+    return A.change_contributions(facts, FY_A, FY_B, "finalised")
+
+
+@query("change_counts", over_facts(f"""
+, {_CHANGES}
+SELECT count(*) FILTER (change > 0) AS up, count(*) FILTER (change < 0) AS down,
+       count(*) FILTER (change = 0) AS same FROM changes"""))
+def _(t):
+    facts = build_facts(t, ["finalised"], fys=[FY_A, FY_B], buckets=("total",))
+    return A.change_counts(facts, FY_A, FY_B, "finalised")
+
+
 @query("top_movers", over_facts(f"{MOVERS} ORDER BY abs(change) DESC, entity_name LIMIT 20"))
 def _(t):
     return R.top_movers(_rate_facts(t), FY_A, FY_B)

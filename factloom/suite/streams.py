@@ -28,14 +28,22 @@ fold AS (
   FROM fold f JOIN ranked r ON r.user_id = f.user_id AND r.rn = f.rn + 1)"""
 
 
-@query("quota_flags", f"""{_FOLD}
-SELECT event_id, user_id, window_start, n_in_window, n_in_window <= {LIMIT} AS allowed,
+# some events have no key, some no time; those without a key are one key
+_HOLES = "SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts FROM events"
+
+
+@query("quota_flags", f"""{_FOLD.replace('FROM events', f'FROM ({_HOLES}) WHERE ts IS NOT NULL').replace('r.user_id = f.user_id', 'r.user_id IS NOT DISTINCT FROM f.user_id')}
+SELECT event_id, user_id, NULL AS window_start, NULL AS n_in_window, NULL AS allowed, NULL AS remaining,
+       NULL AS retry_after FROM ({_HOLES}) WHERE ts IS NULL
+UNION ALL SELECT event_id, user_id, window_start, n_in_window, n_in_window <= {LIMIT} AS allowed,
        CASE WHEN n_in_window <= {LIMIT} THEN {LIMIT} - n_in_window ELSE 0 END AS remaining,
        CASE WHEN n_in_window <= {LIMIT} THEN 0
             ELSE (window_start + {WINDOW}000000 - t) / 1e6 END AS retry_after FROM fold""")
 def _(t):
-    flags = quota_flags(t.events, "user_id", epoch_micros(F.col("ts")), "event_id", LIMIT, WINDOW)
-    return flags.drop("ts", "event_type", "value", "props")
+    events = t.events.select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("user_id")).alias("user_id"),
+                             F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("ts"))
+    flags = quota_flags(events, "user_id", epoch_micros(F.col("ts")), "event_id", LIMIT, WINDOW)
+    return flags.drop("ts")
 
 
 def _logged(t):

@@ -27,12 +27,12 @@ def facts(fact_table):
 
 
 def test_trend_keeps_missing_years_null_and_true_zeros(facts, rows):
-    assert rows(A.trend(facts, "received")) == [(Y1, 15.0), (Y2, 0.0), (Y3, None)]
+    assert rows(A.trend(facts, "received")) == [(Y1, 15.0, "fy"), (Y2, 0.0, "fy"), (Y3, None, "fy")]
     assert rows(A.trend(facts, "withdrawn")) == []
 
 
 def test_ratio_trend_is_null_without_a_denominator(facts, rows):
-    assert rows(A.ratio_trend(facts, ["refused"])) == [(Y1, None), (Y2, None), (Y3, 100.0)]
+    assert rows(A.ratio_trend(facts, ["refused"])) == [(Y1, None, "fy"), (Y2, None, "fy"), (Y3, 100.0, "fy")]
 
 
 def test_empty_selection_sums_to_zero(facts):
@@ -80,7 +80,7 @@ def test_movers_need_both_denominators(fact_table, rows):
         ("A", Y2, None, "decided", "total", 4), ("A", Y2, None, "refused", "total", 4),
         ("B", Y1, None, "decided", "total", 5), ("B", Y2, None, "refused", "total", 5),
         ("C", Y1, None, "decided", "total", 5), ("C", Y2, None, "decided", "total", 5))
-    assert rows(A.period_movers(facts, Y1, Y2)) == [("A", 25.0, 100.0, 75.0), ("C", 0.0, 0.0, 0.0)]
+    assert rows(A.period_movers(facts, Y1, Y2)) == [("A", 25.0, 100.0, 75.0, "fy"), ("C", 0.0, 0.0, 0.0, "fy")]
     assert [r[0] for r in R.top_movers(facts, Y1, Y2).collect()] == ["A", "C"]
 
 
