@@ -53,8 +53,13 @@ def resolve_pointers(pointers: DataFrame, transcript: DataFrame, key: str = "art
     joined = parsed.join(
         calls, (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_seq")), "left")
     found = F.try_variant_get(F.try_parse_json("_result"), F.col("_path"), "variant")
-    void = F.schema_of_variant(found) == "VOID"
-    value = F.when(void, "None").otherwise(found.cast("string"))
+    kind = F.schema_of_variant(found)
+    # numbers stay as they are recorded, a float with its fraction; 1e16 and more in E notation
+    value = (
+        F.when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.initcap(found.cast("string")))
+        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.expr("get_json_object(_result, _path)"))
+        .otherwise(found.cast("string")))
     status = (
         F.when(F.col("_parts") < 4, "malformed pointer")
         .when(F.col("_turn").isNull(), "turn is not a number")

@@ -13,6 +13,7 @@ from factloom.functions.periods import epoch_micros
 from factloom.operators.sequence import latest_by_key, numbered
 from factloom.operators.specs import panel_key
 from factloom.plans.stats import FIGURE_KEYS, STAT_KEYS
+from factloom.sources.shared import settled
 
 
 def assign_seq(events: DataFrame, key: str, order: list[str], slice_by: Column) -> DataFrame:
@@ -77,22 +78,29 @@ def replay_verify(ops: DataFrame, recomputed: DataFrame) -> DataFrame:
 
 def lineage_report(artifacts: DataFrame, snapshots: DataFrame, ops: DataFrame,
                    tool_calls: DataFrame) -> DataFrame:
-    """Artifact, its snapshot, and its ops (by id) and tool calls (by seq).
+    """The whole record of an artifact: itself, its snapshot, and its ops (by id) and tool
+    calls (by seq).
 
-    One row per child with ``ord`` inside its kind; artifacts without children
-    have one row without a kind.
+    One row per child with ``ord`` inside its kind; ``input`` is an op's params or a call's
+    input.  Artifacts without children have one row without a kind.  The children are
+    written once: they are joined, and tell who has any.
     """
-    children = ops.select(
+    children = settled(ops.select(
         F.col("artifact_id").alias("_artifact"), F.lit("op").alias("child"),
         F.col("op_id").cast("bigint").alias("ord"), F.col("kind").alias("name"), "op",
-        F.col("result_value").alias("payload"), "rows_hash").unionByName(
+        F.col("params").alias("input"), F.col("result_value").alias("payload"),
+        F.col("row_count").cast("bigint").alias("row_count"), "rows_hash").unionByName(
         tool_calls.select(
             F.col("artifact_id").alias("_artifact"), F.lit("tool_call").alias("child"),
             F.col("seq").cast("bigint").alias("ord"), F.col("tool").alias("name"), "op",
-            F.col("output_json").alias("payload"), F.lit(None).cast("string").alias("rows_hash")))
+            F.col("input_json").alias("input"), F.col("output_json").alias("payload")),
+        allowMissingColumns=True), "children")
     header = snapshots.select(
-        F.col("dataset_id").alias("_dataset"), "period_label", "content_digest", "fact_count")
-    head = artifacts.select("artifact_id", "dataset_id", "request_text", "status").join(
+        F.col("dataset_id").alias("_dataset"), "period_label", "window_mode", "source_files",
+        "normaliser_ver", "content_digest", "fact_count")
+    head = artifacts.select(
+        "artifact_id", "artifact_type", "artifact_key", "user_id", "dataset_id", "request_text",
+        "spec_json", "model", "status").join(
         header, F.col("dataset_id") == F.col("_dataset"), "left").drop("_dataset")
     return _with_children(head, children)
 

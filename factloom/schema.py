@@ -59,15 +59,6 @@ QUOTA_LIMIT = 60
 QUOTA_WINDOW_SECONDS = 60.0
 
 CHART_TYPES = ("bar", "hbar", "line", "area", "pie", "table", "kpi")
-LEDGER_EVENTS = (
-    "data_loaded",
-    "request_received",
-    "tool_call",
-    "spec_selected",
-    "build_computed",
-    "output_written",
-    "review_verdict",
-)
 
 # Text of a citation pointer: {c:job.turn.call.field.path}
 POINTER_PATTERN = r"\{c:([\w.\[\]]+)\}"
@@ -136,9 +127,11 @@ ARTIFACTS = _struct(
     ("version", _I, False),
     ("artifact_type", _S, False),
     ("artifact_key", _S, False),
+    ("user_id", _L, True),
     ("dataset_id", _L, False),
     ("request_text", _S, False),
     ("spec_json", _S, False),
+    ("model", _S, True),
     ("status", _S, False),
     ("created_at", T.TimestampType(), False),
 )

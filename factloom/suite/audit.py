@@ -16,14 +16,14 @@ from factloom.plans import stats as S
 from factloom.plans.export import export_figures, read_exported_figures
 from factloom.plans.facts import build_facts, headline_facts
 from factloom.schema import HASH_COLUMNS, MEASURES
-from factloom.sources.shared import fresh_path
+from factloom.sources.shared import fresh_path, settled
 from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot
-from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, catalogue_facts
+from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
 from factloom.suite.registry import query
 from factloom.suite.sql import over_facts
 from factloom.suite.sqlstats import (
     SERIES_CTE, digest, figure_rows, hashed_facts, line, slices, stat_rows)
-from factloom.suite.stats import pearson_sql
+from factloom.suite.stats import FY_TOP, pearson_sql
 
 # -- hashes ------------------------------------------------------------------
 
@@ -69,6 +69,12 @@ _OP = """CASE event_type WHEN 'click' THEN 'decided_q1' WHEN 'view' THEN 'refuse
   ELSE 'no_such_key' END"""
 
 
+def _op_of(kind):
+    return (F.when(kind == "click", "decided_q1").when(kind == "view", "refused_share_q1")
+            .when(kind == "purchase", "timeliness_slippage_corr")
+            .when(kind == "signup", "withdrawn_q1").otherwise("no_such_key"))
+
+
 @query("replay_verify", f"""
 WITH {CATALOGUE_HASHED},
 fresh AS ({stat_rows(PINS, pearson_sql)}),
@@ -84,10 +90,7 @@ SELECT op_id, artifact_id, op, status, status = 'verified' AS verified FROM (
 def _(t):
     board = S.board_of(catalogue_facts(t, buckets=("total",)), PINS).select(
         F.lit(1).cast("bigint").alias("dataset_id"), "stat_key", "rows_hash")
-    kind = F.col("event_type")
-    op = (F.when(kind == "click", "decided_q1").when(kind == "view", "refused_share_q1")
-          .when(kind == "purchase", "timeliness_slippage_corr")
-          .when(kind == "signup", "withdrawn_q1").otherwise("no_such_key"))
+    op = _op_of(F.col("event_type"))
     cited = t.events.select(
         F.col("event_id").alias("op_id"), F.col("user_id").alias("artifact_id"),
         F.when(F.col("value") > 60, 2).otherwise(1).cast("bigint").alias("dataset_id"),
@@ -140,7 +143,7 @@ def _(t):
     """The natural key of all levels, with the annual rows of all years but the last twice."""
     facts = build_facts(t, levels=("fy", "single_quarter"), headline=True, folded=True)
     last = facts.agg(F.max("fy").alias("last"))
-    again = facts.filter("window_mode = 'fy'").join(last, F.col("fy") != F.col("last")).drop("last")
+    again = facts.filter("window_mode = 'fy'").filter(F.col("fy") != last.scalar())
     return Q.duplicate_check(facts.unionByName(again), ["entity_key", "fy", "quarter", "measure", "bucket"])
 
 
@@ -219,6 +222,51 @@ def _(t):
     return Q.golden_gate(facts, expected)
 
 
+def _stats_of(name, where, replace=""):
+    """Stat rows over facts of their own: (table expressions, rows)."""
+    own = lambda s: s.replace("hashed", f"hashed_{name}").replace("chosen", f"chosen_{name}")
+    ctes = hashed_facts(where).split("chosen AS", 1)[1]
+    if replace:
+        ctes = ctes.replace("SELECT * FROM facts", f"SELECT * REPLACE ({replace}) FROM facts", 1)
+    return own("chosen AS" + ctes), own(stat_rows(PINS, pearson_sql))
+
+
+_PART = f"(window_mode = 'fy' OR derived) AND fy <> '{FY_TOP}'"
+_ONE, _TWO = _stats_of("one", "window_mode = 'fy' OR derived"), _stats_of("two", _PART)
+_BAD = _stats_of("bad", _PART, "CASE WHEN measure = 'refused' THEN value + 1 ELSE value END AS value")
+
+
+@query("replay_stored", over_facts(f""", {_ONE[0]}, {_TWO[0]}, {_BAD[0]},
+recorded AS (SELECT 1 AS dataset_id, * FROM ({_ONE[1]}) UNION ALL SELECT 2, * FROM ({_TWO[1]})),
+again AS (SELECT 1 AS dataset_id, * FROM ({_ONE[1]}) UNION ALL SELECT 2, * FROM ({_BAD[1]})),
+ops AS (SELECT event_id AS op_id, CASE WHEN value > 60 THEN 3 WHEN value > 30 THEN 2 ELSE 1 END::BIGINT AS dataset_id,
+               {_OP} AS op FROM events)
+SELECT op_id, o.dataset_id, op, CASE WHEN r.rows_hash IS NULL OR a.rows_hash IS NULL THEN 'unverifiable'
+    WHEN r.rows_hash = a.rows_hash THEN 'verified' ELSE 'mismatch' END AS status
+FROM ops o LEFT JOIN (SELECT * FROM recorded WHERE stat_key IN ({STAT_LIST})) r ON r.dataset_id = o.dataset_id AND r.stat_key = op
+LEFT JOIN again a ON a.dataset_id = o.dataset_id AND a.stat_key = op"""))
+def _(t):
+    """Stats recorded when two snapshots are written, computed again from what is stored: one
+    snapshot is whole, one has been tampered with, one that is cited doesn't exist."""
+    store = SnapshotStore(t.spark, fresh_path(t.spark, "store"))
+    facts = catalogue_facts(t)
+    recorded = []
+    for label, rows in (("all", facts), ("some", facts.filter(F.col("fy") != FY_TOP))):
+        done = store.write(rows, label, "fy", ["orders", "lineitem"], "1")
+        recorded.append(S.board_of(rows, PINS).select(
+            F.lit(done.dataset_id).cast("bigint").alias("dataset_id"), F.col("stat_key").alias("op"), "rows_hash"))
+    ops = t.events.select(
+        F.col("event_id").alias("op_id"),
+        F.when(F.col("value") > 60, 3).when(F.col("value") > 30, 2).otherwise(1).cast("bigint").alias("dataset_id"),
+        _op_of(F.col("event_type")).alias("op"))
+    ops = ops.join(recorded[0].unionByName(recorded[1]), ["dataset_id", "op"], "left")
+    stored = store.load(1).unionByName(store.load(2))
+    bad = (F.col("dataset_id") == 2) & (F.col("measure") == "refused")
+    stored = stored.withColumn("value", F.when(bad, F.col("value") + 1).otherwise(F.col("value")))
+    again = S.stat_board(settled(S.cell_summary(stored, by=("dataset_id",)), "cells"), PINS, by=("dataset_id",))
+    return L.replay_verify(ops, again).select("op_id", "dataset_id", "op", "status")
+
+
 @query("row_diff", """
 SELECT custkey, sum(n) AS surplus FROM (
   SELECT o_custkey AS custkey, 1 AS n FROM orders

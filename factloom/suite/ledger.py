@@ -6,17 +6,21 @@ and the conversations (one artifact per conversation, one spec text per turn).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from factloom import schema as SCHEMA
 from factloom.operators import citations as C
+from factloom.operators import quality as Q
 from factloom.operators import specs as SP
 from factloom.operators.screen import SCOPE_RULES, SCOPE_TERMS, Rule, scope_screen
 from factloom.operators.sequence import latest_by_key, numbered
 from factloom.plans import lineage as L
 from factloom.plans import stats as S
 from factloom.schema import CHART_TYPES
-from factloom.sources.ledger import ledger_append, ledger_read
-from factloom.sources.shared import fresh_path
+from factloom.sources.ledger import append_rows, ledger_append, ledger_read, read_rows
+from factloom.sources.shared import fresh_path, settled
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
 from factloom.suite.registry import query
 from factloom.suite.sqlstats import stat_rows
@@ -31,7 +35,8 @@ def ledger_events(t):
     cents = F.bround(F.col("value") * 100, 0).cast("bigint").cast("string")
     result = F.concat(
         F.lit('{"total":'), cents, F.lit(',"kind":"'), kind,
-        F.lit('","top":[{"agency":"A'), k, F.lit('","value":'), k, F.lit("}]}"))
+        F.lit('","top":[{"agency":"A'), k, F.lit('","value":'), k,
+        F.lit('.0}],"even":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit(',"none":null}'))
     return t.events.select(
         "event_id", "ts", F.col("user_id").alias("artifact_id"),
         F.when(kind == "signup", "request_received").otherwise("tool_call").alias("event"),
@@ -47,7 +52,7 @@ _LEDGER = f"""ledger AS (
          event_type AS op, props AS args,
          '{{"total":' || CAST(CAST(round_even(value * 100, 0) AS BIGINT) AS VARCHAR)
            || ',"kind":"' || event_type || '","top":[{{"agency":"A' || {_K}
-           || '","value":' || {_K} || '}}]}}' AS result
+           || '","value":' || {_K} || '.0}}],"even":' || CAST(event_id % 2 = 0 AS VARCHAR) || ',"none":null}}' AS result
   FROM events),
 calls AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY ts, event_id) AS INTEGER)
@@ -60,17 +65,19 @@ def artifacts(t):
     return t.conversations.select(
         F.col("conv_id").alias("artifact_id"), F.col("turn").cast("int").alias("version"),
         F.lit("dashboard").alias("artifact_type"), F.col("role").alias("artifact_key"),
+        F.when(F.col("turn") > 0, F.col("conv_id") % 9).alias("user_id"),
         F.when(F.col("role") == "assistant", 1).when(F.col("role") == "user", 2).otherwise(4)
         .cast("bigint").alias("dataset_id"), F.col("text").alias("request_text"),
         F.concat(F.lit('{"title":"'), F.col("role"), F.lit('"}')).alias("spec_json"),
+        F.when(F.col("role") != "user", "m1").alias("model"),
         F.when(F.col("turn") == 0, "building").otherwise("done").alias("status"))
 
 
 _ARTIFACTS = """artifacts AS (
   SELECT conv_id AS artifact_id, CAST(turn AS INTEGER) AS version, 'dashboard' AS artifact_type,
-         role AS artifact_key, CAST(CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 4 END
+         role AS artifact_key, CASE WHEN turn > 0 THEN conv_id % 9 END AS user_id, CAST(CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 4 END
            AS BIGINT) AS dataset_id, text AS request_text,
-         '{"title":"' || role || '"}' AS spec_json,
+         '{"title":"' || role || '"}' AS spec_json, CASE WHEN role <> 'user' THEN 'm1' END AS model,
          CASE WHEN turn = 0 THEN 'building' ELSE 'done' END AS status
   FROM conversations),
 latest AS (SELECT * FROM artifacts
@@ -108,8 +115,8 @@ def _(t):
 
 
 @query("update_artifact", f"""WITH {_ARTIFACTS}
-SELECT artifact_id, version + 1 AS version, artifact_type, artifact_key, dataset_id, request_text,
-       coalesce(n.spec, spec_json) AS spec_json, coalesce(n.status, l.status) AS status
+SELECT artifact_id, version + 1 AS version, artifact_type, artifact_key, l.user_id, dataset_id, request_text,
+       coalesce(n.spec, spec_json) AS spec_json, model, coalesce(n.status, l.status) AS status
 FROM latest l JOIN (
   SELECT user_id, CASE WHEN sum(value) > 1500 THEN '{{}}' END AS spec,
          CASE WHEN count(*) > 60 THEN 'reviewed' END AS status FROM events GROUP BY user_id) n
@@ -124,7 +131,8 @@ def _(t):
 # -- reports -----------------------------------------------------------------
 
 _SNAPSHOT = """SELECT CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS BIGINT)
-    AS dataset_id, o_orderstatus AS period_label, sha256(o_orderstatus) AS content_digest,
+    AS dataset_id, o_orderstatus AS period_label, 'fy' AS window_mode, 'orders,' || o_orderstatus AS source_files,
+  '1' AS normaliser_ver, sha256(o_orderstatus) AS content_digest,
   count(*) AS fact_count FROM orders GROUP BY o_orderstatus"""
 
 
@@ -133,32 +141,65 @@ def _snapshots(t):
     status = F.col("o_orderstatus")
     return t.orders.groupBy(status).agg(F.count(F.lit(1)).alias("fact_count")).select(
         F.when(status == "F", 1).when(status == "O", 2).otherwise(3).cast("bigint")
-        .alias("dataset_id"), status.alias("period_label"),
+        .alias("dataset_id"), status.alias("period_label"), F.lit("fy").alias("window_mode"),
+        F.array(F.lit("orders"), status).alias("source_files"), F.lit("1").alias("normaliser_ver"),
         F.sha2(status, 256).alias("content_digest"), "fact_count")
 
 
 @query("lineage_report", f"""WITH {_LEDGER}, {_ARTIFACTS}, snapshots AS ({_SNAPSHOT}),
 children AS (
-  SELECT artifact_id AS parent, 'op' AS child, event_id AS ord, 'stat' AS name, op,
-         args AS payload, sha256(args) AS rows_hash FROM ledger WHERE event <> 'tool_call'
-  UNION ALL SELECT artifact_id, 'tool_call', seq, tool, op, result, NULL FROM calls)
-SELECT artifact_id, dataset_id, request_text, status, period_label, content_digest, fact_count,
-       child, ord, name, op, payload, rows_hash
+  SELECT artifact_id AS parent, 'op' AS child, event_id AS ord, 'figure' AS name, op, args AS input,
+         args AS payload, event_id % 5 AS row_count, sha256(args) AS rows_hash FROM ledger WHERE event <> 'tool_call'
+  UNION ALL SELECT artifact_id, 'tool_call', seq, tool, op, args, result, NULL, NULL FROM calls)
+SELECT artifact_id, artifact_type, artifact_key, user_id, dataset_id, request_text, spec_json, model, status,
+       period_label, window_mode, source_files, normaliser_ver, content_digest, fact_count,
+       child, ord, name, op, input, payload, row_count, rows_hash
 FROM latest LEFT JOIN snapshots USING (dataset_id) LEFT JOIN children ON parent = artifact_id""")
 def _(t):
-    events = ledger_events(t)
-    ops = events.filter(F.col("event") != "tool_call").select(
-        F.col("event_id").alias("op_id"), "artifact_id", F.lit("stat").alias("kind"), "op",
-        F.col("args").alias("result_value"), F.sha2("args", 256).alias("rows_hash"))
+    events = settled(ledger_events(t), "ledger")
     latest = latest_by_key(artifacts(t), ["artifact_id"], ["version"])
-    return L.lineage_report(latest, _snapshots(t), ops, L.transcript_table(events))
+    report = L.lineage_report(latest, _snapshots(t), _ops(events), L.transcript_table(events))
+    return report.withColumn("source_files", F.array_join("source_files", ","))
+
+
+def _ops(events):
+    return events.filter(F.col("event") != "tool_call").select(
+        F.col("event_id").alias("op_id"), "artifact_id", F.lit(1).cast("bigint").alias("dataset_id"),
+        F.lit("figure").alias("kind"), "op", F.col("args").alias("params"),
+        (F.col("event_id") % 5).alias("row_count"), F.sha2("args", 256).alias("rows_hash"),
+        F.col("args").alias("result_value"))
+
+
+@query("record_ledger", f"""WITH {_LEDGER}, {_ARTIFACTS}, ops AS (
+  SELECT artifact_id FROM ledger WHERE event <> 'tool_call')
+SELECT 'artifacts' AS recorded, count(*) AS rows_read, 0 AS orphan_rows FROM artifacts
+UNION ALL SELECT 'ops', count(*), count(*) FILTER (artifact_id NOT IN (SELECT artifact_id FROM artifacts)) FROM ops
+UNION ALL SELECT 'tool_calls', count(*), count(*) FILTER (artifact_id NOT IN (SELECT artifact_id FROM artifacts)) FROM calls""")
+def _(t):
+    """The three ledger tables appended in two parts, read back, and checked for parents."""
+    root, events = fresh_path(t.spark, "tables"), settled(ledger_events(t), "ledger")
+    tables = {"artifacts": (artifacts(t).withColumn("created_at", F.current_timestamp()), SCHEMA.ARTIFACTS),
+              "ops": (_ops(events), SCHEMA.OPS), "tool_calls": (L.transcript_table(events), SCHEMA.TOOL_CALLS)}
+    for name, (rows, schema) in tables.items():
+        for part in (F.col("artifact_id") % 2 == 0, F.col("artifact_id") % 2 != 0):
+            append_rows(rows.filter(part), f"{root}/{name}", schema)
+    read = {name: read_rows(t.spark, f"{root}/{name}", schema) for name, (_, schema) in tables.items()}
+
+    def counted(name):
+        orphans = Q.fk_check(read[name], "artifact_id", read["artifacts"].select("artifact_id").distinct(), "artifact_id")
+        return read[name].agg(F.count(F.lit(1)).alias("rows_read")).select(
+            F.lit(name).alias("recorded"), "rows_read",
+            F.coalesce(orphans.agg(F.sum("orphan_rows").alias("n")).scalar(), F.lit(0)).alias("orphan_rows"))
+
+    return reduce(lambda a, b: a.unionByName(b), map(counted, read))
 
 
 @query("load_dashboard", f"""WITH {_LEDGER}, {_ARTIFACTS}
 SELECT l.artifact_id, spec_json, dataset_id, seq, tool, result
 FROM latest l LEFT JOIN calls c ON c.artifact_id = l.artifact_id""")
 def _(t):
-    return L.load_dashboard(artifacts(t), L.transcript_table(ledger_events(t)))
+    calls = settled(L.transcript_table(settled(ledger_events(t), "ledger")), "transcript")
+    return L.load_dashboard(artifacts(t), calls)
 
 
 # -- citations ---------------------------------------------------------------
@@ -170,7 +211,8 @@ def cited_texts(t):
     nxt = (F.col("turn") + 2).cast("string")
     text = F.concat(
         F.lit("Turn "), turn, F.lit(": {c:0."), nxt, F.lit(".0.total} by {c:0."), nxt,
-        F.lit(".1.top[0].agency} ("), F.col("role"), F.lit(") {c:0."),
+        F.lit(".1.top[0].agency} with {c:0."), nxt, F.lit(".0.top[0].value} {c:0."), nxt,
+        F.lit(".0.even} {c:0."), nxt, F.lit(".0.none} ("), F.col("role"), F.lit(") {c:0."),
         (F.col("turn") * 20).cast("string"), F.lit(".0.kind}"),
         F.when(F.col("role") == "system", "{c:0.x.0.total}{c:1.2}").otherwise(
             F.lit(" {c:7.1.0.top[3].agency}")))
@@ -181,7 +223,8 @@ def cited_texts(t):
 _TEXTS = """texts AS (
   SELECT conv_id, turn, conv_id AS artifact_id,
          'Turn ' || turn || ': {c:0.' || (turn + 2) || '.0.total} by {c:0.' || (turn + 2)
-         || '.1.top[0].agency} (' || role || ') {c:0.' || (turn * 20) || '.0.kind}'
+         || '.1.top[0].agency} with {c:0.' || (turn + 2) || '.0.top[0].value} {c:0.' || (turn + 2)
+         || '.0.even} {c:0.' || (turn + 2) || '.0.none} (' || role || ') {c:0.' || (turn * 20) || '.0.kind}'
          || CASE WHEN role = 'system' THEN '{c:0.x.0.total}{c:1.2}'
                  ELSE ' {c:7.1.0.top[3].agency}' END AS text
   FROM conversations),
@@ -192,11 +235,15 @@ pointed AS (
   SELECT *, string_split(pointer, '.') AS parts FROM found),
 resolved AS (
   SELECT p.conv_id, p.turn, p.artifact_id, p.pos, p.pointer,
-         json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) AS value,
+         CASE json_type(c.result, '$.' || array_to_string(parts[4:], '.'))
+           WHEN 'NULL' THEN 'None'
+           WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) = 'true'
+                               THEN 'True' ELSE 'False' END
+           ELSE json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) END AS value,
          CASE WHEN len(parts) < 4 THEN 'malformed pointer'
               WHEN NOT regexp_full_match(parts[2], '\\d+') THEN 'turn is not a number'
               WHEN c.seq IS NULL THEN 'unknown transcript entry'
-              WHEN json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) IS NULL
+              WHEN json_type(c.result, '$.' || array_to_string(parts[4:], '.')) IS NULL
               THEN 'unknown field' ELSE 'resolved' END AS status
   FROM pointed p LEFT JOIN calls c ON c.tool = 'query_dataset' AND c.artifact_id = p.artifact_id
        AND len(parts) >= 4 AND c.seq = try_cast(parts[2] AS INTEGER))"""

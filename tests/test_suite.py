@@ -4,9 +4,10 @@ import pytest
 from compare import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from factloom.suite import load
 
 PATH = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +17,11 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["fy", "value"]
+    assert entry(spark).columns == ["fy", "value", "basis"]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
