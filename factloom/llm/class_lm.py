@@ -40,7 +40,7 @@ DELTA = 0.1
 class Shape:
     """Bounds of a model."""
 
-    vocabulary: int = 4096
+    vocabulary: int = 2048
     classes: int = 48
     endings: int = 64
     sweeps: int = 6
@@ -112,6 +112,27 @@ class Head:
         return out
 
 
+def commonest(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((words, counts), endings) of the commonest words, ``most`` at most, commonest first.
+
+    A table of a few thousand steps of the count tells which least count leaves no more than
+    that; only words of that count or more come to the driver.
+    """
+    fine = 1024  # every count of its own up to here, 64 steps for each doubling above
+    step = F.when(F.col("n") <= fine, F.col("n")).otherwise(F.floor(64 * F.log2("n")) + fine).cast("long")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    total, least = 0, None
+    for row in sorted(sizes, key=lambda r: -r.least):
+        total += row.words
+        if total > most:
+            break
+        least = row.least
+    made = counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n", "ending").toArrow()
+    word, n, ending = (made.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((word, -n))
+    return (word[order].view(np.uint64), n[order]), ending[order].astype(np.int64)
+
+
 def _ids(words: Words, ending: np.ndarray, rank: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words and ends in order, first position of each text): the number of a
     vocabulary word, or what stands for its ending, or the end."""
@@ -191,8 +212,9 @@ def exchange(pairs: np.ndarray, shape: Shape) -> np.ndarray:
     """
     size, kinds = shape.ids, shape.kinds
     place = np.concatenate([np.arange(shape.vocabulary) % shape.classes, shape.classes + np.arange(shape.endings + 1)])
-    active = [w for w in range(shape.vocabulary) if pairs[w].any() or pairs[:, w].any()]
-    rows = {w: (np.flatnonzero(pairs[w]), np.flatnonzero(pairs[:, w])) for w in active}
+    turned = np.ascontiguousarray(pairs.T)
+    active = [w for w in range(shape.vocabulary) if pairs[w].any() or turned[w].any()]
+    rows = {w: (np.flatnonzero(pairs[w]).astype(np.int32), np.flatnonzero(turned[w]).astype(np.int32)) for w in active}
     grid = np.zeros((kinds, kinds))
     for i in range(size):
         grid[place[i]] += np.bincount(place, pairs[i], minlength=kinds)
@@ -202,7 +224,7 @@ def exchange(pairs: np.ndarray, shape: Shape) -> np.ndarray:
             after, before = rows[w]
             own, old = pairs[w, w], place[w]
             r = np.bincount(place[after], pairs[w, after], minlength=kinds)
-            c = np.bincount(place[before], pairs[before, w], minlength=kinds)
+            c = np.bincount(place[before], turned[w, before], minlength=kinds)
             r[old] -= own
             c[old] -= own
             grid[old] -= r
@@ -246,8 +268,8 @@ class Model:
 def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model of all ``texts``, and their word counts (word, n)."""
     counts = kept(word_counts(texts, text, shape.endings), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.head).collect()
-    head = Head(np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64))
+    top, ending_of_top = commonest(counts, shape.head)
+    head, ending_of_top = Head(*top), ending_of_top[: shape.vocabulary]
     by_ending = {r.ending: (r["n"], r.distinct) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     pairs = bigram_counts(texts, text, head, shape)
     place, kinds = exchange(pairs, shape), shape.kinds
@@ -261,7 +283,6 @@ def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, Dat
     moves = np.log10((grid + kinds * share) / (grid.sum(1, keepdims=True) + kinds))
     # distinct words of each class: of an ending, those outside of the vocabulary
     words = np.bincount(place[: min(shape.vocabulary, len(head.words))], minlength=kinds)
-    ending_of_top = np.array([r.ending for r in top[: shape.vocabulary]], np.int64)
     for e in range(shape.endings):
         words[shape.classes + e] = by_ending.get(e, (0, 0))[1] - int((ending_of_top == e).sum())
     words[-1] = ends > 0

@@ -293,6 +293,14 @@ def test_class_model(table, corpus):
     assert all(r.score < 0 for r in rows)
 
 
+def test_the_commonest_words(spark):
+    rows = [(i, i % 3, n) for i, n in enumerate([5000, 4000, 4000, 900, 7, 7, 7, 1, 1, 1, 1])]
+    counts = spark.createDataFrame(rows, "word long, ending int, n long")
+    for most, got in ((3, 3), (4, 4), (6, 4), (7, 7), (10, 7), (11, 11), (100, 11), (0, 0)):
+        (words_, n), ending = class_lm.commonest(counts, most)
+        assert words_.tolist() == list(range(got)) and n.tolist() == [r[2] for r in rows[:got]] and ending.tolist() == [r[1] for r in rows[:got]]
+
+
 def test_classes_help(table):
     """Texts in one of two languages are likelier under the model than word by word."""
     rnd = random.Random(12)
