@@ -55,7 +55,7 @@ def transcript(spark):
 def test_pointers(spark, transcript):
     expected = {
         "0.2.0.top[0].agency": ("Home", "resolved"), "0.2.9.top.0.value": ("12", "resolved"),
-        "0.2.0.rate": ("1.5", "resolved"), "0.2.0.ok": ("true", "resolved"),
+        "0.2.0.rate": ("1.5", "resolved"), "0.2.0.ok": ("True", "resolved"),
         "0.2.0.pct": ("None", "resolved"), "0.2.0.none": (None, "unknown field"),
         "0.2.0.top[7].agency": (None, "unknown field"), "0.2.0.rate.deep": (None, "unknown field"),
         "0.1.0.value": (None, "unknown transcript entry"),
@@ -68,6 +68,15 @@ def test_pointers(spark, transcript):
     assert got == expected
 
 
+def test_values_as_recorded(spark):
+    """Numbers keep their fraction, booleans and null are spelt as the service spells them."""
+    result = '{"a":12359.0,"b":42000.0,"c":7,"d":0.5,"e":false,"f":null,"g":"7.0","h":123456789012345678}'
+    calls = spark.createDataFrame([(1, 2, "query_dataset", result)], "artifact_id bigint, seq int, tool string, result string")
+    text = " ".join("{c:0.2.0." + k + "}" for k in "abcdefgh")
+    out = resolve_citations(spark.createDataFrame([(1, 1, text)], "id int, artifact_id bigint, text string"), calls, ["id"]).first()
+    assert out["resolved_text"] == "12359.0 42000.0 7 0.5 False None 7.0 123456789012345678" and out["unresolved"] == 0
+
+
 def test_resolved_texts(spark, transcript):
     texts = spark.createDataFrame(
         [(1, 1, "{c:0.2.0.rate}% of {c:0.2.0.top[0].agency}"), (2, 1, "no pointers $1"),
@@ -126,19 +135,21 @@ def test_replay(spark):
 
 def test_lineage_report_keeps_childless_artifacts(spark):
     artifacts = spark.createDataFrame(
-        [(1, 7, "q", "done"), (2, 8, "r", "done")],
-        "artifact_id bigint, dataset_id bigint, request_text string, status string")
+        [(1, "dashboard", "k", 4, 7, "q", "{}", "m", "done"), (2, "dashboard", "k", None, 8, "r", "{}", None, "done")],
+        "artifact_id bigint, artifact_type string, artifact_key string, user_id bigint, dataset_id bigint, "
+        "request_text string, spec_json string, model string, status string")
     snapshots = spark.createDataFrame(
-        [(7, "p", "d", 3)], "dataset_id bigint, period_label string, content_digest string, fact_count bigint")
-    ops = spark.createDataFrame(
-        [(5, 1, "stat", "decided_q1", "1", "h")],
-        "op_id bigint, artifact_id bigint, kind string, op string, result_value string, rows_hash string")
+        [(7, "p", "fy", ["f"], "1", "d", 3)],
+        "dataset_id bigint, period_label string, window_mode string, source_files array<string>, "
+        "normaliser_ver string, content_digest string, fact_count bigint")
+    ops = spark.createDataFrame([(5, 1, 7, "figure", "decided_q1", "{}", 2, "h", "1")], OPS)
     calls = spark.createDataFrame(
-        [(1, 1, "query_dataset", "trend", "{}")],
-        "artifact_id bigint, seq int, tool string, op string, output_json string")
+        [(1, 1, "query_dataset", "trend", "in", "{}")],
+        "artifact_id bigint, seq int, tool string, op string, input_json string, output_json string")
     out = L.lineage_report(artifacts, snapshots, ops, calls).collect()
-    assert sorted((r["artifact_id"], r["child"] or "", r["fact_count"] or 0) for r in out) == [
-        (1, "op", 3), (1, "tool_call", 3), (2, "", 0)]
+    assert sorted((r["artifact_id"], r["child"] or "", r["fact_count"] or 0, r["input"] or "", r["row_count"] or 0)
+                  for r in out) == [(1, "op", 3, "{}", 2), (1, "tool_call", 3, "in", 0), (2, "", 0, "", 0)]
+    assert {(r["artifact_id"], r["user_id"], r["model"], r["window_mode"]) for r in out} == {(1, 4, "m", "fy"), (2, None, None, None)}
 
 
 def test_ledger_never_fails_on_odd_events(spark, tmp_path):
