@@ -10,9 +10,10 @@ A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^36, about
 below the estimate's floor (five standard deviations) with about 3e-7.
 
 Groups of copies are never expanded. Texts with equal sets are one class from the start. In
-each band bucket all classes are compared with the smallest one; only where a bucket then still
-holds several components are pairs across them compared, so a bucket of thousands of near
-copies costs a pair each.
+each band bucket all classes are compared with the smallest one. Where a bucket then still
+holds several components, its members meet in blocks, and of the pairs across components only
+the links that join them leave the task. What is never looked at lies within one component, and a
+bucket of thousands of near copies takes about a row each.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SIZE = 5
 HASHES, ROWS, BITS = 144, 4, 4
 #: Similarity of linked texts, in hundredths.
 PERCENT = 75
+#: Members of a bucket that meet in one go, or twice as many from two blocks.
+BLOCK = 512
 
 _SEEDS = odd_numbers(HASHES, 17)
 _HASH_BITS = np.uint64(52)
@@ -158,42 +161,91 @@ def _plausible(percent: int) -> Column:
     return (small * 100 >= large * percent) & (estimate(F.col("bits"), F.col("other")) >= _floor(percent))
 
 
+def _texts_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(no, text) of some rows. Joined by merging at every size: ``ids`` grow with the corpus."""
+    return kept(rows.select("no", "text").join(ids.distinct().hint("merge"), "no", "left_semi"), name)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = _common(x, y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full sets are similar enough; ``rows``: (no, text)."""
-    ids = pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct()
-    texts = kept(rows.join(ids, "no", "left_semi").select("no", "text"), "candidate-texts")
+    texts = _texts_of(rows, pairs.select(F.col("a").alias("no")).union(pairs.select("b")), "candidate-texts")
     both = (pairs.join(texts.select(F.col("no").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("no").alias("a"), F.col("text").alias("text_a")), "a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, "text_b"):
-                numbers, a = np.unique(part.column("a").to_numpy(zero_copy_only=False), return_index=True)
-                sets, ends = shingle_sets(*flat(part.column("text_a").take(pa.array(a)))[::-1])
-                mine = np.searchsorted(numbers, part.column("a").to_numpy(zero_copy_only=False))
+                numbers, first, mine = np.unique(part.column("a").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                sets, ends = shingle_sets(*flat(part.column("text_a").take(pa.array(first)))[::-1])
                 others, other_ends = shingle_sets(*flat(part.column("text_b"))[::-1])
-                good = np.zeros(part.num_rows, bool)
-                for i in range(part.num_rows):
-                    x, y = sets[ends[mine[i]]: ends[mine[i] + 1]], others[other_ends[i]: other_ends[i + 1]]
-                    at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-                    common = int((x[at] == y).sum()) if len(x) else 0
-                    good[i] = 100 * common >= percent * (len(x) + len(y) - common) and common > 0
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], names=["a", "b"])
+                good = pa.array([_alike(sets[ends[m]: ends[m + 1]], others[other_ends[i]: other_ends[i + 1]], percent) for i, m in enumerate(mine)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row of ``df``.
+def _joining(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links that join the components of a block's members (b, root, slot, n, bits, text).
 
-    Texts whose sets have 100 * common >= percent * union are linked; component_id is the
-    smallest key that a row reaches, itself included; kept where that is its own. Null and empty
-    texts, and texts without words, have no shingles and are linked with nothing. Rows are told
-    apart by place, so keys may repeat or be null (a null key is no component_id unless all keys
-    of a component are null). ``df`` must be a stored table: it is read more than once. Other
-    columns aren't read.
+    Pairs of different components and plausible similarity are confirmed, the most similar
+    first, until none is left whose components haven't been joined meanwhile.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("no"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    number, root, slot, n = (table.column(c).to_numpy() for c in ("b", "root", "slot", "n"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(number), -1)
+    groups = np.array([int("1" * BITS, 2) << i for i in range(0, 64, BITS)], np.uint64)
+    one, other, guess = [], [], []
+    for i in range(len(number)):
+        j = np.arange(i + 1, len(number))
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        j = j[(root[i] != root[j]) & (small * 100 >= large * percent) & ((slot[i] != slot[j]) | (slot.min() == slot.max()))]
+        x = bits[i] ^ bits[j]
+        equal = sum(((x & g) == 0).sum(1) for g in groups) / HASHES
+        value = (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+        good = value >= _floor(percent)
+        one.append(np.full(good.sum(), i))
+        other.append(j[good])
+        guess.append(value[good])
+    one, other, guess = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, other, guess))
+    if not len(one):
+        return [], []
+    offsets, data = flat(table.column("text"))
+    sets = []
+    for start in range(0, len(number), _STEP_TEXTS):
+        cut = offsets[start: start + _STEP_TEXTS + 1]
+        made, ends = shingle_sets(data[cut[0]: cut[-1]], cut - cut[0])
+        sets += [made[a:b] for a, b in zip(ends, ends[1:])]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    a, b, root = [], [], root.tolist()
+    for p in np.argsort(-guess, kind="stable").tolist():
+        i, j = int(one[p]), int(other[p])
+        x, y = top(root[i]), top(root[j])
+        if x != y and _alike(sets[i], sets[j], percent):
+            parent[max(x, y)] = min(x, y)
+            a.append(int(number[i]))
+            b.append(int(number[j]))
+    return a, b
+
+
+def _placed(rows: DataFrame, percent: int) -> DataFrame:
+    """(no, key, n, root) of ``rows`` (no, key, text): set size, and one number per component."""
     every = kept(signed(rows), "signatures")
     classes = kept(every.filter("n > 0").groupBy("digest").agg(F.min("no").alias("class")), "classes")
     reps = kept(every.join(classes.select(F.col("class").alias("no")), "no").select("no", "n", "bands", "bits"), "class-signatures")
@@ -208,22 +260,57 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
     linked = kept(confirmed(stars, rows, percent), "star-links")
     roots = components(linked)
 
-    # buckets that are still more than one component, each set of members once
+    # buckets that are still more than one component, each set of members once, in blocks: every
+    # two blocks of a bucket meet, and tell what links them
     labelled = kept(members.join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
                     .select("band", "b", F.coalesce("root", "b").alias("root")), "labelled")
     buckets = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"),
                                            F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("sum"))
-    open_ = buckets.filter("low != high AND size > 2").groupBy("size", "sum").agg(F.min("band").alias("band")).select("band")
-    inside = kept(labelled.join(open_, "band").join(own, "b"), "open-buckets")
-    other = inside.select("band", F.col("b").alias("a"), F.col("root").alias("top"), F.col("n").alias("m"), F.col("bits").alias("other"))
-    across = inside.join(other, "band").filter("a < b AND root != top").filter(_plausible(percent)).select("a", "b").distinct()
-    across = kept(across.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = confirmed(across, rows, percent)
-    roots = kept(components(linked.union(more)), "roots")
-
-    light = every.select("no", "key", "n", "digest")
-    placed = light.join(classes, "digest", "left").select("no", "key", "n", F.col("class").alias("node"))
-    placed = kept(placed.join(roots, "node", "left").select("no", "key", "n", F.coalesce("root", "node", "no").alias("root")), "placed")
+    open_ = buckets.filter("low != high AND size > 2").groupBy("size", "sum").agg(F.min("band").alias("band"))
+    open_ = open_.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    inside = kept(labelled.join(open_, "band"), "open-buckets")
+    texts = _texts_of(rows, inside.select(F.col("b").alias("no")), "open-texts").withColumnRenamed("no", "b")
+    inside = inside.withColumn("slot", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    inside = inside.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = inside.select("band", F.least("slot", "meets").alias("i"), F.greatest("slot", "meets").alias("j"), "b", "root", "slot")
+
+    def block(members: pa.Table) -> pa.Table:
+        a, b = _joining(members, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    whole = inside.join(own, "b").join(texts, "b")
+    more = whole.groupBy("band", "i", "j").applyInArrow(block, "a long, b long")
+    roots = kept(components(linked.union(kept(more, "block-links"))), "roots")
+
+    placed = every.select("no", "key", "n", "digest").join(classes, "digest", "left").select("no", "key", "n", F.col("class").alias("node"))
+    return kept(placed.join(roots, "node", "left").select("no", "key", "n", F.coalesce("root", "node", "no").alias("root")), "placed")
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("no"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row of ``df``.
+
+    Texts whose sets have 100 * common >= percent * union are linked; component_id is the
+    smallest key that a row reaches, itself included; kept where that is its own. Null and empty
+    texts, and texts without words, have no shingles and are linked with nothing. Rows are told
+    apart by place, so keys may repeat or be null (a null key is no component_id unless all keys
+    of a component are null). ``df`` must be a stored table: it is read more than once. Other
+    columns aren't read.
+    """
+    placed = _placed(_rows(df, key, text), percent)
     smallest = kept(placed.groupBy("root").agg(F.min("key").alias("component_id")), "component-ids")
     return placed.join(smallest, "root").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``near_duplicates``: that with the smallest key, the first in
+    the table of equal keys, null last. Columns as in ``df``."""
+    placed = _placed(_rows(df, key, text), percent)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "no")).alias("first")
+    stay = placed.groupBy("root").agg(first).select(F.col("first.no").alias("no"))
+    numbered = df.select(F.monotonically_increasing_id().alias("no"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return numbered.join(stay.hint("merge"), "no", "left_semi").select("row.*")
