@@ -78,6 +78,8 @@ def prefix_groups(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nda
 
 def repeated(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, offset, group) of every substring of ``length`` bytes that occurs more than once."""
+    if not pieces:
+        return (np.zeros(0, np.int64),) * 3
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts = np.append(0, np.cumsum(sizes + 1))
     symbols = np.full(starts[-1] + 1, BREAK, np.int64)

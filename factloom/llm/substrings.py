@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +146,12 @@ def hash_of(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+def _periodic(data: bytes, length: int) -> bool:
+    """Whether strings of a run may be equal: what all of them have in common then occurs again."""
+    first, last = len(data) - length, length
+    return first >= last or data.find(data[first:last], first + 1) >= 0
+
+
 def _first_ones(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int, bytes | None, int]]:
     """(no, place, doc, digest, start) of the strings of a block that no equal one precedes in it.
 
@@ -160,7 +167,11 @@ def _first_ones(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int,
     pieces = [data for _, data in earliest]
     doc, no, start, parts = (np.array(x, np.int64) for x in zip(*earliest.values()))
     counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
-    piece, offset, group = bwt.repeated(pieces, length)
+    # a run alone under its anchor is compared with nothing, unless it may repeat itself
+    shared = Counter(anchor for anchor, _ in earliest)
+    wanted = np.array([i for i, (anchor, data) in enumerate(earliest) if shared[anchor] > 1 or _periodic(data, length)], np.int64)
+    piece, offset, group = bwt.repeated([pieces[i] for i in wanted], length)
+    piece = wanted[piece]
     alive, ends = np.ones(int(counts.sum()), bool), ends_of(counts)
     order = np.lexsort((start[piece] + offset, no[piece], doc[piece], group))
     later = order[np.append(False, group[order][1:] == group[order][:-1])[: len(order)]]
