@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions.checked import computed_column
 from factloom.functions.hashing import SLICES, content_digest, row_hash
 from factloom.functions.numbers import half_even
-from factloom.functions.periods import epoch_micros
+from factloom.functions.periods import epoch_micros, with_fiscal_period
 from factloom.operators import quality as Q
 from factloom.plans import lineage as L
 from factloom.plans import stats as S
@@ -20,7 +20,7 @@ from factloom.sources.shared import fresh_path, settled
 from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
 from factloom.suite.registry import query
-from factloom.suite.sql import over_facts
+from factloom.suite.sql import fy, over_facts
 from factloom.suite.sqlstats import (
     SERIES_CTE, digest, figure_rows, hashed_facts, line, slices, stat_rows)
 from factloom.suite.stats import FY_TOP, pearson_sql
@@ -209,6 +209,22 @@ def _(t):
     return Q.reconcile_totals(build_facts(t, ["decided"], buckets=("total",)), controls, ["fy"])
 
 
+@query("two_sources", over_facts(f"""
+, a AS (SELECT fy, sum(value) AS actual FROM facts
+        WHERE window_mode = 'fy' AND bucket = 'total' AND measure = 'received' GROUP BY fy),
+b AS (SELECT {fy('o_orderdate')} AS fy, count(*)::DOUBLE AS expected FROM orders
+      WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1)
+SELECT coalesce(a.fy, b.fy) AS fy, actual, expected, actual - expected AS diff,
+       CASE WHEN b.fy IS NULL THEN 'no_control' WHEN a.fy IS NULL THEN 'no_rows'
+            WHEN actual = expected THEN 'match' ELSE 'mismatch' END AS status
+FROM a FULL JOIN b ON a.fy = b.fy"""))
+def _(t):
+    """Received requests as the orders have them, against those that line items know of."""
+    shipped = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    controls = with_fiscal_period(shipped, "o_orderdate").groupBy("fy").agg(F.count(F.lit(1)).cast("double").alias("expected"))
+    return Q.reconcile_totals(build_facts(t, ["received"], buckets=("total",)), controls, ["fy"])
+
+
 @query("golden_gate", over_facts("""
 SELECT fy, quarter, measure, value + CASE WHEN measure = 'refused' THEN 1 ELSE 0 END AS expected,
        round_even(value, 0) AS actual, measure <> 'refused' AS passed
