@@ -260,25 +260,27 @@ def _placed(rows: DataFrame, percent: int) -> DataFrame:
     linked = kept(confirmed(stars, rows, percent), "star-links")
     roots = components(linked)
 
-    # buckets that are still more than one component, each set of members once, in blocks: every
-    # two blocks of a bucket meet, and tell what links them
+    # buckets that are still more than one component, each set of members once. The members of the
+    # first component are joined already; only the others meet one another and them, in blocks.
     labelled = kept(members.join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
                     .select("band", "b", F.coalesce("root", "b").alias("root")), "labelled")
     buckets = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"),
                                            F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("sum"))
-    open_ = buckets.filter("low != high AND size > 2").groupBy("size", "sum").agg(F.min("band").alias("band"))
-    open_ = open_.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    inside = kept(labelled.join(open_, "band"), "open-buckets")
+    open_ = buckets.filter("low != high AND size > 2").groupBy("size", "sum").agg(F.min(F.struct("band", "low")).alias("x"))
+    inside = kept(labelled.join(open_.select("x.*"), "band").select("band", "b", "root", (F.col("root") == F.col("low")).alias("joined")), "open-buckets")
+    sizes = inside.groupBy("band").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for n, c in (("joined_slots", F.col("joined")), ("slots", ~F.col("joined")))])
     texts = _texts_of(rows, inside.select(F.col("b").alias("no")), "open-texts").withColumnRenamed("no", "b")
-    inside = inside.withColumn("slot", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
-    inside = inside.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("band", F.least("slot", "meets").alias("i"), F.greatest("slot", "meets").alias("j"), "b", "root", "slot")
+    whole = inside.join(sizes, "band").join(own, "b").join(texts, "b")
+    hashed, last = F.xxhash64("b"), F.col("joined_slots") + F.col("slots") - 1
+    slot = F.when(F.col("joined"), F.pmod(hashed, "joined_slots")).otherwise(F.col("joined_slots") + F.pmod(hashed, "slots")).cast("int")
+    meets = F.sequence(F.when(F.col("joined"), F.col("joined_slots")).otherwise(F.lit(0)), last)
+    whole = whole.withColumn("slot", slot).withColumn("meets", F.explode(meets))
+    whole = whole.select("band", F.least("slot", "meets").alias("i"), F.greatest("slot", "meets").alias("j"), "b", "root", "slot", "n", "bits", "text")
 
     def block(members: pa.Table) -> pa.Table:
         a, b = _joining(members, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    whole = inside.join(own, "b").join(texts, "b")
     more = whole.groupBy("band", "i", "j").applyInArrow(block, "a long, b long")
     roots = kept(components(linked.union(kept(more, "block-links"))), "roots")
 

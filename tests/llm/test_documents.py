@@ -91,7 +91,10 @@ def chained(rnd):
     return docs
 
 
-def test_near_duplicates(table, corpus, rows):
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_duplicates(table, corpus, rows, monkeypatch, block):
+    """Also where a bucket takes many blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     docs = [*corpus, *chained(random.Random(6))]
     got = near_dup.near_duplicates(table(docs), "doc_id", "text")
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
