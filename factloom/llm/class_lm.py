@@ -1,14 +1,17 @@
 """Brown class-based bigrams: how likely a text is under a model of word classes.
 
 The probability of a word after another is that of its class after the other's class, times
-that of the word in its class. The commonest words, the vocabulary, are put into classes by exchange:
-one word after the other goes to the class that makes the corpus likeliest, in some sweeps. All other
-words fall into classes by their last bytes, the endings, which takes no table. ``Shape`` has the numbers. Both probabilities are smoothed.
-
-All counts are over every training text. Word counts stay a distributed table; tasks hold only
-the commonest words, its head, and the occurrences of all others are joined to the table. Bigram
-counts are of ids in a fixed range, so their table has a fixed size, and so has what reaches the
-driver: the counts of the vocabulary's bigrams.
+that of the word in its class. The commonest words are put into classes by exchange on the driver:
+one word after the other goes to the class that makes the corpus likeliest, in some sweeps. That is
+where all words start from: in each round every word of ``least`` occurrences or more goes to the
+class that is best for it beside the others' classes of the round before. Words that occur less often
+and unknown ones fall into classes by their last bytes, the endings. ``Shape`` has the numbers.
+Both probabilities are smoothed.
+
+All counts are over every training text. Counts and classes of words, and counts of pairs of
+words, are distributed tables that grow with the texts. Tasks hold only the commonest words, the
+head, and the occurrences of all others are joined to the tables. The driver gets the counts of the
+pairs of the commonest words and of classes, both of fixed size.
 
 Words are runs of bytes that aren't white space, A-Z in lower case, told apart by a 64-bit hash.
 An end follows the last word of a text and stands before its first. Null and empty texts are an end
@@ -38,17 +41,24 @@ DELTA = 0.1
 
 @dataclass(frozen=True)
 class Shape:
-    """Bounds of a model."""
+    """Numbers of a model. With a ``vocabulary`` only that many words are put into classes."""
 
-    vocabulary: int = 2048
+    vocabulary: int | None = None
     classes: int = 48
     endings: int = 64
     sweeps: int = 6
     head: int = 1 << 18
+    start: int = 2048  # words of the exchange on the driver, where there is no vocabulary
+    rounds: int = 2
+    least: int = 2
+
+    @property
+    def first(self) -> int:
+        return self.start if self.vocabulary is None else self.vocabulary
 
     @property
     def ids(self) -> int:
-        return self.vocabulary + self.endings + 1
+        return self.first + self.endings + 1
 
     @property
     def kinds(self) -> int:
@@ -58,6 +68,8 @@ class Shape:
 #: Distinct words, and bigrams, that a task gathers before it hands them on.
 _GATHERED_WORDS, _GATHERED_PAIRS = 1 << 20, 1 << 22
 _TAIL = odd_numbers(2, 31)
+#: The end among hashes of words, and words whose moves are worked out in one go.
+_END, _MOVED_WORDS = np.uint64(0), 512
 
 
 def _words(part: pa.RecordBatch, text: str, endings: int) -> tuple[Words, np.ndarray]:
@@ -136,18 +148,22 @@ def commonest(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarra
 def _ids(words: Words, ending: np.ndarray, rank: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words and ends in order, first position of each text): the number of a
     vocabulary word, or what stands for its ending, or the end."""
-    ids = np.where((rank >= 0) & (rank < shape.vocabulary), rank, shape.vocabulary + ending)
+    ids = np.where((rank >= 0) & (rank < shape.first), rank, shape.first + ending)
+    return _with_ends(ids, words, shape.ids - 1)
+
+
+def _with_ends(ids: np.ndarray, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
     texts = len(words.by_text) - 1
-    out = np.full(len(ids) + texts, shape.ids - 1, np.int64)
+    out = np.full(len(ids) + texts, end, ids.dtype)
     text = np.repeat(np.arange(texts), np.diff(words.by_text))
     out[np.arange(len(ids)) + text] = ids
     return out, words.by_text[:-1] + np.arange(texts)
 
 
-def _before(ids: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
+def _before(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     out = np.empty_like(ids)
     out[1:] = ids[:-1]
-    out[first] = shape.ids - 1
+    out[first] = end
     return out
 
 
@@ -169,7 +185,7 @@ def bigram_counts(texts: DataFrame, text: str, head: Head, shape: Shape) -> np.n
             for part in steps(batch, text):
                 words, ending = _words(part, text, shape.endings)
                 ids, first = _ids(words, ending, codes.find(words.hashes), shape)
-                held.append(_before(ids, first, shape) * size + ids)
+                held.append(_before(ids, first, size - 1) * size + ids)
                 if sum(map(len, held)) > _GATHERED_PAIRS:
                     add()
         if held:
@@ -211,9 +227,9 @@ def exchange(pairs: np.ndarray, shape: Shape) -> np.ndarray:
     bigrams of classes is largest; ties go to the first class. Stops when none moves.
     """
     size, kinds = shape.ids, shape.kinds
-    place = np.concatenate([np.arange(shape.vocabulary) % shape.classes, shape.classes + np.arange(shape.endings + 1)])
+    place = np.concatenate([np.arange(shape.first) % shape.classes, shape.classes + np.arange(shape.endings + 1)])
     turned = np.ascontiguousarray(pairs.T)
-    active = [w for w in range(shape.vocabulary) if pairs[w].any() or turned[w].any()]
+    active = [w for w in range(shape.first) if pairs[w].any() or turned[w].any()]
     rows = {w: (np.flatnonzero(pairs[w]).astype(np.int32), np.flatnonzero(turned[w]).astype(np.int32)) for w in active}
     grid = np.zeros((kinds, kinds))
     for i in range(size):
@@ -253,11 +269,152 @@ def _gains(grid: np.ndarray, r: np.ndarray, c: np.ndarray, own: float, classes:
     return out - _h(rows + r.sum() + own) + _h(rows) - _h(columns + c.sum() + own) + _h(columns)
 
 
+def pair_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(a, b, n): occurrences of each pair of words, by hash; the end is ``_END``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def merged() -> tuple:
+            a, b, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _, first, back = np.unique(mixed(a * _TAIL[0] + mixed(b + _TAIL[1])), return_index=True, return_inverse=True)
+            return a[first], b[first], np.bincount(back, n, minlength=len(first)).astype(np.int64)
+
+        def handed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
+
+        for batch in batches:
+            for part in steps(batch, text):
+                words, _ = _words(part, text, 1)
+                ids, first = _with_ends(words.hashes, words, _END)
+                held.append((_before(ids, first, _END), ids, np.ones(len(ids), np.int64)))
+                if sum(len(h[0]) for h in held) > _GATHERED_PAIRS:
+                    made = merged()
+                    if len(made[0]) * 2 > _GATHERED_PAIRS:
+                        yield handed(*made)
+                    else:
+                        held.append(made)
+        if held:
+            yield handed(*merged())
+
+    pairs = texts.select(text).mapInArrow(run, "a long, b long, n long")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def started(counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, n, kind): the class of each word, as the exchange left it or by its ending."""
+    some = Head(head.words[: shape.first], head.counts[: shape.first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = some.codes()
+        for batch in batches:
+            rank = codes.find(batch.column("word").to_numpy().view(np.uint64))
+            kind = np.where(rank >= 0, place[rank], shape.classes + batch.column("ending").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(kind.astype(np.int32))], names=["word", "n", "kind"])
+
+    return counts.select("word", "ending", "n").mapInArrow(run, "word long, n long, kind int")
+
+
+def _labelled(pairs: DataFrame, kinds: DataFrame, shape: Shape) -> DataFrame:
+    """``pairs`` with the classes (x, y) of both words; a word that stays in its class is null."""
+    def side(word: str, kind: str) -> DataFrame:
+        return kinds.select(F.col("word").alias(word), F.col("kind").alias(kind), (F.col("n") >= shape.least).alias(f"free_{word}"))
+
+    def free(word: str) -> Column:
+        return F.when(F.col(f"free_{word}"), F.col(word)).alias(word)
+
+    end = F.lit(shape.kinds - 1)
+    both = pairs.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+    return both.select(free("a"), free("b"), F.coalesce("x", end).alias("x"), F.coalesce("y", end).alias("y"), "n")
+
+
+def _grid(cells: DataFrame, shape: Shape) -> np.ndarray:
+    """A square of classes from (x, y, n)."""
+    out = np.zeros((shape.kinds, shape.kinds))
+    for r in cells.groupBy("x", "y").agg(F.sum("n").alias("n")).collect():
+        out[r.x, r.y] = r["n"]
+    return out
+
+
+def likelihood(grid: np.ndarray) -> float:
+    return float(_h(grid).sum() - _h(grid.sum(0)).sum() - _h(grid.sum(1)).sum())
+
+
+def best(grid: np.ndarray, old: np.ndarray, ends: np.ndarray, side: np.ndarray, kind: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """For words in the classes ``old``, the class of the largest likelihood if nothing else
+    moves; ties go to the first. ``side``, ``kind`` and ``n``, from ``ends`` to ``ends``: how often
+    a class follows the word (0) or precedes it (1), and the word itself does (2)."""
+    words, owner = len(old), np.repeat(np.arange(len(old)), np.diff(ends))
+
+    def of(which: int) -> np.ndarray:
+        at = side == which
+        return np.bincount(owner[at] * len(grid) + kind[at], n[at], minlength=words * len(grid)).reshape(words, -1)
+
+    r, c, own = of(0), of(1), of(2).sum(1)
+    total_r, total_c = r.sum(1) + own, c.sum(1) + own
+    out, k = np.zeros((words, classes)), np.arange(classes)
+    mine = k == old[:, None]
+    for which, cells, beside in ((0, grid[:classes].T, c), (1, grid[:, :classes], r)):
+        at = side == which
+        w, j, m = owner[at], kind[at], n[at][:, None]
+        x = cells[j] - mine[w] * m  # the word is taken out of its class
+        same = j == old[w]
+        x[same] -= beside[w[same], :classes] + mine[w[same]] * own[w[same], None]
+        gain = _h(x + m) - _h(x)
+        starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else w
+        if len(w):
+            out[w[starts]] += np.add.reduceat(gain, starts)
+    a, b = r[:, :classes], c[:, :classes]
+    d = grid[k, k] - mine * (a + b + own[:, None])
+    out += _h(d + a + b + own[:, None]) + _h(d) - _h(d + a) - _h(d + b)
+    left, right = grid.sum(1)[:classes] - mine * total_r[:, None], grid.sum(0)[:classes] - mine * total_c[:, None]
+    out -= _h(left + total_r[:, None]) - _h(left) + _h(right + total_c[:, None]) - _h(right)
+    return np.argmax(out, 1)
+
+
+def _moved(beside: DataFrame, grid: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, best): the best class of each word, from its neighbours' classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _MOVED_WORDS):
+                part = batch.slice(at, _MOVED_WORDS)
+                cells = part.column("cells")
+                ends = np.append(0, np.cumsum([len(x) for x in cells]))
+                side, kind, n = (f.to_numpy(zero_copy_only=False) for f in cells.flatten().flatten())
+                made = best(grid, part.column("x").to_numpy(), ends, side, kind, n, shape.classes)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(made.astype(np.int32))], names=["word", "best"])
+
+    # at most two cells a word and class
+    words = beside.filter("word IS NOT NULL").groupBy("word", "x").agg(F.sort_array(F.collect_list(F.struct("side", "y", "n"))).alias("cells"))
+    return words.mapInArrow(run, "word long, best int")
+
+
+def clustered(pairs: DataFrame, kinds: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
+    """((word, n, kind), counts of pairs of classes) after the round whose classes are likeliest."""
+    found: list = []
+    for turn in range(shape.rounds + 1):
+        labelled = _labelled(pairs, kinds, shape)
+        if turn == shape.rounds:
+            grid = _grid(labelled, shape)
+        else:
+            cells = labelled.select(F.inline(F.expr("""
+                IF(a = b, array(named_struct('word', a, 'x', x, 'side', 2, 'y', y, 'n', n)),
+                   array(named_struct('word', a, 'x', x, 'side', 0, 'y', y, 'n', n), named_struct('word', b, 'x', y, 'side', 1, 'y', x, 'n', n)))""")))
+            beside = kept(cells.groupBy("word", "x", "side", "y").agg(F.sum("n").alias("n")), "neighbour-classes")
+            grid = _grid(beside.filter("side <> 1"), shape)
+        if turn:  # before the first round, rare words' classes are only endings
+            found.append((likelihood(grid), turn, kinds, grid))
+        if turn < shape.rounds:
+            moves = _moved(beside, grid, shape)
+            kinds = kept(kinds.join(moves, "word", "left").select("word", "n", F.coalesce("best", "kind").alias("kind")), "word-classes")
+    return max(found, key=lambda f: f[:2])[2:]
+
+
 @dataclass
 class Model:
     shape: Shape
     head: Head
-    place: np.ndarray  # class of each id
+    place: np.ndarray  # class of each word of the head
     moves: np.ndarray  # log10 probability of a class after another
     members: np.ndarray  # by class, log10 of the sum of its smoothed counts
     tokens: int  # N
@@ -266,48 +423,55 @@ class Model:
 
 
 def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
-    """The model of all ``texts``, and their word counts (word, n)."""
+    """The model of all ``texts``, and the counts and classes of their words (word, n, kind)."""
     counts = kept(word_counts(texts, text, shape.endings), "word-counts")
-    top, ending_of_top = commonest(counts, shape.head)
-    head, ending_of_top = Head(*top), ending_of_top[: shape.vocabulary]
-    by_ending = {r.ending: (r["n"], r.distinct) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
+    top, _ = commonest(counts, shape.head)
+    head = Head(*top)
     pairs = bigram_counts(texts, text, head, shape)
-    place, kinds = exchange(pairs, shape), shape.kinds
-    grid = np.zeros((kinds, kinds))
-    for i in range(len(pairs)):
-        grid[place[i]] += np.bincount(place, pairs[i], minlength=kinds)
+    place, size = exchange(pairs, shape), shape.kinds
+    kinds = kept(started(counts, head, place, shape), "word-classes")
+    if shape.vocabulary is None and shape.rounds:
+        kinds, grid = clustered(kept(pair_counts(texts, text), "word-pairs"), kinds, shape)
+    else:
+        grid = np.zeros((size, size))
+        for i in range(len(pairs)):
+            grid[place[i]] += np.bincount(place, pairs[i], minlength=size)
+    least = int(head.counts[-1]) if len(head.counts) else None
+    made = kinds.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n", "kind").toArrow()
+    word, n, kind = (made.column(i).to_numpy() for i in range(3))
+    place = kind[np.lexsort((word, -n))].astype(np.int64)  # in the order of ``commonest``
     ends = int(grid[:, -1].sum())
-    tokens, distinct = sum(n for n, _ in by_ending.values()) + ends, sum(d for _, d in by_ending.values()) + (ends > 0)
+    by_kind = kinds.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+    tokens, distinct = sum(r["n"] for r in by_kind) + ends, sum(r.distinct for r in by_kind) + (ends > 0)
     occurs = grid.sum(0)
-    share = (occurs + DELTA) / (occurs.sum() + DELTA * kinds)
-    moves = np.log10((grid + kinds * share) / (grid.sum(1, keepdims=True) + kinds))
-    # distinct words of each class: of an ending, those outside of the vocabulary
-    words = np.bincount(place[: min(shape.vocabulary, len(head.words))], minlength=kinds)
-    for e in range(shape.endings):
-        words[shape.classes + e] = by_ending.get(e, (0, 0))[1] - int((ending_of_top == e).sum())
+    share = (occurs + DELTA) / (occurs.sum() + DELTA * size)
+    moves = np.log10((grid + size * share) / (grid.sum(1, keepdims=True) + size))
+    words = np.zeros(size)  # distinct ones of each class
+    for r in by_kind:
+        words[r.kind] = r.distinct
     words[-1] = ends > 0
     members = np.log10(occurs + DELTA * (words + 1))
-    return Model(shape, head, place, moves, members, int(tokens), int(distinct), ends), counts.select("word", "n")
+    return Model(shape, head, place, moves, members, int(tokens), int(distinct), ends), kinds
 
 
-_DOC = "no long, key {}, n_tokens long, n_known long, sum_log double, moved double, members double, rare array<long>, times array<int>"
+_DOC = ("no long, key {}, n_tokens long, n_known long, sum_log double, moved double, members double, rare array<long>, endings array<int>, "
+        "times array<int>, before array<int>, after array<int>")
 
 
 def _local(rows: DataFrame, model: Model) -> DataFrame:
     """For each text what is known in its task: sums over its common words, class moves; and
-    the words whose counts have to be joined, with how often each occurs."""
-    names = ["no", "key", "n_tokens", "n_known", "sum_log", "moved", "members", "rare", "times"]
+    the words whose counts and classes have to be joined, with how often each occurs. Moves from
+    or to these are listed: classes, or -1 - i for the word at i."""
+    names = ["no", "key", "n_tokens", "n_known", "sum_log", "moved", "members", "rare", "endings", "times", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, log_count = model.head.codes(), np.log10(np.append(model.head.counts, 0) + DELTA)
-        end = np.log10(model.ends + DELTA)
+        end, last = np.log10(model.ends + DELTA), model.shape.kinds - 1
         for batch in batches:
             for part in steps(batch, "text"):
                 words, ending = _words(part, "text", model.shape.endings)
                 texts = part.num_rows
                 rank = codes.find(words.hashes)
-                ids, first = _ids(words, ending, rank, model.shape)
-                kind, before = model.place[ids], model.place[_before(ids, first, model.shape)]
                 owner = np.repeat(np.arange(texts), np.diff(words.by_text))
                 whose = np.repeat(np.arange(texts), np.diff(words.by_text) + 1)
                 common = rank >= 0
@@ -315,20 +479,54 @@ def _local(rows: DataFrame, model: Model) -> DataFrame:
                 rare = rare[np.lexsort((words.hashes[rare], owner[rare]))]
                 new = np.append(True, (words.hashes[rare][1:] != words.hashes[rare][:-1]) | (owner[rare][1:] != owner[rare][:-1]))[: len(rare)]
                 starts = np.flatnonzero(new)
-                listed = pa.array(np.searchsorted(owner[rare][starts], np.arange(texts + 1)), pa.int32())
+                listed = np.searchsorted(owner[rare][starts], np.arange(texts + 1))
+                kind = np.empty(len(rank), np.int64)
+                kind[common] = model.place[rank[common]]
+                kind[rare] = -1 - (np.cumsum(new) - 1 - listed[owner[rare]])
+                kind, first = _with_ends(kind, words, last)
+                before = _before(kind, first, last)
+                sure, closed = kind >= 0, (kind >= 0) & (before >= 0)
+                open_ = np.flatnonzero(~closed)
+                joined = pa.array(np.searchsorted(whose[open_], np.arange(texts + 1)), pa.int32())
+                listed = pa.array(listed, pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     part.column("no"), part.column("key"), pa.array(np.diff(words.by_text) + 1),
                     pa.array(np.bincount(owner[common], minlength=texts) + (model.ends > 0)),
                     pa.array(np.bincount(owner[common], log_count[rank[common]], minlength=texts) + end),
-                    pa.array(np.bincount(whose, model.moves[before, kind], minlength=texts)),
-                    pa.array(np.bincount(whose, model.members[kind], minlength=texts)),
+                    pa.array(np.bincount(whose[closed], model.moves[before[closed], kind[closed]], minlength=texts).astype(float)),
+                    pa.array(np.bincount(whose[sure], model.members[kind[sure]], minlength=texts).astype(float)),
                     pa.ListArray.from_arrays(listed, pa.array(words.hashes[rare][starts].view(np.int64))),
+                    pa.ListArray.from_arrays(listed, pa.array(ending[rare][starts].astype(np.int32))),
                     pa.ListArray.from_arrays(listed, pa.array(np.diff(np.append(starts, len(rare))).astype(np.int32))),
+                    *(pa.ListArray.from_arrays(joined, pa.array(x[open_].astype(np.int32))) for x in (before, kind)),
                 ], names=names)
 
     return rows.mapInArrow(run, _DOC.format(rows.schema["key"].dataType.simpleString()))
 
 
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with ``moved`` and ``members`` summed over all words: ``kinds`` has the classes of
+    those that ``_local`` listed."""
+    fields = [f for f in rows.schema.fields if f.name not in ("before", "after", "times", "kinds")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved, members = (batch.column(c).to_numpy().copy() for c in ("moved", "members"))
+            for i, (listed, before, after, times) in enumerate(zip(*(batch.column(c) for c in ("kinds", "before", "after", "times")))):
+                if listed.is_valid and len(listed):
+                    at, kind = (f.to_numpy() for f in listed.values.flatten())
+                    kinds = np.empty(len(kind), np.int64)
+                    kinds[at] = kind
+                    x, y = (z.values.to_numpy() for z in (before, after))
+                    x, y = np.where(x < 0, kinds[-1 - np.minimum(x, -1)], x), np.where(y < 0, kinds[-1 - np.minimum(y, -1)], y)
+                    moved[i] += model.moves[x, y].sum()
+                    members[i] += model.members[kinds] @ times.values.to_numpy()
+            made = {"moved": pa.array(moved), "members": pa.array(members)}
+            yield pa.RecordBatch.from_arrays([made.get(f.name, batch.column(f.name)) for f in fields], names=[f.name for f in fields])
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
 def scored(df: DataFrame, key: str, text: str, train: Column, shape: Shape = Shape()) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row of ``df``.
 
@@ -338,15 +536,16 @@ def scored(df: DataFrame, key: str, text: str, train: Column, shape: Shape = Sha
     word is unknown. ``df`` must be a stored table: it is read more than once.
     """
     chosen = df.filter(train).select(F.col(text).alias("text"))
-    model, counts = fit(chosen, "text", shape)
+    model, kinds = fit(chosen, "text", shape)
     rows = df.select(F.monotonically_increasing_id().alias("no"), F.col(key).alias("key"), F.col(text).alias("text"))
     docs = kept(_local(rows, model), "local-scores")
-    rare = docs.select("no", F.explode(F.arrays_zip(F.col("rare").alias("rare"), F.col("times").alias("times"))).alias("x"))
-    rare = rare.select("no", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    found = rare.join(counts, "word", "left").groupBy("no").agg(
-        F.sum(F.col("times") * F.log10(n + DELTA)).alias("rare_log"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    whole = docs.drop("rare", "times").join(found, "no", "left")
+    rare = docs.select("no", F.posexplode(F.arrays_zip(F.col("rare").alias("rare"), F.col("endings").alias("ending"), F.col("times").alias("times"))).alias("at", "x"))
+    rare = rare.select("no", "at", F.col("x.rare").alias("word"), F.col("x.ending").alias("ending"), F.col("x.times").alias("times"))
+    n, kind = F.coalesce("n", F.lit(0)), F.coalesce("kind", F.col("ending") + F.lit(shape.classes))
+    found = rare.join(kinds, "word", "left").groupBy("no").agg(
+        F.sum(F.col("times") * F.log10(n + DELTA)).alias("rare_log"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.collect_list(F.struct("at", kind.alias("kind"))).alias("kinds"))
+    whole = _joined(docs.drop("rare", "endings").join(found, "no", "left"), model)
     log = F.col("sum_log") + F.coalesce("rare_log", F.lit(0.0))
     base = float(np.log10(model.tokens + DELTA * (model.distinct + 1)))
     return whole.select(

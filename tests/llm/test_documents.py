@@ -348,6 +348,61 @@ def test_exchange_raises_the_likelihood():
     assert not {*place[0:40:2].tolist()} & {*place[1:40:2].tolist()}
 
 
+def test_a_move_is_the_best_one():
+    rnd = np.random.default_rng(6)
+    pairs = rnd.poisson(0.4, (9, 9)).astype(float)
+    place, classes = np.array([0, 1, 2, 0, 1, 2, 3, 4, 5]), 3
+
+    def grid(place):
+        out = np.zeros((6, 6))
+        np.add.at(out, (place[:, None], place[None]), pairs)
+        return out
+
+    def moved(w, k):
+        out = place.copy()
+        out[w] = k
+        return class_lm.likelihood(grid(out))
+
+    for w in range(8):  # from a class, or from an ending
+        cells = [(0, place[v], pairs[w, v]) for v in range(9) if v != w] + [(1, place[v], pairs[v, w]) for v in range(9) if v != w] + [(2, place[w], pairs[w, w])]
+        summed = Counter()
+        for s, k, n in cells:
+            summed[s, k] += n
+        side, kind, n = (np.array(z) for z in zip(*((s, k, n) for (s, k), n in sorted(summed.items()) if n)))
+        got = class_lm.best(grid(place), place[[w]], np.array([0, len(n)]), side, kind, n, classes)[0]
+        assert moved(w, got) == pytest.approx(max(moved(w, k) for k in range(classes)))
+
+
+def test_every_repeated_word_is_clustered(table):
+    """All words, not only the ones that the driver starts with, and counts of classes of every bigram."""
+    rnd = random.Random(14)
+    tongues = [[f"{rnd.randrange(10**6)}{i}" for i in range(60)] for _ in range(2)]
+    docs = [(i, " ".join([*(rnd.choice(tongues[i % 2]) for _ in range(60)), f"once{i}"])) for i in range(120)]
+    shape = class_lm.Shape(classes=4, endings=8, head=20, start=10)
+    model, kinds = class_lm.fit(table(docs).select("text"), "text", shape)
+    hashed = lambda w: int(class_lm.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), class_lm.SOLID).hashes.view(np.int64)[0])
+    by_word = {r.word: r.kind for r in kinds.collect()}
+    of = [{by_word[hashed(w)] for w in t} for t in tongues]
+    assert not of[0] & of[1] and max(of[0] | of[1]) < 4
+    assert all(by_word[hashed(f"once{i}")] >= 4 for i in range(120))
+    grid = np.zeros((shape.kinds, shape.kinds))
+    for _, text in docs:
+        k = [shape.kinds - 1, *(by_word[hashed(w)] for w in text.split()), shape.kinds - 1]
+        np.add.at(grid, (k[:-1], k[1:]), 1)
+    share = (grid.sum(0) + 0.1) / (grid.sum() + 0.1 * shape.kinds)
+    assert np.allclose(10 ** model.moves, (grid + shape.kinds * share) / (grid.sum(1, keepdims=True) + shape.kinds))
+    sizes = np.bincount(list(by_word.values()), minlength=shape.kinds)
+    sizes[-1] = 1
+    count = Counter(w for _, t in docs for w in t.split())
+    want = {}
+    for key, text in docs:
+        k = [shape.kinds - 1, *(by_word[hashed(w)] for w in text.split()), shape.kinds - 1]
+        logs = sum(math.log10(count[w] + 0.1) for w in text.split()) + math.log10(120.1)
+        want[key] = logs + model.moves[k[:-1], k[1:]].sum() - np.log10(grid.sum(0) + 0.1 * (sizes + 1))[k[1:]].sum()
+    got = {r.doc_id: r.score for r in class_lm.scored(table(docs), "doc_id", "text", F.lit(True), shape).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_class_model_of_nothing(table):
     assert class_lm.scored(table([]), "doc_id", "text", F.lit(True)).count() == 0
     row = class_lm.scored(table([(1, "a b"), (2, None)]), "doc_id", "text", F.lit(False)).orderBy("doc_id").collect()
