@@ -68,11 +68,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     np.cumsum(_LETTER[data] * _powers(_BASE, len(data)), dtype=np.uint64, out=total[1:])
     part, width = mixed((total[gram:] - total[:-gram]) * _powers(_INVERSE, len(data) - gram + 1)), length - gram + 1
     least = _sliding(part, width, np.minimum)
-    # the parts that are some string's anchor; equal ones close together lie in periodic text
+    # the parts that are some string's anchor; equal ones close together lie in periodic text, and
+    # those ``width`` apart may still share a run: the strings at one and the next hold either
     beside = np.zeros(width - 1, np.uint64)
     held = np.flatnonzero(part == _sliding(np.concatenate([beside, least, beside]), width, np.maximum))
     held = held[np.argsort(part[held], kind="stable")]
-    close = (part[held][1:] == part[held][:-1]) & (held[1:] - held[:-1] < width)
+    close = (part[held][1:] == part[held][:-1]) & (held[1:] - held[:-1] <= width)
     periodic = np.unique(part[held[1:][close]])
     ok = np.zeros(n + 1, bool)
     lengths = np.diff(offsets)
