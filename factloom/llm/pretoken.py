@@ -89,9 +89,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Codes:
-    """Hash to row number, by open addressing."""
+    """Hash to row number, by open addressing; at most half of the slots are used."""
 
     def __init__(self, bits: int = 21):
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.rows, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
 
@@ -109,7 +112,12 @@ class Codes:
 
     def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
         """Distinct keys that aren't there yet."""
-        self.used += len(keys)
+        need = self.used + len(keys)
+        if 2 * need > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            keys, rows = np.concatenate([self.keys[full], keys]), np.concatenate([self.rows[full], rows])
+            self._empty((2 * need - 1).bit_length())
+        self.used = need
         slot = keys & self.mask
         while len(keys):
             free = self.keys[slot] == 0
