@@ -288,8 +288,15 @@ def _placed(rows: DataFrame, percent: int) -> DataFrame:
     return kept(placed.join(roots, "node", "left").select("no", "key", "n", F.coalesce("root", "node", "no").alias("root")), "placed")
 
 
-def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("no"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(no, row: struct of ``columns``), written down: another job may split ``df`` in another way
+    and number its rows anew."""
+    return kept(df.select(F.monotonically_increasing_id().alias("no"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), "numbered-rows")
+
+
+def _rows(numbered: DataFrame, key: str, text: str) -> DataFrame:
+    row = F.col("row")
+    return numbered.select("no", row.getField(key).alias("key"), F.coalesce(row.getField(text), F.lit("")).alias("text"))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
@@ -299,10 +306,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
     smallest key that a row reaches, itself included; kept where that is its own. Null and empty
     texts, and texts without words, have no shingles and are linked with nothing. Rows are told
     apart by place, so keys may repeat or be null (a null key is no component_id unless all keys
-    of a component are null). ``df`` must be a stored table: it is read more than once. Other
-    columns aren't read.
+    of a component are null). ``df`` is read once. Other columns aren't read.
     """
-    placed = _placed(_rows(df, key, text), percent)
+    placed = _placed(_rows(_numbered(df, [key, text]), key, text), percent)
     smallest = kept(placed.groupBy("root").agg(F.min("key").alias("component_id")), "component-ids")
     return placed.join(smallest, "root").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -311,8 +317,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
 def deduplicated(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``near_duplicates``: that with the smallest key, the first in
     the table of equal keys, null last. Columns as in ``df``."""
-    placed = _placed(_rows(df, key, text), percent)
+    numbered = _numbered(df, df.columns)
+    placed = _placed(_rows(numbered, key, text), percent)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "no")).alias("first")
     stay = placed.groupBy("root").agg(first).select(F.col("first.no").alias("no"))
-    numbered = df.select(F.monotonically_increasing_id().alias("no"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     return numbered.join(stay.hint("merge"), "no", "left_semi").select("row.*")

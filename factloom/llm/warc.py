@@ -95,9 +95,10 @@ def write(df: DataFrame, folder: str, key: str, url: str, payload: str, min_byte
           date: str = "1970-01-01T00:00:00Z") -> None:
     """Write one record per row of ``df`` to new gzip files in ``folder``.
 
-    ``df`` must be a stored table: it is read twice, and its rows are told apart by their place.
+    Rows are told apart by their place. ``df`` is read once and kept with their numbers: another job
+    may split it in another way and number its rows anew.
     """
-    captures = _captures(df, key, url, payload)
+    captures = kept(_captures(df, key, url, payload), "warc-captures")
     links = resolve(captures, min_bytes)
     records = captures.join(links, "no", "left").select(_record(date).alias("record"))
     # the writer ends each row with the separator, and so each record with two blank lines
@@ -151,10 +152,12 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
 def lookup(records: DataFrame) -> DataFrame:
     """(key, url, bytes, digest, record_type, refers_to_key): each record, revisits with what
-    their originals hold."""
+    their originals hold. Fails where a revisit's original is missing or has another digest."""
     originals = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("key").alias("refers_to_key"), F.col("bytes").alias("original_bytes"),
         F.col("digest").alias("original_digest"))
-    revisits = records.filter("record_type = 'revisit'").join(originals, "refers_to").filter("digest = original_digest")
+    revisits = records.filter("record_type = 'revisit'").join(originals, "refers_to", "left").filter(
+        F.when(F.col("digest") == F.col("original_digest"), F.lit(True))
+        .otherwise(F.raise_error(F.concat(F.lit("no original of the same digest for "), "record_id")).cast("boolean")))
     return (records.filter("record_type = 'response'").select("key", "url", "bytes", "digest", "record_type", F.lit(None).cast("long").alias("refers_to_key"))
             .unionByName(revisits.select("key", "url", F.col("original_bytes").alias("bytes"), "digest", "record_type", "refers_to_key")))
