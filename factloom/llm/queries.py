@@ -172,5 +172,19 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
                        F.array_max(F.col("matches.containment")).alias("containment"))
 
 
+@query
+def op11_id_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document is found again by its key, through the index."""
+    from factloom.llm import id_store
+
+    docs, store = table(spark, folder, "documents"), shared_path(spark, "ids")
+    id_store.write(docs, "doc_id", "text", tokenizer("word_bpe_49k.json"), 2, store)
+    keys = docs.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").cast("string").alias("key"),
+                                                                      F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    found = id_store.fetch(id_store.lookup(keys, store), store, payload=False).join(id_store.shards(spark, store), "shard")
+    return found.select(F.col("key").cast("long").alias("doc_id"), (F.col("first_id") + F.col("offset")).alias("start"), F.col("n").alias("n_tokens"),
+                        F.col("crc32").alias("ids_crc32"))
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
