@@ -186,5 +186,43 @@ def op11_id_store(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("crc32").alias("ids_crc32"))
 
 
+ORACLES["op12_turn_trie"] = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': r, 'x': x} ORDER BY p) AS q, c::VARCHAR AS s FROM t GROUP BY c),
+hashed AS (SELECT c, c - c % 5 AS base, q, xor(list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(substr(s, i::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))), 4294967295) % 9 AS h FROM own),
+rebuilt AS (SELECT a.c, list_concat(coalesce(list_slice(b.q, 1, a.h), []), list_slice(a.q, a.h + 1, len(a.q))) AS q
+  FROM hashed a LEFT JOIN own b ON a.base = b.c),
+path AS (SELECT c, len(q) AS n, d, list_slice(q, 1, d) AS k FROM rebuilt, unnest(range(0, len(q) + 1)) u(d)),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends
+  FROM path GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[d].x) END AS saved
+  FROM node LEFT JOIN kids USING (d, k)),
+sums AS (SELECT e AS d, list_slice(k, 1, e) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM full_node, unnest(range(0, d + 1)) u(e) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN sums s ON f.d = s.d AND f.k = s.k LEFT JOIN node p ON p.d = f.d - 1 AND p.k = list_slice(f.k, 1, f.d - 1)"""
+
+
+@query
+def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm import turn_trie
+
+    said = turn_trie.turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    return turn_trie.trie(*turn_trie.spliced(said)).drop("a", "b")
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from factloom.llm.whitening import fitted, whitened
+
+    rows = table(spark, folder, "embeddings")
+    return whitened(rows, "vec_id", "embedding", fitted(rows, "embedding", 4))
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
