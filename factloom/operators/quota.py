@@ -4,18 +4,16 @@ A window starts at the first event that finds none open and lasts ``window``;
 the next event at or after its end starts the next one.  That is sequential per
 key, so a key with a third of all events must not become one task:
 
-1. timelines are reduced to distinct instants and cut into (key, chunk) pieces
-   of a fixed number of windows;
-2. a chunk that follows a pause of a whole window surely starts a window with
-   its first instant; only chunks inside longer busy stretches depend on the
-   chunk before, through the one instant where their first window starts;
-3. for those, every possible entry instant (those in a chunk's first window) is
-   mapped to the entry it leads to in the next chunk, and the entries really
-   reached are found by doubling the jumps, log2(chunks) joins;
-4. with its entry known, each chunk lists its window starts on its own.
-
-What a task holds is one key's distinct instants in one chunk, a fixed number of
-windows; a parameter sets it, down to a single window.
+1. timelines are reduced to distinct instants, and every instant points to the one
+   that would start the next window if it started one itself.  Instants and the
+   ends of their windows are sorted together by range, whatever their keys; a pointer
+   is found by an ordered window inside a range, or, for keys that go on over a range's
+   border, from the first instant of the ranges after it;
+2. an instant after a pause of a whole window surely starts one.  What is reached from
+   those along the pointers are the starts; they are found by doubling the pointers,
+   in as many joins as the longest stretch without such a pause has binary digits.
+
+No group of a task is a key's: ranges split a key, even inside one window.
 """
 
 from __future__ import annotations
@@ -27,59 +25,39 @@ from factloom.operators.sequence import numbered
 from factloom.schema import QUOTA_LIMIT, QUOTA_WINDOW_SECONDS
 from factloom.sources.shared import settled
 
-
-def _entry_map(window: int, chunk: int):
-    """(key, chunk) instants, own and of the next chunk's first window, to entries."""
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-
-        start = key[1].as_py() * chunk
-        t = np.unique(table["t"].to_numpy())
-        own = int(np.searchsorted(t, start + chunk))
-        nxt = np.append(np.searchsorted(t, t + window), len(t))
-        jump = np.arange(len(t) + 1)
-        while True:  # follow window ends until every walk has left the chunk
-            inside = jump < own
-            if not inside.any():
-                break
-            jump = np.where(inside, nxt[jump], jump)
-        entries = np.flatnonzero(t[:own] < start + window)
-        late = np.searchsorted(t[:own], start + window)
-        if late < own:
-            entries = np.append(entries, late)
-        leads = jump[entries]
-        known = leads < len(t)
-        dst = pa.array(t[np.minimum(leads, len(t) - 1)], mask=~known)
-        n = len(entries)
-        return pa.table({"k": pa.repeat(key[0], n), "chunk": pa.repeat(key[1], n),
-                         "src": pa.array(t[entries]), "dst": dst})
-
-    return run
-
-
-def _window_starts(window: int):
-    """Window starts of one (key, chunk) from its entry; rows without an entry start none."""
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        entry = pc.max(table["entry"]).as_py()
-        starts = []
-        if entry is not None:
-            t = np.sort(table["t"].to_numpy())
-            at = int(np.searchsorted(t, entry))
-            while at < len(t):
-                starts.append(int(t[at]))
-                at = int(np.searchsorted(t, t[at] + window))
-        n = len(starts)
-        return pa.table({"k": pa.repeat(key[0], n), "chunk": pa.repeat(key[1], n),
-                         "start": pa.array(starts, pa.int64())})
-
-    return run
+#: Rows of a range at most, about; and ranges at most.
+ROWS_PER_RANGE, RANGES = 1 << 20, 20_000
+
+
+def _pointers(instants: DataFrame, window: int, rows_per_range: int) -> tuple[DataFrame, DataFrame]:
+    """(k, src, dst): where the window that each instant would start hands over; (k, t): instants after a pause."""
+    rows = 2 * instants.count()
+    ends = instants.select("k", (F.col("t") + window).alias("at"), F.col("t").alias("src"))
+    both = instants.select("k", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("src")).unionByName(ends)
+    both = both.repartitionByRange(min(RANGES, rows // rows_per_range + 1), "k", "at")
+    both = settled(both.withColumn("part", F.spark_partition_id()), "quota-ranges")
+    mark = F.when(F.col("src").isNull(), F.col("at"))
+
+    # keys that lie in several ranges: a row for each of the two or more, so at most two a range
+    spans = both.groupBy("k", "part").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    spans = settled(spans, "quota-spans")
+    several = spans.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    line = Window.partitionBy("k").orderBy("part")
+    spans = spans.join(several, "k", "left_semi").select(
+        "k", "part", F.min("first").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    spans = settled(spans, "quota-borders")
+
+    # at one instant, instants come before ends: an end there hands over there
+    down = Window.partitionBy("part", "k").orderBy(F.col("at").desc(), F.col("src").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("part", "k").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumns({"_dst": F.min(mark).over(down), "_before": F.max(mark).over(up)}).join(spans, ["k", "part"], "left")
+    found = settled(found.select("k", "at", "src", F.coalesce("_dst", "later").alias("dst"),
+                                 F.coalesce("_before", "earlier").alias("before")), "quota-pointers")
+    after_pause = F.coalesce(F.col("at") - F.col("before") >= window, F.lit(True))
+    fresh = found.filter(F.col("src").isNull() & after_pause).select("k", F.col("at").alias("t"))
+    return found.filter("src IS NOT NULL AND dst IS NOT NULL").select("k", "src", "dst"), fresh
 
 
 def _reached(first: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,78 +76,26 @@ def _reached(first: DataFrame, edges: DataFrame) -> DataFrame:
     return reach
 
 
-#: Windows of a chunk, at every size of the data: what a task holds is one key's distinct
-#: instants in so many windows.
-WINDOWS_PER_CHUNK = 16
-
-
 def window_starts(events: DataFrame, key: str, micros: Column, window: int,
-                  windows_per_chunk: int = WINDOWS_PER_CHUNK) -> DataFrame:
-    """Rows (k, chunk, start): every window start, in microseconds.
+                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Rows (k, start): every window start, in microseconds.
 
     ``k`` is the key in a struct: NULL keys are equal there, so their events have
     windows of their own.  Events without a time start none.
     """
     timed = events.select(F.struct(F.col(key)).alias("k"), micros.alias("t")).filter("t IS NOT NULL")
     instants = settled(timed.distinct(), "quota-instants")
-    chunk = window * windows_per_chunk
-    instants = instants.withColumn("chunk", F.floor(F.col("t") / chunk))
-    in_first = F.col("t") - F.col("chunk") * chunk < window
-
-    # one row per key and non-empty chunk
-    line = Window.partitionBy("k").orderBy("chunk")
-    chunks = instants.groupBy("k", "chunk").agg(
-        F.min("t").alias("first"), F.max("t").alias("last"),
-        F.min(F.when(~in_first, F.col("t"))).alias("late")).withColumns({
-            "fresh": F.coalesce(F.col("first") - F.lag("last").over(line) >= window, F.lit(True)),
-            "next_fresh": F.coalesce(F.lead("first").over(line) - F.col("last") >= window,
-                                     F.lit(True)),
-            "n_chunk": F.lead("chunk").over(line), "n_first": F.lead("first").over(line),
-            "n_late": F.lead("late").over(line), "nn_first": F.lead("first", 2).over(line),
-        })
-    chunks = settled(chunks, "quota-chunks")
-    fresh = chunks.filter("fresh").select("k", F.col("first").alias("t"))
-    # most keys of a sparse log: one window holds the whole chunk
-    alone = F.col("fresh") & (F.col("last") - F.col("first") < window)
-
-    # only chunks that hand an open window on take part in the mapping
-    busy = chunks.filter(~F.col("fresh") | ~F.col("next_fresh"))
-    if busy.isEmpty():
-        reach = fresh
-    else:
-        busy_keys = busy.select("k", "chunk")
-        ahead = instants.filter(in_first).withColumn("chunk", F.col("chunk") - 1)
-        pieces = instants.unionByName(ahead).join(busy_keys, ["k", "chunk"], "left_semi")
-        k_type = dict(instants.dtypes)["k"]
-        entries = pieces.groupBy("k", "chunk").applyInArrow(
-            _entry_map(window, chunk), f"k {k_type}, chunk bigint, src bigint, dst bigint")
-        # a walk that ends beyond the next chunk's first window resumes at that
-        # chunk's later instants, or at the next chunk that has any
-        follow = F.when(F.col("n_chunk") == F.col("chunk") + 1,
-                        F.coalesce("n_late", "nn_first")).otherwise(F.col("n_first"))
-        target = F.coalesce("dst", follow)
-        linked = entries.join(
-            busy.select("k", "chunk", "n_chunk", "n_first", "n_late", "nn_first"), ["k", "chunk"])
-        edges = linked.select("k", "src", target.alias("dst")).filter(F.col("dst").isNotNull())
-        at_fresh = fresh.select("k", F.col("t").alias("dst"))
-        edges = settled(edges.join(at_fresh, ["k", "dst"], "left_anti").select("k", "src", "dst"),
-                        "quota-edges")
-        reach = _reached(fresh, edges)
-
-    marked = instants.select("k", "chunk", "t", F.lit(None).cast("bigint").alias("entry"))
-    entry_rows = reach.select("k", F.floor(F.col("t") / chunk).alias("chunk"), "t",
-                              F.col("t").alias("entry"))
-    longer = chunks.filter(~alone).select("k", "chunk")
-    walked = marked.unionByName(entry_rows).join(longer, ["k", "chunk"], "left_semi").groupBy(
-        "k", "chunk").applyInArrow(
-        _window_starts(window), f"k {dict(instants.dtypes)['k']}, chunk bigint, start bigint")
-    return walked.unionByName(
-        chunks.filter(alone).select("k", "chunk", F.col("first").alias("start")))
+    pointers, fresh = _pointers(instants, window, rows_per_range)
+    fresh = settled(fresh, "quota-fresh")
+    # a pointer to an instant after a pause adds nothing
+    edges = settled(pointers.join(fresh.select("k", F.col("t").alias("dst")), ["k", "dst"], "left_anti").select(
+        "k", "src", "dst"), "quota-edges")
+    return _reached(fresh, edges).select("k", F.col("t").alias("start"))
 
 
 def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,
                 limit: int = QUOTA_LIMIT, window_seconds: float = QUOTA_WINDOW_SECONDS,
-                windows_per_chunk: int = WINDOWS_PER_CHUNK, slices: int = 64) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE, slices: int = 64) -> DataFrame:
     """Add window_start (us), n_in_window, allowed, remaining and retry_after (s).
 
     Every event stays: a NULL key is a key like others, and an event without a
@@ -177,10 +103,9 @@ def quota_flags(events: DataFrame, key: str, micros: Column, tie: str,
     equal parts of it, so no task sorts a whole window of a busy key.
     """
     window = int(round(window_seconds * 1_000_000))
-    if window <= 0 or windows_per_chunk < 1 or slices < 1:
-        raise ValueError("window, chunk and slices must be positive")
-    starts = settled(window_starts(events, key, micros, window, windows_per_chunk),
-                     "quota-starts")
+    if window <= 0 or rows_per_range < 1 or slices < 1:
+        raise ValueError("window, range and slices must be positive")
+    starts = settled(window_starts(events, key, micros, window, rows_per_range), "quota-starts")
 
     # Each event belongs to the last start at or before it.  A window is found
     # from the slot (one window long) of the event: its own or the one before.

@@ -2,50 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.schema import QUOTA_LIMIT, QUOTA_WINDOW_SECONDS
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _OpenWindow(StatefulProcessor):
+    """A key's open window: its start and the events counted in it, until its timer clears both."""
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
+        import numpy as np
+        import pandas as pd
+
+        held = self.open.get() if self.open.exists() else None
+        before, count = (int(held[0]), int(held[1])) if held else (None, 0)
+        start = before
+        for batch in rows:  # one Arrow batch at a time, however many the key has
+            timed = batch[batch["t"].notna()].sort_values(["t", "tie"])
+            t = timed["t"].to_numpy("int64")
+            starts, numbers = np.empty(len(t), "int64"), np.empty(len(t), "int64")
+            i = 0
+            while i < len(t):
+                if start is None or t[i] - start >= self.window:
+                    start, count = int(t[i]), 0
+                j = max(int(np.searchsorted(t, start + self.window)), i + 1)
+                starts[i:j] = start
+                numbers[i:j] = count + np.arange(1, j - i + 1)
+                count += j - i
+                i = j
+            yield pd.DataFrame({"k": key[0], "tie": timed["tie"].to_numpy(), "window_start": pd.array(starts, "Int64"),
+                                "n_in_window": pd.array(numbers, "Int64"), "allowed": pd.array(numbers <= self.limit, "boolean")})
+            rest = batch[batch["t"].isna()]
+            if len(rest):
+                none = [None] * len(rest)
+                yield pd.DataFrame({"k": key[0], "tie": rest["tie"].to_numpy(), "window_start": pd.array(none, "Int64"),
+                                    "n_in_window": pd.array(none, "Int64"), "allowed": pd.array(none, "boolean")})
+        if start is not None:
+            self.open.update((start, count))
+        if start != before:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(start))
+
+    def _end(self, start: int) -> int:
+        """Milliseconds when the window that begins at ``start`` is over."""
+        return -(-(start + self.window) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
+        if self.open.exists() and self._end(int(self.open.get()[0])) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession) -> SparkSession:
+    """``spark`` set to keep streaming state where timers and typed state are supported."""
+    spark.conf.set(_PROVIDER, _ROCKS)
+    return spark
+
 
 def quota_stream(stream: DataFrame, key: str, micros: Column, tie: str,
                  limit: int = QUOTA_LIMIT,
-                 window_seconds: float = QUOTA_WINDOW_SECONDS) -> DataFrame:
-    """Flag events as they come.  The state per key is its window start and count.
+                 window_seconds: float = QUOTA_WINDOW_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """Flag events as they come.  The state per key is its window start and count, and a timer
+    clears it once the watermark, ``delay`` behind the latest event, has passed the window's end.
 
-    Within a micro-batch a key's events are put in time order, so what one task
-    holds is bounded by the trigger size; across micro-batches arrival decides,
-    and an event older than the open window counts in it.
+    A key's rows are walked one Arrow batch at a time, each in time order; across batches arrival
+    decides, and an event older than the open window counts in it.  One that comes when its key's
+    state is gone starts a window; none is dropped, however late.  Events without a time are
+    flagged NULL; a NULL key is a key like others.  A key's rows of a micro-batch are one task's:
+    bound the trigger.  ``keyed_state`` must have set the session.
     """
     window = int(round(window_seconds * 1_000_000))
     types = dict(stream.dtypes)
     out = (f"k {types[key]}, tie {types[tie]}, window_start bigint, n_in_window bigint, "
            "allowed boolean")
-
-    def run(group, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        rows = pd.concat(list(batches)).sort_values(["t", "tie"])
-        t = rows["t"].to_numpy()
-        start, count = state.get if state.exists else (None, 0)
-        starts = np.empty(len(t), dtype="int64")
-        numbers = np.empty(len(t), dtype="int64")
-        i = 0
-        while i < len(t):
-            if start is None or t[i] - start >= window:
-                start, count = int(t[i]), 0
-            j = max(int(np.searchsorted(t, start + window)), i + 1)
-            starts[i:j] = start
-            numbers[i:j] = count + np.arange(1, j - i + 1)
-            count += j - i
-            i = j
-        state.update((start, count))
-        yield pd.DataFrame({
-            "k": group[0], "tie": rows["tie"].to_numpy(), "window_start": starts,
-            "n_in_window": numbers, "allowed": numbers <= limit})
-
-    keyed = stream.select(F.col(key).alias("k"), F.col(tie).alias("tie"), micros.alias("t"))
-    flagged = keyed.groupBy("k").applyInPandasWithState(
-        run, out, "start bigint, n bigint", "append", "NoTimeout")
+    # the watermark's own column isn't handed on: rows behind it would be dropped
+    timed = stream.withColumn("_ts", F.timestamp_micros(micros)).withWatermark("_ts", delay)
+    keyed = timed.select(F.col(key).alias("k"), F.col(tie).alias("tie"), micros.alias("t"))
+    flagged = keyed.groupBy("k").transformWithStateInPandas(
+        statefulProcessor=_OpenWindow(limit, window), outputStructType=out, outputMode="Append", timeMode="EventTime")
     return flagged.withColumnsRenamed({"k": key, "tie": tie})

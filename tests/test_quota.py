@@ -40,16 +40,27 @@ def mixed(seed, n):
     return out
 
 
-@pytest.mark.parametrize("per_chunk", [1, 3, 16])
-def test_dense_key_without_pauses(spark, per_chunk):
+@pytest.mark.parametrize("per_range", [25, 200, 1 << 20])
+def test_dense_key_without_pauses(spark, per_range):
     events = regular(300)
-    assert flags(spark, events, 2, 20.0, per_chunk) == brute(events, 2, 20 * SECOND)
+    assert flags(spark, events, 2, 20.0, per_range) == brute(events, 2, 20 * SECOND)
 
 
-@pytest.mark.parametrize("seed,per_chunk", [(1, 1), (2, 2), (3, 5)])
-def test_random_timelines(spark, seed, per_chunk):
+@pytest.mark.parametrize("seed,per_range", [(1, 20), (2, 100), (3, 1 << 20)])
+def test_random_timelines(spark, seed, per_range):
     events = mixed(seed, 400)
-    assert flags(spark, events, 3, 10.0, per_chunk) == brute(events, 3, 10 * SECOND)
+    assert flags(spark, events, 3, 10.0, per_range) == brute(events, 3, 10 * SECOND)
+
+
+def test_one_window_over_many_ranges(spark, monkeypatch):
+    """A key with a third of all events inside one window is worked on in many tasks."""
+    from factloom.operators import quota
+
+    kept = {}
+    monkeypatch.setattr(quota, "settled", lambda df, name, real=quota.settled: kept.setdefault(name, real(df, name)) if name == "quota-ranges" else real(df, name))
+    events = [("hot", 5 * SECOND + 7 * i, i) for i in range(400)] + [(f"k{i % 200}", i * SECOND, 1000 + i) for i in range(800)]
+    assert flags(spark, events, 100, 60.0, 100) == brute(events, 100, 60 * SECOND)
+    assert kept["quota-ranges"].filter("k.k = 'hot'").select("part").distinct().count() > 4
 
 
 def test_window_edges(spark):
@@ -62,8 +73,8 @@ def test_window_edges(spark):
         flags(spark, events, 2, 0.0, 64)
 
 
-def test_given_table_in_small_chunks(spark):
-    """The chunked path over the events table agrees with one-chunk keys."""
+def test_given_table_in_small_ranges(spark):
+    """Many ranges of the events table agree with one."""
     from factloom.functions.periods import epoch_micros
 
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
@@ -71,5 +82,5 @@ def test_given_table_in_small_chunks(spark):
         {tuple(r) for r in quota_flags(
             events, "user_id", epoch_micros(F.col("ts")), "event_id", 3, 86_400.0, n).select(
             "event_id", "window_start", "n_in_window").collect()}
-        for n in (2, 64)]
+        for n in (100, 1 << 20)]
     assert runs[0] == runs[1]
