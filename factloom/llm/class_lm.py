@@ -8,10 +8,11 @@ class that is best for it beside the others' classes of the round before. Words
 and unknown ones fall into classes by their last bytes, the endings. ``Shape`` has the numbers.
 Both probabilities are smoothed.
 
-All counts are over every training text. Counts and classes of words, and counts of pairs of
-words, are distributed tables that grow with the texts. Tasks hold only the commonest words, the
-head, and the occurrences of all others are joined to the tables. The driver gets the counts of the
-pairs of the commonest words and of classes, both of fixed size.
+All counts are over every training text. Tasks hold the commonest words, the head, with a class each. Where two words of the head meet, a
+task counts each one's neighbour class in place, and hands on only those counts, packed by ranges of words; pairs of words are
+written nowhere. Where a word of the head meets another one, the other's row in a distributed table lists it; only pairs of two words
+outside the head are joined. Counts and classes of words are tables that grow with the texts. The driver gets the counts of the
+pairs of ``start`` words and of classes, and the classes of the head, all of fixed size.
 
 Words are runs of bytes that aren't white space, A-Z in lower case, told apart by a 64-bit hash.
 An end follows the last word of a text and stands before its first. Null and empty texts are an end
@@ -21,6 +22,7 @@ but not learned from.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +49,7 @@ class Shape:
     classes: int = 48
     endings: int = 64
     sweeps: int = 6
-    head: int = 1 << 18
+    head: int = 1 << 19
     start: int = 2048  # words of the exchange on the driver, where there is no vocabulary
     rounds: int = 2
     least: int = 2
@@ -269,38 +271,6 @@ def _gains(grid: np.ndarray, r: np.ndarray, c: np.ndarray, own: float, classes:
     return out - _h(rows + r.sum() + own) + _h(rows) - _h(columns + c.sum() + own) + _h(columns)
 
 
-def pair_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): occurrences of each pair of words, by hash; the end is ``_END``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def merged() -> tuple:
-            a, b, n = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, first, back = np.unique(mixed(a * _TAIL[0] + mixed(b + _TAIL[1])), return_index=True, return_inverse=True)
-            return a[first], b[first], np.bincount(back, n, minlength=len(first)).astype(np.int64)
-
-        def handed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], names=["a", "b", "n"])
-
-        for batch in batches:
-            for part in steps(batch, text):
-                words, _ = _words(part, text, 1)
-                ids, first = _with_ends(words.hashes, words, _END)
-                held.append((_before(ids, first, _END), ids, np.ones(len(ids), np.int64)))
-                if sum(len(h[0]) for h in held) > _GATHERED_PAIRS:
-                    made = merged()
-                    if len(made[0]) * 2 > _GATHERED_PAIRS:
-                        yield handed(*made)
-                    else:
-                        held.append(made)
-        if held:
-            yield handed(*merged())
-
-    pairs = texts.select(text).mapInArrow(run, "a long, b long, n long")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def started(counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> DataFrame:
     """(word, n, kind): the class of each word, as the exchange left it or by its ending."""
     some = Head(head.words[: shape.first], head.counts[: shape.first])
@@ -315,17 +285,184 @@ def started(counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> D
     return counts.select("word", "ending", "n").mapInArrow(run, "word long, n long, kind int")
 
 
-def _labelled(pairs: DataFrame, kinds: DataFrame, shape: Shape) -> DataFrame:
-    """``pairs`` with the classes (x, y) of both words; a word that stays in its class is null."""
-    def side(word: str, kind: str) -> DataFrame:
-        return kinds.select(F.col("word").alias(word), F.col("kind").alias(kind), (F.col("n") >= shape.least).alias(f"free_{word}"))
+#: Words of a block of neighbour classes.
+_BLOCK = 1024
+
+
+def outside(texts: DataFrame, text: str, head: Head, shape: Shape) -> DataFrame:
+    """(word, other, code) for each word that isn't in the head, and each neighbour of it: code is twice
+    the neighbour's rank (the end's is that of the next word), plus 1 if it comes before. Where the next
+    word isn't in the head either, ``other`` is that word, once for both, and code is null."""
+    size = len(head.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = head.codes()
+        for batch in batches:
+            for part in steps(batch, text):
+                words, _ = _words(part, text, 1)
+                ids, first = _with_ends(codes.find(words.hashes), words, size)
+                if (ids >= 0).all():
+                    continue
+                hashes, _ = _with_ends(words.hashes, words, _END)
+                before, hash_before = _before(ids, first, size), _before(hashes, first, _END)
+                led, follows, both = (before >= 0) & (ids < 0), (before < 0) & (ids >= 0), (before < 0) & (ids < 0)
+                word = np.concatenate([hashes[led], hash_before[follows], hash_before[both]]).view(np.int64)
+                known = int(led.sum() + follows.sum())
+                missing = np.arange(len(word)) < known
+                other = np.concatenate([np.zeros(known, np.int64), hashes[both].view(np.int64)])
+                code = np.concatenate([before[led] * 2 + 1, ids[follows] * 2, np.zeros(len(word) - known, np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(other, mask=missing), pa.array(code, mask=~missing)], names=["word", "other", "code"])
+
+    return texts.select(text).mapInArrow(run, "word long, other long, code int")
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, bytes of equal weight together."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class _Cells:
+    """Counts of (word of the head, side, class), gathered and handed on in blocks of words; and of pairs of classes."""
+
+    def __init__(self, shape: Shape):
+        self.kinds, self.grid = shape.kinds, np.zeros((shape.kinds, shape.kinds), np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.gathered = 0
+
+    def add(self, rank: np.ndarray, side: np.ndarray, kind: np.ndarray) -> None:
+        key = (rank * 3 + side) * self.kinds + kind
+        self.held.append((key, np.ones(len(key), np.int64)))
+        self.gathered += len(key)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.grid += np.bincount(x * self.kinds + y, minlength=self.grid.size).reshape(self.grid.shape)
 
-    def free(word: str) -> Column:
-        return F.when(F.col(f"free_{word}"), F.col(word)).alias(word)
+    def merge(self) -> None:
+        keys, n = (np.concatenate(z) for z in zip(*self.held))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.held = [(keys[starts], np.add.reduceat(n, starts) if len(starts) else n)]
+        self.gathered = len(starts)
 
-    end = F.lit(shape.kinds - 1)
-    both = pairs.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
-    return both.select(free("a"), free("b"), F.coalesce("x", end).alias("x"), F.coalesce("y", end).alias("y"), "n")
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """All that was counted so far, which starts anew."""
+        if self.held:
+            self.merge()
+            keys, n = self.held.pop()
+            span = 3 * self.kinds * _BLOCK
+            block = keys // span
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(keys) else np.zeros(0, np.int64)
+            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 64)):
+                rows = [(int(block[starts[i]]), slice(starts[i], starts[i + 1] if i + 1 < len(starts) else len(keys))) for i in some.tolist()]
+                yield _block_rows([(b, _squeezed(np.diff(keys[c] - b * span, prepend=0)), _squeezed(n[c])) for b, c in rows])
+            self.gathered = 0
+        if self.grid.any():
+            yield _block_rows([(-1, self.grid.tobytes(), b"")])
+            self.grid[:] = 0
+
+
+def _block_rows(rows: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["block", "keys", "n"])
+
+
+_BLOCKS = "block int, keys binary, n binary"
+
+
+def _beside_head(texts: DataFrame, text: str, head: Head, place: np.ndarray, shape: Shape, cells: bool) -> DataFrame:
+    """Blocks of the neighbours' classes of words of the head beside such words, ends included; without
+    ``cells`` only the pairs of classes. ``place``: the class of each word of the head and of the end."""
+    size = len(head.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, made, kinds = head.codes(), _Cells(shape), place.astype(np.int64)
+        for batch in batches:
+            for part in steps(batch, text):
+                words, _ = _words(part, text, 1)
+                ids, first = _with_ends(codes.find(words.hashes), words, size)
+                before = _before(ids, first, size)
+                both = (ids >= 0) & (before >= 0)
+                a, b = before[both], ids[both]
+                x, y = kinds[a], kinds[b]
+                made.pairs(x, y)
+                if cells:
+                    same = a == b
+                    left, right = (a < size) & ~same, (b < size) & ~same
+                    twice = same & (a < size)
+                    made.add(np.concatenate([a[left], b[right], a[twice]]), np.repeat([0, 1, 2], [left.sum(), right.sum(), twice.sum()]),
+                             np.concatenate([y[left], x[right], x[twice]]))
+                    if made.gathered > _GATHERED_PAIRS:
+                        made.merge()
+                        if made.gathered * 2 > _GATHERED_PAIRS:
+                            yield from made.blocks()
+        yield from made.blocks()
+
+    return texts.select(text).mapInArrow(run, _BLOCKS)
+
+
+def _beside_others(rows: DataFrame, size: int, place: np.ndarray, shape: Shape, cells: bool) -> DataFrame:
+    """The same from (kind, codes) of words outside the head."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, kinds = _Cells(shape), place.astype(np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                codes = part.column("codes")
+                code = codes.flatten().to_numpy().astype(np.int64)
+                kind = np.repeat(part.column("kind").to_numpy().astype(np.int64), np.diff(np.asarray(codes.offsets)))
+                rank, ahead = code >> 1, code & 1 == 1
+                made.pairs(np.where(ahead, kinds[rank], kind), np.where(ahead, kind, kinds[rank]))
+                if cells:
+                    known = rank < size
+                    made.add(rank[known], 1 - (code & 1)[known], kind[known])
+                    if made.gathered > _GATHERED_PAIRS:
+                        made.merge()
+                        if made.gathered * 2 > _GATHERED_PAIRS:
+                            yield from made.blocks()
+        yield from made.blocks()
+
+    return rows.select("kind", "codes").mapInArrow(run, _BLOCKS)
+
+
+def _added(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """One row for each block."""
+    span = 3 * shape.kinds * _BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if block < 0:
+                    total[block] = total.get(block, 0) + np.frombuffer(keys, np.int64)
+                else:
+                    total.setdefault(block, np.zeros(span, np.int64))[np.cumsum(_spread(keys).astype(np.int64))] += _spread(n)
+        for block, counts in total.items():
+            if block < 0:
+                yield _block_rows([(block, counts.tobytes(), b"")])
+            else:
+                at = np.flatnonzero(counts)
+                if counts.max() >= 1 << 32:
+                    raise OverflowError("a class follows a word 2^32 times")
+                yield _block_rows([(block, _squeezed(np.diff(at, prepend=0)), _squeezed(counts[at]))])
+
+    return blocks.repartition("block").mapInArrow(run, _BLOCKS)
+
+
+def _head_kinds(counts: DataFrame, head: Head, place: np.ndarray) -> DataFrame:
+    """(word, n, kind) of the head's words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = head.codes()
+        for batch in batches:
+            rank = codes.find(batch.column("word").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(place[rank].astype(np.int32))], names=["word", "n", "kind"])
+
+    least = int(head.counts[-1]) if len(head.counts) else None
+    return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n").mapInArrow(run, "word long, n long, kind int")
 
 
 def _grid(cells: DataFrame, shape: Shape) -> np.ndarray:
@@ -372,42 +509,96 @@ def best(grid: np.ndarray, old: np.ndarray, ends: np.ndarray, side: np.ndarray,
     return np.argmax(out, 1)
 
 
-def _moved(beside: DataFrame, grid: np.ndarray, shape: Shape) -> DataFrame:
-    """(word, best): the best class of each word, from its neighbours' classes."""
+def _head_moves(added: DataFrame, grid: np.ndarray, place: np.ndarray, free: np.ndarray, shape: Shape) -> np.ndarray:
+    """The best class of each word of the head; words that aren't ``free`` stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _MOVED_WORDS):
-                part = batch.slice(at, _MOVED_WORDS)
-                cells = part.column("cells")
-                ends = np.append(0, np.cumsum([len(x) for x in cells]))
-                side, kind, n = (f.to_numpy(zero_copy_only=False) for f in cells.flatten().flatten())
-                made = best(grid, part.column("x").to_numpy(), ends, side, kind, n, shape.classes)
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(made.astype(np.int32))], names=["word", "best"])
+            for block, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
+                key, n, out = np.cumsum(_spread(keys).astype(np.int64)), _spread(n).astype(np.int64), []
+                word, side, kind = key // shape.kinds // 3, key // shape.kinds % 3, key % shape.kinds
+                old = place[block * _BLOCK: min((block + 1) * _BLOCK, len(place) - 1)].astype(np.int64)
+                for at in range(0, len(old), _MOVED_WORDS):
+                    ends = np.searchsorted(word, np.arange(at, min(at + _MOVED_WORDS, len(old)) + 1))
+                    c = slice(ends[0], ends[-1])
+                    out.append(best(grid, old[at: at + _MOVED_WORDS], ends - ends[0], side[c], kind[c], n[c], shape.classes))
+                yield _block_rows([(block, np.concatenate(out).astype(np.uint16).tobytes(), b"")])
+
+    out = place.copy()
+    for r in added.filter("block >= 0").mapInArrow(run, _BLOCKS).select("block", "keys").collect():  # a number for each word of the head
+        made = np.frombuffer(r["keys"], np.uint16)
+        at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(made))
+        out[at] = np.where(free[at], made, out[at])
+    return out
 
-    # at most two cells a word and class
-    words = beside.filter("word IS NOT NULL").groupBy("word", "x").agg(F.sort_array(F.collect_list(F.struct("side", "y", "n"))).alias("cells"))
-    return words.mapInArrow(run, "word long, best int")
 
+def _other_moves(rows: DataFrame, linked: DataFrame, grid: np.ndarray, place: np.ndarray, shape: Shape) -> DataFrame:
+    """``rows`` (word, n, kind, codes) with the best class of each word. ``linked``: (word, side, y, n), neighbours outside the head."""
+    beside = linked.groupBy("word").agg(F.collect_list(F.struct("side", "y", "n")).alias("cells"))  # two or three a class at most
+    rows = rows.join(beside, "word", "left")
 
-def clustered(pairs: DataFrame, kinds: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
-    """((word, n, kind), counts of pairs of classes) after the round whose classes are likeliest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = place.astype(np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _MOVED_WORDS):
+                part = batch.slice(at, _MOVED_WORDS)
+                codes, cells = part.column("codes"), part.column("cells")
+                code = codes.flatten().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(codes.offsets)))
+                key = [(owner * 3 + (code & 1)) * shape.kinds + kinds[code >> 1]]
+                lengths = np.array([len(c) if c.is_valid else 0 for c in cells], np.int64)
+                side, kind, n = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in cells.flatten().flatten())
+                key.append((np.repeat(np.arange(part.num_rows), lengths) * 3 + side) * shape.kinds + kind)
+                key, n = np.concatenate(key), np.concatenate([np.ones(len(code), np.int64), n])
+                key, back = np.unique(key, return_inverse=True)
+                n = np.bincount(back, n, minlength=len(key))
+                ends = np.searchsorted(key // shape.kinds // 3, np.arange(part.num_rows + 1))
+                made = best(grid, part.column("kind").to_numpy().astype(np.int64), ends, key // shape.kinds % 3, key % shape.kinds, n, shape.classes)
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(made.astype(np.int32)), codes], names=["word", "n", "kind", "codes"])
+
+    return rows.mapInArrow(run, "word long, n long, kind int, codes array<int>")
+
+
+def clustered(texts: DataFrame, text: str, counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(classes of the head, (word, n, kind) of all other words, counts of pairs of classes) after the
+    round whose classes are likeliest. ``place``: the head's classes at first."""
+    size = len(head.words)
+    least = int(head.counts[-1]) if size else 0
+    others = counts.filter(F.col("n") < least if size else F.lit(True))
+    lists = kept(outside(texts, text, head, shape), "words-outside")
+    codes = lists.filter("code IS NOT NULL").groupBy("word").agg(F.collect_list("code").alias("codes"))  # as many as the word occurs: fewer than a word of the head
+    others = others.join(codes, "word", "left").select("word", "n", (F.col("ending") + shape.classes).alias("kind"), F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
+    others = kept(others.withColumn("free", F.col("n") >= shape.least), "other-words")
+    fixed, rows = others.filter("NOT free").drop("free"), others.filter("free").drop("free")
+    links = lists.filter("code IS NULL").groupBy(F.col("word").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("n"))
+    for word, kind in (("a", "fixed_a"), ("b", "fixed_b")):  # the classes that don't change
+        links = links.join(fixed.select(F.col("word").alias(word), F.col("kind").alias(kind)), word, "left")
+    links = kept(links, "other-pairs")
+    free, place = head.counts >= shape.least, np.append(place, shape.kinds - 1).astype(np.uint16)
     found: list = []
     for turn in range(shape.rounds + 1):
-        labelled = _labelled(pairs, kinds, shape)
-        if turn == shape.rounds:
-            grid = _grid(labelled, shape)
-        else:
+        last, labelled = turn == shape.rounds, links
+        for word, kind, own in (("a", "fixed_a", "x"), ("b", "fixed_b", "y")):
+            labelled = labelled.join(rows.select(F.col("word").alias(word), F.col("kind").alias(own)), word, "left")
+            labelled = labelled.withColumn(own, F.coalesce(own, kind))
+        labelled = kept(labelled, "other-classes")
+        blocks = _beside_head(texts, text, head, place, shape, not last)
+        for part in (fixed, rows):
+            blocks = blocks.unionByName(_beside_others(part, size, place, shape, not last))
+        added = kept(_added(blocks, shape), "neighbour-classes")
+        grid = _grid(labelled, shape)
+        for r in added.filter("block < 0").select("keys").collect():
+            grid += np.frombuffer(r["keys"], np.int64).reshape(grid.shape)
+        if turn:  # before the first round, other words' classes are only endings
+            found.append((likelihood(grid), turn, place, rows, grid))
+        if not last:
             cells = labelled.select(F.inline(F.expr("""
-                IF(a = b, array(named_struct('word', a, 'x', x, 'side', 2, 'y', y, 'n', n)),
-                   array(named_struct('word', a, 'x', x, 'side', 0, 'y', y, 'n', n), named_struct('word', b, 'x', y, 'side', 1, 'y', x, 'n', n)))""")))
-            beside = kept(cells.groupBy("word", "x", "side", "y").agg(F.sum("n").alias("n")), "neighbour-classes")
-            grid = _grid(beside.filter("side <> 1"), shape)
-        if turn:  # before the first round, rare words' classes are only endings
-            found.append((likelihood(grid), turn, kinds, grid))
-        if turn < shape.rounds:
-            moves = _moved(beside, grid, shape)
-            kinds = kept(kinds.join(moves, "word", "left").select("word", "n", F.coalesce("best", "kind").alias("kind")), "word-classes")
-    return max(found, key=lambda f: f[:2])[2:]
+                IF(a = b, array(named_struct('word', IF(fixed_a IS NULL, a, NULL), 'side', 2, 'y', y, 'n', n)),
+                   array(named_struct('word', IF(fixed_a IS NULL, a, NULL), 'side', 0, 'y', y, 'n', n),
+                         named_struct('word', IF(fixed_b IS NULL, b, NULL), 'side', 1, 'y', x, 'n', n)))"""))).filter("word IS NOT NULL")
+            cells = cells.groupBy("word", "side", "y").agg(F.sum("n").alias("n"))
+            rows, place = kept(_other_moves(rows, cells, grid, place, shape), "other-words"), _head_moves(added, grid, place, free, shape)
+    place, rows, grid = max(found, key=lambda f: f[:2])[2:]
+    return place[:-1].astype(np.int64), rows.select("word", "n", "kind").unionByName(fixed.select("word", "n", "kind")), grid
 
 
 @dataclass
@@ -425,21 +616,21 @@ class Model:
 def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model of all ``texts``, and the counts and classes of their words (word, n, kind)."""
     counts = kept(word_counts(texts, text, shape.endings), "word-counts")
-    top, _ = commonest(counts, shape.head)
+    top, endings = commonest(counts, shape.head)
     head = Head(*top)
     pairs = bigram_counts(texts, text, head, shape)
     place, size = exchange(pairs, shape), shape.kinds
-    kinds = kept(started(counts, head, place, shape), "word-classes")
+    first = np.arange(len(head.words)) < shape.first
+    kind = np.where(first, place[np.minimum(np.arange(len(head.words)), shape.first)], shape.classes + endings)
     if shape.vocabulary is None and shape.rounds:
-        kinds, grid = clustered(kept(pair_counts(texts, text), "word-pairs"), kinds, shape)
+        kind, others, grid = clustered(texts, text, counts, head, kind, shape)
+        kinds = kept(_head_kinds(counts, head, kind).unionByName(others), "word-classes")
     else:
+        kinds = kept(started(counts, head, place, shape), "word-classes")
         grid = np.zeros((size, size))
         for i in range(len(pairs)):
             grid[place[i]] += np.bincount(place, pairs[i], minlength=size)
-    least = int(head.counts[-1]) if len(head.counts) else None
-    made = kinds.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n", "kind").toArrow()
-    word, n, kind = (made.column(i).to_numpy() for i in range(3))
-    place = kind[np.lexsort((word, -n))].astype(np.int64)  # in the order of ``commonest``
+    place = kind
     ends = int(grid[:, -1].sum())
     by_kind = kinds.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
     tokens, distinct = sum(r["n"] for r in by_kind) + ends, sum(r.distinct for r in by_kind) + (ends > 0)
@@ -542,7 +733,9 @@ def scored(df: DataFrame, key: str, text: str, train: Column, shape: Shape = Sha
     rare = docs.select("no", F.posexplode(F.arrays_zip(F.col("rare").alias("rare"), F.col("endings").alias("ending"), F.col("times").alias("times"))).alias("at", "x"))
     rare = rare.select("no", "at", F.col("x.rare").alias("word"), F.col("x.ending").alias("ending"), F.col("x.times").alias("times"))
     n, kind = F.coalesce("n", F.lit(0)), F.coalesce("kind", F.col("ending") + F.lit(shape.classes))
-    found = rare.join(kinds, "word", "left").groupBy("no").agg(
+    least = int(model.head.counts[-1]) if len(model.head.counts) else None
+    others = kinds.filter(F.col("n") < least) if least is not None else kinds
+    found = rare.join(others, "word", "left").groupBy("no").agg(
         F.sum(F.col("times") * F.log10(n + DELTA)).alias("rare_log"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.collect_list(F.struct("at", kind.alias("kind"))).alias("kinds"))
     whole = _joined(docs.drop("rare", "endings").join(found, "no", "left"), model)
