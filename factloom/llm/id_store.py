@@ -17,6 +17,7 @@ empty table makes an empty store. Ids are unsigned little-endian numbers of 2 by
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import zlib
@@ -46,9 +47,13 @@ _TAIL, _MAGIC = struct.Struct("<QQQQ"), b"FLIDS01\n"
 
 # --- encoding ---------------------------------------------------------------------------
 
-def drops_spaces(path: str) -> bool:
-    """Whether the tokenizer of ``path`` encodes the pieces between ASCII white space independently: nothing it
-    normalises, keeps or adds has such a space inside or at its edge."""
+#: Punctuation that is cut off behind a letter or digit.
+_ENDS = ".,!?;:"
+
+
+def by_words(path: str) -> tuple[bool, bool]:
+    """Of the tokenizer of ``path``: whether it encodes the pieces between ASCII white space independently, also where punctuation at
+    their end is cut off (nothing it normalises, keeps or adds spans such a place); and whether letter case is lost."""
     import regex
 
     with open(path, encoding="utf-8") as f:
@@ -58,17 +63,19 @@ def drops_spaces(path: str) -> bool:
     pre = spec["pre_tokenizer"] or {}
     first = pre.get("pretokenizers", [pre])[0]
     pattern = first.get("pattern", {}).get("Regex")
-    return bool(
+    apart = bool(
         all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
         and first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and pattern
         and not any(s in m.group() for s in " \t\n\r\v\f" for a in ("", "a", ".", "1") for m in regex.finditer(pattern, f"{a}{s}{a}"))
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        and not any(m.start() < len(a) < m.end() for p in _ENDS for a in ("a", "Ab", "1", "a1", "1a", "x's") for m in regex.finditer(pattern, f"{a}{p}{p}"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or "<" not in t["content"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         and not pre.get("add_prefix_space") and not spec.get("truncation") and not spec.get("padding"))
+    return apart, any(n["type"] == "Lowercase" for n in normal)
 
 
 class Encoder:
     """The ids of texts as the tokenizers library gives them, without added special tokens. Where a
-    tokenizer drops white space, the library sees each distinct word once."""
+    tokenizer takes words apart from each other, the library sees each distinct word once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,7 +83,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.words = drops_spaces(path)
+        self.words, self.lower = by_words(path)
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self._clear()
 
@@ -95,6 +102,22 @@ class Encoder:
             self.code[w] = len(self.code)
         self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
 
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, counted; all ids), from the pieces that many words share."""
+        simple = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+        if self.lower:
+            words = pc.if_else(simple, pc.ascii_lower(words), words)
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(words, f"^([^<]*[A-Za-z0-9])([{_ENDS}]+)$", r"\1 \2"))
+        offsets = np.asarray(pieces.offsets).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.code) > MEMORY:
+            self._clear()
+        self._learn([w for w in distinct if w not in self.code])
+        code = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+        sizes = self.sizes[code]
+        return np.diff(ends_of(sizes)[offsets - offsets[0]]), self.ids[ranges(ends_of(self.sizes)[code], sizes)]
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text, counted; all ids)."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -104,13 +127,16 @@ class Encoder:
         words = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(words.offsets).astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.code) > MEMORY:
-            self._clear()
-        self._learn([w for w in distinct if w not in self.code])
-        code = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
-        sizes = self.sizes[code]
-        return np.diff(ends_of(sizes)[offsets - offsets[0]]), self.ids[ranges(ends_of(self.sizes)[code], sizes)]
+        sizes, ids = self._distinct(coded.dictionary)
+        code = np.asarray(coded.indices)
+        each = sizes[code]
+        return np.diff(ends_of(each)[offsets - offsets[0]]), ids[ranges(ends_of(sizes)[code], each)]
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, with the words it has seen."""
+    return Encoder(path)
 
 
 # --- shards -----------------------------------------------------------------------------
@@ -152,7 +178,7 @@ def write(df: DataFrame, key: str, text: str, path: str, end: int, folder: str,
     rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, "key", "place").sortWithinPartitions("key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(path), TaskContext.get().partitionId(), 0
         ids, sizes, keys, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:

@@ -16,7 +16,7 @@ def encoded(path, texts):
 
 
 ODD = ["Hello World's x́ don't", "é ́a b\x85c", "<|endoftext|> a<|startoftext|>b .<|endoftext|>.", "\x1c\x1d a\tb\nc\rd\x0be\x0cf",
-       "Å각 ﬁ İI", "x" * 5000, "12 345,6!!.. ('s", "中文 \U0001f600\U0001f600 กำ", " ̈", "# # #"]
+       "Å각 ﬁ İI", "x" * 5000, "12 345,6!!.. ('s", "中文 \U0001f600\U0001f600 กำ", " ̈", "# # #", "H̱ẖ İ. Ab,Ab, AB.,! ab). <|ENDOFTEXT|>. <|endoftext|>, x's. X'S! 1.5. é. É!, k;̈ a.̈ . ., ..a"]
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
