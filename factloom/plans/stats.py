@@ -9,6 +9,7 @@ cells add up, so every stat's source rows are hashed without reading them again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -343,38 +344,73 @@ PUBLISHED, NOT_PUBLISHED = "published", "not_published"
 _FILTERABLE = {"requests_received_trend": "received", "requests_finalised_trend": "finalised"}
 
 
-def rederive(facts: DataFrame, key: str, pins: Pins, *, entity=None, bucket=None,
-             fy=None) -> DataFrame:
-    """Recompute a figure from the rows a filter leaves, if it still has its rows.
-
-    Rows (status, category, value, fact_rows); when nothing the figure is made of
-    survives there is one ``not_published`` row with the number of facts left.
+@dataclass(frozen=True)
+class Asked:
+    """One figure under one filter; None is no constraint."""
+
+    name: str
+    key: str
+    entity: str | None = None
+    bucket: str | None = None
+    fy: str | None = None
+
+    def meets(self) -> Column:
+        out = F.lit(True)
+        for column, value in (("entity_name", self.entity), ("bucket", self.bucket), ("fy", self.fy)):
+            if value is not None:
+                out = out & (F.col(column) == value)
+        return out
+
+    def entry(self, number: int, pins: Pins) -> Column:
+        """What a fact row is to the figure: its category and its value, both null where it has none."""
+        total = F.col("bucket") == "total"
+        if self.key in _FILTERABLE:
+            row = F.col("quarter").isNull()
+            used, category = row & total & (F.col("measure") == _FILTERABLE[self.key]), F.col("fy")
+        elif self.key in TOP_FIGURES:
+            # annual and quarterly rows coexist here; the figure reads the annual ones
+            row = used = total & F.col("quarter").isNull() & (F.col("measure") == TOP_FIGURES[self.key]) & (F.col("fy") == pins.top_fy)
+            category = F.col("entity_name")
+        else:
+            raise KeyError(f"{self.key!r} cannot be recomputed under a filter")
+        row = F.coalesce(row, F.lit(False))
+        return F.when(self.meets(), F.struct(
+            F.lit(number).alias("number"), row.alias("shown"), F.when(row, category).alias("category"), F.when(used, F.col("value")).alias("value")))
+
+
+def rederive_all(facts: DataFrame, asked: Sequence[Asked], pins: Pins) -> DataFrame:
+    """Recompute figures from the rows their filters leave, those that still have rows.
+
+    Rows (filter, status, category, value, fact_rows); where nothing that a figure is made of
+    survives there is one ``not_published`` row with the number of facts left.  The facts are
+    read once: each row is tagged with the filters it meets, and one aggregate sums up every
+    filter's categories, map-side.
     """
-    check_keys([key])
-    selected = filter_facts(facts, entity=entity, bucket=bucket, fy=fy)
-    left = selected.agg(F.count(F.lit(1)).alias("n")).select("n")
-    total = F.col("bucket") == "total"
-    if key in _FILTERABLE:
-        used = total & (F.col("measure") == _FILTERABLE[key])
-        grouped = selected.filter(F.col("quarter").isNull()).groupBy(
-            F.col("fy").alias("category")).agg(
-            F.sum(F.when(used, F.col("value"))).alias("value"))
-        kept = grouped.withColumn(
-            "_any", F.count("value").over(Window.partitionBy(F.lit(0)))).filter("_any > 0")
-    elif key in TOP_FIGURES:
-        # annual and quarterly rows coexist here; the figure reads the annual ones
-        rows = selected.filter(total & F.col("quarter").isNull()
-                               & (F.col("measure") == TOP_FIGURES[key])
-                               & (F.col("fy") == pins.top_fy))
-        kept = rows.groupBy(F.col("entity_name").alias("category")).agg(
-            F.sum("value").alias("value")).orderBy(F.desc("value"), "category").limit(
-            DEFAULT_TOP_N)
-    else:
-        raise KeyError(f"{key!r} cannot be recomputed under a filter")
+    check_keys([a.key for a in asked])
+    if not asked:
+        raise ValueError("nothing is asked")
+    met = F.filter(F.array(*[a.entry(i, pins) for i, a in enumerate(asked)]), lambda e: e.isNotNull())
+    sums = settled(facts.select(F.inline(met)).groupBy("number", "shown", "category").agg(
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"), F.count("value").alias("used")), "rederived")
+    left = sums.groupBy("number").agg(F.sum("n").alias("fact_rows"), F.sum("used").alias("used"))
+    spark = facts.sparkSession
+    names = spark.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("number"), F.lit(a.name).alias("filter"), F.lit(a.key in TOP_FIGURES).alias("top")) for i, a in enumerate(asked)])))
+    names = names.join(left, "number", "left").fillna(0, ["fact_rows", "used"])
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("value"), "category"))
+    rows = sums.filter("shown").select("number", "category", "value")
+    tops = [i for i, a in enumerate(asked) if a.key in TOP_FIGURES]
+    best = rows.filter(F.col("number").isin(tops)).withColumn("_rank", rank).filter(F.col("_rank") <= DEFAULT_TOP_N).drop("_rank")
+    rows = rows.filter(~F.col("number").isin(tops)).unionByName(best)
     rounded = F.floor(F.col("value") + 0.5).cast("double")  # half up, as the page rounds
-    # at most one row per year or twenty entities: one row with or without them
-    shown = kept.agg(F.collect_list(F.struct("category", rounded.alias("value"))).alias("_rows"))
-    return shown.select(F.explode_outer("_rows").alias("_row")).select(
-        F.when(F.col("_row").isNull(), NOT_PUBLISHED).otherwise(PUBLISHED).alias("status"),
-        F.col("_row.category").alias("category"), F.col("_row.value").alias("value"),
-        left.scalar().alias("fact_rows"))
+    published = names.filter("used > 0").join(rows, "number").select(
+        "filter", F.lit(PUBLISHED).alias("status"), "category", rounded.alias("value"), "fact_rows")
+    return published.unionByName(names.filter("used = 0").select(
+        "filter", F.lit(NOT_PUBLISHED).alias("status"), F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("double").alias("value"), "fact_rows"))
+
+
+def rederive(facts: DataFrame, key: str, pins: Pins, *, entity=None, bucket=None,
+             fy=None) -> DataFrame:
+    """``rederive_all`` of one filter, without its name."""
+    return rederive_all(facts, [Asked("", key, entity, bucket, fy)], pins).drop("filter")

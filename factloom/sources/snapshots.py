@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.hashing import SLICES, digest_text, hash_slices, row_hash
-from factloom.schema import FACT_COLUMNS, FACTS, SNAPSHOTS, WINDOW_MODES
+from factloom.schema import DEFAULT_PAGE_LIMIT, FACT_COLUMNS, FACTS, NATURAL_KEY, SNAPSHOTS, WINDOW_MODES
+from factloom.sources.pages import ROWS_PER_FILE, PageIndex
 
 _HEADER = T.StructType(SNAPSHOTS.fields + [T.StructField("folder", T.StringType(), False)])
+_PAGED = T.StructType([T.StructField("dataset_id", T.LongType(), False), T.StructField("folder", T.StringType(), False)])
 _STORED = T.StructType(FACTS.fields + [T.StructField("row_hash", T.StringType(), False)])
 
 
@@ -46,6 +48,7 @@ class SnapshotStore:
         self.spark = spark
         self._headers = posixpath.join(root, "snapshots")
         self._facts = posixpath.join(root, "facts")
+        self._paged = posixpath.join(root, "paged")
 
     def headers(self) -> DataFrame:
         return _parquet_or_empty(self.spark, self._headers, _HEADER)
@@ -97,6 +100,22 @@ class SnapshotStore:
         return stored.select(F.lit(dataset_id).cast("bigint").alias("dataset_id"),
                              *_STORED.fieldNames())
 
+    def pages(self, dataset_id: int, rows_per_file: int = ROWS_PER_FILE) -> PageIndex:
+        """The page index of a snapshot, built when it is first asked for."""
+        held = _parquet_or_empty(self.spark, self._paged, _PAGED).filter(F.col("dataset_id") == dataset_id).first()
+        facts = self.load(dataset_id).select(*FACT_COLUMNS)
+        if held is not None:
+            return PageIndex(self.spark, held["folder"], NATURAL_KEY, facts.schema)
+        made = posixpath.join(self._facts, f"pages-{uuid.uuid4().hex}")
+        index = PageIndex.build(facts, made, NATURAL_KEY, rows_per_file)
+        # appended last: an index whose build failed is never read
+        self.spark.createDataFrame([(dataset_id, made)], _PAGED).write.mode("append").parquet(self._paged)
+        return index
+
+    def page(self, dataset_id: int, limit: int = DEFAULT_PAGE_LIMIT, offset: int = 0, after: dict | None = None) -> DataFrame:
+        """One page of a snapshot in natural-key order, with its ``total``."""
+        return self.pages(dataset_id).page(limit, offset, after)
+
 
 def find_snapshot(headers: DataFrame, digest: str) -> DataFrame:
     """One row: the newest snapshot with the digest that is not superseded."""

@@ -86,13 +86,7 @@ UNION ALL SELECT 'fy', 'published', entity_name, floor(v + 0.5),
        (SELECT count(*) FROM scope WHERE fy = '{FY_TOP}') FROM top"""))
 def _(t):
     facts = catalogue_facts(t, measures=["received", "finalised"])
-    runs = {
-        "entity": S.rederive(facts, "requests_received_trend", PINS, entity="Customer#000000007"),
-        "bucket": S.rederive(facts, "requests_finalised_trend", PINS, bucket="personal"),
-        "fy": S.rederive(facts, "received_top20", PINS, fy=FY_TOP),
-    }
-    out = None
-    for name, rows in runs.items():
-        part = rows.select(F.lit(name).alias("filter"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return S.rederive_all(facts, [
+        S.Asked("entity", "requests_received_trend", entity="Customer#000000007"),
+        S.Asked("bucket", "requests_finalised_trend", bucket="personal"),
+        S.Asked("fy", "received_top20", fy=FY_TOP)], PINS)

@@ -8,7 +8,9 @@ from factloom.operators import aggregates as A
 from factloom.operators import filters as P
 from factloom.operators import ranking as R
 from factloom.plans.facts import build_facts
-from factloom.schema import FACT_COLUMNS, MEASURES
+from factloom.schema import FACT_COLUMNS, MEASURES, NATURAL_KEY
+from factloom.sources.shared import fresh_path, settled
+from factloom.sources.snapshots import SnapshotStore
 from factloom.suite.registry import query
 from factloom.suite.sql import over_facts
 
@@ -366,6 +368,29 @@ def _(t):
     return R.page_facts(build_facts(t, folded=True), limit=1000, offset=2000)
 
 
+_PAGE_ORDER = "entity_key, fy, quarter NULLS FIRST, measure_group, measure, bucket, window_mode"
+
+
+@query("page_stored", over_facts(f"""
+, stored AS (SELECT {_COLUMNS}, count(*) OVER () AS total, row_number() OVER (ORDER BY {_PAGE_ORDER}) - 1 AS at
+  FROM facts WHERE window_mode = 'fy')
+SELECT page, {_COLUMNS}, total FROM stored, (VALUES ('first', 0, 100), ('deep', 2000, 3000), ('next', 3000, 3500)) p(page, low, high)
+WHERE at >= low AND at < high"""))
+def _(t):
+    """Pages of a stored snapshot by position, and the next one by the last key seen."""
+    store = SnapshotStore(t.spark, fresh_path(t.spark, "paged"))
+    written = store.write(build_facts(t, folded=True), "all", "fy", ["orders"], "1")
+    pages = store.pages(written.dataset_id, 4000)
+    deep = settled(pages.page(1000, 2000), "page")
+    last = deep.orderBy(*[F.desc_nulls_last(k) for k in NATURAL_KEY]).first().asDict()
+    named = {"first": pages.page(100), "deep": deep, "next": store.page(written.dataset_id, 500, after=last)}
+    out = None
+    for name, rows in named.items():
+        part = rows.select(F.lit(name).alias("page"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("bar_scale", over_series("""
 SELECT 'trend' AS figure_key, fy AS category, received AS value,
        100e0 * received / max(received) OVER () AS height FROM series"""))
