@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm.tables import crc32_mod, kept
 
 #: Conversations of a shard and positions of a slice: what one task's bitmaps span.
-SHARD, SLICE = 4096, 64
+SHARD, SLICE = 1024, 64
 #: Bytes of turns that a sorting task is dealt, and tasks at most.
 TASK_BYTES, TASKS = 16 << 20, 20_000
 
