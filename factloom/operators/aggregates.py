@@ -150,13 +150,17 @@ def compare_periods(facts: DataFrame, fy_a: str, fy_b: str, measure: str = "rece
 
 
 def period_change(facts: DataFrame, measure: str = "received", level: str = ANNUAL) -> DataFrame:
-    """Each period's total, the one before it among those with rows, and the change: year on
-    year for annual rows, quarter on quarter for single quarters."""
+    """Each period's total, that of the period just before it, and the change: year on
+    year for annual rows, quarter on quarter for single quarters.  Where the period
+    before has no rows there is nothing to compare with, and both are NULL."""
     rows = _entity_rows(facts, level, measure=measure)
     totals = rows.groupBy("fy", "quarter").agg(F.sum("value").alias("_v"), basis())
-    before = Window.partitionBy("basis").orderBy("fy", "quarter")  # a row per period
+    year = F.substring("fy", 1, 4).cast("int")
+    totals = totals.withColumn("_at", F.coalesce(year * 4 + F.col("quarter"), year))
+    before = Window.partitionBy("basis").orderBy("_at")  # a row per period
+    follows = F.col("_at") - F.lag("_at").over(before) == 1
     change = F.col("_v") - F.col("_p")
-    return totals.withColumn("_p", F.lag("_v").over(before)).select(
+    return totals.withColumn("_p", F.when(follows, F.lag("_v").over(before))).select(
         "fy", "quarter", half_even(F.col("_v")).alias("value"), half_even(F.col("_p")).alias("previous"),
         half_even(change).alias("change"), percent(change, F.col("_p"), 1).alias("change_pct"), "basis")
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.schema import POINTER_PATTERN
+from factloom.schema import POINTER_PATTERN, POINTER_STEP
 
 CITED_TOOL = "query_dataset"
 
@@ -21,7 +21,7 @@ def find_pointers(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def json_path(dotted: Column) -> Column:
     """``top[0].agency`` or ``top.0.agency`` as a JSON path."""
-    tokens = F.regexp_extract_all(dotted, F.lit(r"([^.\[\]]+)|(\[\d+\])"), F.lit(0))
+    tokens = F.regexp_extract_all(dotted, F.lit(POINTER_STEP), F.lit(0))
     steps = F.transform(
         tokens,
         lambda t: F.when(t.startswith("["), t).when(t.rlike(r"^\d+$"), F.concat(
@@ -30,12 +30,13 @@ def json_path(dotted: Column) -> Column:
 
 
 def resolve_pointers(pointers: DataFrame, transcript: DataFrame, key: str = "artifact_id",
-                     tool: str = CITED_TOOL) -> DataFrame:
+                     tool: str = CITED_TOOL, recorded: str | None = None) -> DataFrame:
     """Add ``value`` and ``status`` to pointer rows.
 
     ``transcript`` has ``key``, seq, tool and result (JSON text).  Only the turn
     part selects the call, and only calls of ``tool`` count; of several with one
-    seq the first by result text is kept, so the lookup side is unique and each
+    seq the first recorded is kept, by the column ``recorded`` (by result text
+    where none is named), so the lookup side is unique and each
     pointer stays one row.  A call cited by a third of all pointers is a skewed
     left join, which adaptive execution splits on the pointer side.
     """
@@ -49,7 +50,7 @@ def resolve_pointers(pointers: DataFrame, transcript: DataFrame, key: str = "art
     })
     calls = transcript.filter(F.col("tool") == tool).groupBy(
         F.col(key).alias("_key"), F.col("seq").cast("bigint").alias("_seq")).agg(
-        F.min("result").alias("_result"))
+        (F.min("result") if recorded is None else F.min_by("result", F.struct(recorded, "result"))).alias("_result"))
     joined = parsed.join(
         calls, (F.col(key) == F.col("_key")) & (F.col("_turn") == F.col("_seq")), "left")
     found = F.try_variant_get(F.try_parse_json("_result"), F.col("_path"), "variant")
@@ -61,10 +62,10 @@ def resolve_pointers(pointers: DataFrame, transcript: DataFrame, key: str = "art
         .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.expr("get_json_object(_result, _path)"))
         .otherwise(found.cast("string")))
     status = (
-        F.when(F.col("_parts") < 4, "malformed pointer")
-        .when(F.col("_turn").isNull(), "turn is not a number")
-        .when(F.col("_seq").isNull(), "unknown transcript entry")
-        .when(found.isNull(), "unknown field")
+        F.when(F.col("_parts") < 4, "too_short")
+        .when(F.col("_turn").isNull(), "bad_turn")
+        .when(F.col("_seq").isNull(), "no_call")
+        .when(found.isNull(), "no_field")
         .otherwise("resolved"))
     return joined.select(*pointers.columns, value.alias("value"), status.alias("status"))
 

@@ -31,7 +31,6 @@ OUT_OF_SCOPE = (
     r"crypto|bitcoin|stock (market|tip)|trading strategy|foreign (foi|freedom)|"
     r"personal (medical|financial) (info|record)|named individual|(?:a|an) (?:specific )?(?:person|individual)\b"
 )
-# Country codes are case-sensitive on purpose: the pronoun "us" must pass.
 COUNTRY_CODE = (
     r"\b(?:US|U\.S\.|u\.s\.)\s+(?i:government|federal|state|health|healthcare|defen|"
     r"military|agenc|congress|president|citizenship|visa|state department|foi|freedom)"

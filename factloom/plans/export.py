@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import number_label
 from factloom.operators.ranking import bar_scale
 from factloom.plans.stats import CAPTIONS, PAGE_FIGURES
+from factloom.schema import FACTS
 
 _BUNDLE = "page string, figure_key string, caption string, series string, category string, " \
           "value double, height double, label string"
@@ -38,3 +39,9 @@ def export_figures(figures: DataFrame, facts: DataFrame, options: DataFrame, pat
 
 def read_exported_figures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_BUNDLE).json(f"{path}/figures")
+
+
+def read_exported(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a bundle: figures, facts and filters."""
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    return {"figures": read_exported_figures(spark, path), "facts": read("facts", FACTS), "filters": read("filters", "dimension string, option string")}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factloom.functions.hashing import SLICES, digest_text, with_slices
 from factloom.functions.numbers import half_even, percent
 from factloom.operators.aggregates import pearson, period_movers, ratio
-from factloom.operators.filters import ANNUAL, filter_facts
+from factloom.operators.filters import ANNUAL, filter_facts, not_pseudo
 from factloom.schema import DEFAULT_TOP_N, HASH_COLUMNS, MEASURES
 from factloom.sources.shared import settled
 
@@ -128,24 +128,41 @@ _CELL = ("window_mode", "derived", "fy", "quarter", "measure", "bucket")
 _SLICE_NAMES = tuple(f"h{i}" for i in range(SLICES))
 
 
+#: Binary logarithm of a sketch's registers; its relative standard error is 1.04 / 2 ** (half of it).
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
 def cell_summary(facts: DataFrame, by: tuple[str, ...] = (),
-                 digest: bool | Column = True) -> DataFrame:
+                 digest: bool | Column = True, sketch: bool = False) -> DataFrame:
     """Sum, row count and digest slices per cell (and per ``by``, e.g. dataset_id).
 
     Hashing rows is the costly part: a condition on cell columns as ``digest``
-    hashes only the rows of the cells it selects.
+    hashes only the rows of the cells it selects.  With ``sketch`` a cell also
+    has a sketch of its entities, which merge as the sums add up.
     """
     sums = [F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")]
     if digest is not False:
         facts = with_slices(facts, HASH_COLUMNS, None if digest is True else digest)
         sums += [F.sum(h).alias(h) for h in _SLICE_NAMES]
+    if sketch:  # a NULL is left out
+        sums.append(F.hll_sketch_agg(F.when(not_pseudo(), F.col("entity_name")), SKETCH_BITS).alias("entities"))
     return facts.groupBy(*by, *_CELL).agg(*sums)
 
 
-def summarised(facts: DataFrame, digest: bool | Column = True) -> DataFrame:
+def summarised(facts: DataFrame, digest: bool | Column = True, sketch: bool = False) -> DataFrame:
     """The cell summary, computed once and kept in the shared folder: it is small,
     and everything built on it would otherwise read the facts again."""
-    return settled(cell_summary(facts, digest=digest), "cells")
+    return settled(cell_summary(facts, digest=digest, sketch=sketch), "cells")
+
+
+def entities_in(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many entities the cells hold, from their sketches alone: one row, or one for each value of ``by``.
+
+    Filter the cells first, by whatever a cell is of.  Without cells there is no row per value, and 0 in all.
+    """
+    merged = cells.groupBy(*by).agg(F.hll_union_agg("entities", False).alias("_all"))
+    return merged.select(*by, F.coalesce(F.hll_sketch_estimate("_all"), F.lit(0)).cast("bigint").alias("entities"))
 
 
 def _pinned(pins: Pins) -> Column:

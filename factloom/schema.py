@@ -62,6 +62,8 @@ CHART_TYPES = ("bar", "hbar", "line", "area", "pie", "table", "kpi")
 
 # Text of a citation pointer: {c:job.turn.call.field.path}
 POINTER_PATTERN = r"\{c:([\w.\[\]]+)\}"
+# One step of a pointer's path: a name or an index in brackets.
+POINTER_STEP = r"([^.\[\]]+)|(\[\d+\])"
 
 # --------------------------------------------------------------------------
 # Table schemas

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Mapping
-from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +55,12 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 def sheet_headers(spark: SparkSession, path) -> list[str]:
     """The header texts of a sheet: its first row.  Cells without one are named by place, as
-    are those that repeat an earlier one."""
-    first = _lines(spark, path).filter("pos = 0").agg(F.min("line")).first()[0]
+    are those that repeat an earlier one.  Files whose first rows differ are refused: values
+    would land under other files' headers."""
+    found = [r[0] for r in _lines(spark, path).filter("pos = 0").select("line").distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"files with different headers: {found[0]!r} and {found[1]!r}")
+    first = found[0] if found else None
     names: list[str] = []
     for i, text in enumerate(next(csv.reader([first or ""]), [])):
         text = text.strip()
@@ -80,14 +85,39 @@ def union_periods(spark: SparkSession, paths: Mapping[str, str], width: int = PO
                   headers: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Per-period sheets as one table with a ``fy`` column.
 
-    Periods may differ in their headers; columns are matched by name.
+    Periods may differ in their headers; columns are matched by name.  All files are read in one
+    scan, however many periods there are: a file's place tells its period, and its cells find their columns
+    through that period's header.
     """
     if not paths:
         raise ValueError("no periods given")
-    parts = [
-        read_wide(spark, path, width, (headers or {}).get(fy)).withColumn("fy", F.lit(fy))
-        for fy, path in paths.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    own = {fy: list((headers or {}).get(fy) or [f"c{i}" for i in range(width)]) for fy in paths}
+    first, *_ = own.values()
+    columns = list(dict.fromkeys([*first, "fy", *(n for names in own.values() for n in names)]))
+    cells = _text_schema([f"c{i}" for i in range(max(map(len, own.values())))])
+    periods = spark.createDataFrame([(_place(path), fy, names) for (fy, path), names in zip(paths.items(), own.values())],
+                                    "_place string, fy string, _names array<string>")
+    bare = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "")
+    single = [_place(p) for p in paths.values()]  # a period is a folder, or one file
+    lines = spark.read.text(list(paths.values())).filter(F.trim("value") != "").select(
+        F.from_csv("value", cells.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}).alias("_cells"),
+        F.when(bare.isin(single), bare).otherwise(F.regexp_replace(bare, "/[^/]*$", "")).alias("_place"))
+    lines = lines.select(F.array("_cells.*").alias("_cells"), "_place").join(periods, "_place", "left")
+    unknown = F.raise_error(F.concat(F.lit("no period for "), F.col("_place"))).cast("string")
+
+    def cell(name: str) -> Column:
+        at = F.nullif(F.array_position("_names", name), F.lit(0).cast("bigint")).cast("int")
+        return F.try_element_at("_cells", at).alias(name)
+
+    return lines.withColumn("fy", F.coalesce("fy", unknown)).select(*[F.col("fy") if c == "fy" else cell(c) for c in columns])
+
+
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _place(path: str) -> str:
+    """A path as file metadata has it, without scheme and host."""
+    return quote(re.sub(_SCHEME, "", path).rstrip("/"), safe="/!$&'()*+,;=:@-._~")
 
 
 def read_long_run(spark: SparkSession, path) -> DataFrame:

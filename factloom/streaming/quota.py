@@ -87,8 +87,9 @@ def quota_stream(stream: DataFrame, key: str, micros: Column, tie: str,
     decides, and an event older than the open window counts in it.  One that comes when its key's
     state is gone starts a window; none is dropped, however late.  Events without a time are
     flagged NULL; a NULL key is a key like others.  A key's rows of a micro-batch are one task's:
-    bound the trigger.  ``keyed_state`` must have set the session.
+    bound the trigger.  Sets the session as ``keyed_state`` does.
     """
+    keyed_state(stream.sparkSession)
     window = int(round(window_seconds * 1_000_000))
     types = dict(stream.dtypes)
     out = (f"k {types[key]}, tie {types[tie]}, window_start bigint, n_in_window bigint, "

@@ -13,9 +13,10 @@ from factloom.functions.periods import epoch_micros, with_fiscal_period
 from factloom.operators import quality as Q
 from factloom.plans import lineage as L
 from factloom.plans import stats as S
-from factloom.plans.export import export_figures, read_exported_figures
+from factloom.plans.export import export_figures, read_exported
 from factloom.plans.facts import build_facts, headline_facts
-from factloom.schema import HASH_COLUMNS, MEASURES
+from factloom.schema import FACT_COLUMNS, FACTS, HASH_COLUMNS, MEASURES
+from factloom.sources.digest_tree import DigestTree
 from factloom.sources.shared import fresh_path, settled
 from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
@@ -122,11 +123,41 @@ def _(t):
     })
 
 
+_RULES_SQL = {
+    "window_mode_domain": "window_mode NOT IN ('single_quarter', 'cumulative', 'fy')",
+    "bucket_domain": "bucket NOT IN ('personal', 'other', 'total')",
+    "quarter_domain": "quarter NOT BETWEEN 1 AND 4",
+} | {f"{f.name}_not_null": f"{f.name} IS NULL" for f in FACTS.fields if not f.nullable}
+
+
 @query("fact_rules", over_facts(f"""
-SELECT unnest([{', '.join(f"'{r}'" for r in Q.FACT_RULE_NAMES)}]) AS rule,
-       0::BIGINT AS violations FROM (SELECT count(*) FROM facts)"""))
+, defective AS (SELECT CASE WHEN measure = 'refused' AND bucket = 'other' THEN NULL ELSE entity_key END AS entity_key,
+    CASE WHEN portfolio IS NULL AND measure = 'finalised' THEN NULL ELSE entity_name END AS entity_name,
+    CASE WHEN measure = 'granted_part' AND quarter = 3 THEN NULL ELSE fy END AS fy,
+    CASE WHEN measure = 'received' AND quarter = 4 THEN 5 WHEN measure = 'decided' AND quarter = 1 THEN 0 ELSE quarter END AS quarter,
+    measure_group, measure, CASE WHEN measure = 'withdrawn' AND bucket = 'total' THEN 'all' ELSE bucket END AS bucket,
+    CASE WHEN value = 1 AND measure = 'granted_full' THEN NULL ELSE value END AS value, derived,
+    CASE WHEN window_mode = 'cumulative' AND quarter = 2 THEN 'monthly' ELSE window_mode END AS window_mode FROM facts)
+SELECT rule, violations FROM (SELECT unnest([{', '.join(f"'{r}'" for r in _RULES_SQL)}]) AS rule,
+  unnest([{', '.join(f"count(*) FILTER ({c})" for c in _RULES_SQL.values())}]) AS violations FROM defective)"""))
 def _(t):
-    return Q.domain_check(build_facts(t, levels=("fy", "single_quarter"), headline=True))
+    """Facts of all levels with defects of every kind, counted by the rules."""
+    facts = build_facts(t, levels=("fy", "single_quarter", "cumulative"), headline=True)
+    measure, quarter, bucket = F.col("measure"), F.col("quarter"), F.col("bucket")
+
+    def gone(where, column):
+        return F.when(F.coalesce(where, F.lit(False)), F.lit(None)).otherwise(F.col(column)).alias(column)
+
+    bad = {
+        "entity_key": gone((measure == "refused") & (bucket == "other"), "entity_key"),
+        "entity_name": gone(F.col("portfolio").isNull() & (measure == "finalised"), "entity_name"),
+        "fy": gone((measure == "granted_part") & (quarter == 3), "fy"),
+        "quarter": F.when((measure == "received") & (quarter == 4), 5).when((measure == "decided") & (quarter == 1), 0).otherwise(quarter).alias("quarter"),
+        "bucket": F.when((measure == "withdrawn") & (bucket == "total"), "all").otherwise(bucket).alias("bucket"),
+        "value": gone((F.col("value") == 1) & (measure == "granted_full"), "value"),
+        "window_mode": F.when((F.col("window_mode") == "cumulative") & (quarter == 2), "monthly").otherwise(F.col("window_mode")).alias("window_mode"),
+    }
+    return Q.domain_check(facts.select(*[bad.get(c, F.col(c)) for c in facts.columns]))
 
 
 @query("duplicate_check", """
@@ -283,6 +314,26 @@ def _(t):
     return L.replay_verify(ops, again).select("op_id", "dataset_id", "op", "status")
 
 
+_COLUMNS = ", ".join(FACT_COLUMNS)
+_TOUCHED = "measure = 'decided' AND bucket = 'total' AND fy = '1998-99' AND entity_key IN ('7', '11', '40')"
+
+
+@query("digest_tree", over_facts(f"""
+, whole AS (SELECT {_COLUMNS} FROM facts WHERE window_mode = 'fy'),
+other AS (SELECT * REPLACE (CASE WHEN {_TOUCHED} THEN value + 1 ELSE value END AS value) FROM whole
+  WHERE NOT (measure = 'refused' AND entity_key = '10'))
+SELECT {_COLUMNS}, 1 AS surplus FROM (SELECT * FROM whole EXCEPT ALL SELECT * FROM other)
+UNION ALL SELECT {_COLUMNS}, -1 FROM (SELECT * FROM other EXCEPT ALL SELECT * FROM whole)"""))
+def _(t):
+    """A stored table against one in which some values were changed and some rows are missing."""
+    facts = build_facts(t, folded=True)
+    touched = F.expr(_TOUCHED)
+    changed = facts.filter(~((F.col("measure") == "refused") & (F.col("entity_key") == "10"))).withColumn(
+        "value", F.when(touched, F.col("value") + 1).otherwise(F.col("value")))
+    trees = [DigestTree.build(rows, fresh_path(t.spark, "tree"), 2) for rows in (facts, changed)]
+    return trees[0].differences(trees[1])
+
+
 @query("row_diff", """
 SELECT custkey, sum(n) AS surplus FROM (
   SELECT o_custkey AS custkey, 1 AS n FROM orders
@@ -391,17 +442,28 @@ figs AS ({figure_rows(PINS)}),
 pages AS (SELECT unnest([{', '.join(f"'{p}'" for p, ks in S.PAGE_FIGURES.items() for _ in ks)}])
                  AS page,
                  unnest([{', '.join(f"'{k}'" for ks in S.PAGE_FIGURES.values() for k in ks)}])
-                 AS figure_key)
-SELECT page, figure_key, series, category, value,
+                 AS figure_key),
+chosen AS (SELECT * FROM facts WHERE window_mode = 'fy' AND bucket = 'total')
+SELECT 'figure' AS part, page, figure_key, series, category, value,
        CASE WHEN value IS NOT NULL THEN coalesce(
          100e0 * value / nullif(max(value) OVER (PARTITION BY page, figure_key), 0), 0) END AS height,
        coalesce(regexp_replace(format('{{:,.2f}}', value), '\\.?0+$', ''), 'no data') AS label
-FROM figs JOIN pages USING (figure_key)"""))
+FROM figs JOIN pages USING (figure_key)
+UNION ALL SELECT 'fact', entity_key, fy, measure, entity_name, value, NULL, portfolio FROM chosen
+UNION ALL SELECT DISTINCT 'filter', 'entity', entity_name, NULL, NULL, NULL, NULL, NULL FROM chosen
+UNION ALL SELECT DISTINCT 'filter', 'bucket', bucket, NULL, NULL, NULL, NULL, NULL FROM chosen
+UNION ALL SELECT DISTINCT 'filter', 'fy', fy, NULL, NULL, NULL, NULL, NULL FROM chosen"""))
 def _(t):
+    """Figures, facts and filter options as they are read back from the bundle."""
     from factloom.operators.filters import filter_options
 
     facts = build_facts(t, buckets=("total",), folded=True)
     table = S.figures(facts, S.summarised(facts, digest=False), PINS)
     path = fresh_path(t.spark, "bundle")
     export_figures(table, facts, filter_options(facts), path)
-    return read_exported_figures(t.spark, path).drop("caption")
+    read = read_exported(t.spark, path)
+    figures = read["figures"].select(F.lit("figure").alias("part"), "page", "figure_key", "series", "category", "value", "height", "label")
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    rows = read["facts"].select(F.lit("fact"), "entity_key", "fy", "measure", "entity_name", "value", none, "portfolio")
+    options = read["filters"].select(F.lit("filter"), "dimension", "option", nothing, nothing, none, none, nothing)
+    return figures.union(rows).union(options)

@@ -90,3 +90,31 @@ def _(t):
         S.Asked("entity", "requests_received_trend", entity="Customer#000000007"),
         S.Asked("bucket", "requests_finalised_trend", bucket="personal"),
         S.Asked("fy", "received_top20", fy=FY_TOP)], PINS)
+
+
+_KINDS = {"year": ("fy",), "measure": ("measure",), "cell": ("fy", "measure", "bucket"), "all": ()}
+
+
+def _counted_sql(kind, by):
+    columns = [f"{c} AS {c}" if c in by else f"NULL AS {c}" for c in ("fy", "measure", "bucket")]
+    return (f"SELECT '{kind}' AS selection, {', '.join(columns)}, count(DISTINCT entity_name) AS entities, true AS near FROM facts "
+            f"WHERE window_mode = 'fy' AND lower(entity_name) <> 'total'"
+            + (f" GROUP BY {', '.join(by)}" if by else ""))
+
+
+# the exact counts, and that each sketched one is within four standard errors of it
+@query("distinct_sketched", over_facts("\nUNION ALL ".join(_counted_sql(k, by) for k, by in _KINDS.items())))
+def _(t):
+    """Entities counted exactly from the facts, and from the sketches of the cells, which are made in one pass for all selections."""
+    facts = build_facts(t, folded=True)
+    cells = S.summarised(facts, digest=False, sketch=True)
+    out = None
+    for kind, by in _KINDS.items():
+        exact = facts.groupBy(*by).agg(F.count_distinct("entity_name").alias("entities"))
+        near = S.entities_in(cells, by).withColumnRenamed("entities", "_near")
+        both = exact.join(near, list(by)) if by else exact.withColumn("_near", near.scalar())
+        close = F.abs(F.col("_near") - F.col("entities")) <= 4 * S.SKETCH_ERROR * F.col("entities") + 1
+        named = [F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("fy", "measure", "bucket")]
+        part = both.select(F.lit(kind).alias("selection"), *named, "entities", close.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return out

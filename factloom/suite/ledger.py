@@ -19,6 +19,7 @@ from factloom.operators.sequence import latest_by_key, numbered
 from factloom.plans import lineage as L
 from factloom.plans import stats as S
 from factloom.schema import CHART_TYPES
+from factloom.sources.checked import CheckedTables, Parent
 from factloom.sources.ledger import append_rows, ledger_append, ledger_read, read_rows
 from factloom.sources.shared import fresh_path, settled
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
@@ -170,13 +171,25 @@ def _ops(events):
         F.col("args").alias("result_value"))
 
 
+_RECORDED = {
+    "artifacts": ("artifact_id", "version", "artifact_type", "artifact_key", "user_id", "dataset_id", "request_text", "spec_json", "model", "status"),
+    "ops": ("op_id", "artifact_id", "dataset_id", "kind", "op", "params", "row_count", "rows_hash", "result_value"),
+    "tool_calls": ("artifact_id", "seq", "tool", "op", "input_json", "output_json"),
+}
+
+
+def _line(columns):
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
 @query("record_ledger", f"""WITH {_LEDGER}, {_ARTIFACTS}, ops AS (
-  SELECT artifact_id FROM ledger WHERE event <> 'tool_call')
-SELECT 'artifacts' AS recorded, count(*) AS rows_read, 0 AS orphan_rows FROM artifacts
-UNION ALL SELECT 'ops', count(*), count(*) FILTER (artifact_id NOT IN (SELECT artifact_id FROM artifacts)) FROM ops
-UNION ALL SELECT 'tool_calls', count(*), count(*) FILTER (artifact_id NOT IN (SELECT artifact_id FROM artifacts)) FROM calls""")
+  SELECT event_id AS op_id, artifact_id, 1 AS dataset_id, 'figure' AS kind, op, args AS params, event_id % 5 AS row_count,
+         sha256(args) AS rows_hash, args AS result_value FROM ledger WHERE event <> 'tool_call'),
+tool_calls AS (SELECT artifact_id, seq, tool, op, args AS input_json, result AS output_json FROM calls)
+""" + "\nUNION ALL ".join(f"""SELECT '{n}' AS recorded, {_line(c)} AS line, artifact_id IN (SELECT artifact_id FROM artifacts) AS has_parent
+FROM {n}""" for n, c in _RECORDED.items()))
 def _(t):
-    """The three ledger tables appended in two parts, read back, and checked for parents."""
+    """The three ledger tables appended in two parts and read back, whole rows, with whether their artifact is there."""
     root, events = fresh_path(t.spark, "tables"), settled(ledger_events(t), "ledger")
     tables = {"artifacts": (artifacts(t).withColumn("created_at", F.current_timestamp()), SCHEMA.ARTIFACTS),
               "ops": (_ops(events), SCHEMA.OPS), "tool_calls": (L.transcript_table(events), SCHEMA.TOOL_CALLS)}
@@ -184,14 +197,35 @@ def _(t):
         for part in (F.col("artifact_id") % 2 == 0, F.col("artifact_id") % 2 != 0):
             append_rows(rows.filter(part), f"{root}/{name}", schema)
     read = {name: read_rows(t.spark, f"{root}/{name}", schema) for name, (_, schema) in tables.items()}
+    known = read["artifacts"].select(F.col("artifact_id").alias("_known")).distinct()
 
-    def counted(name):
-        orphans = Q.fk_check(read[name], "artifact_id", read["artifacts"].select("artifact_id").distinct(), "artifact_id")
-        return read[name].agg(F.count(F.lit(1)).alias("rows_read")).select(
-            F.lit(name).alias("recorded"), "rows_read",
-            F.coalesce(orphans.agg(F.sum("orphan_rows").alias("n")).scalar(), F.lit(0)).alias("orphan_rows"))
+    def listed(name):
+        rows = read[name].join(known, F.col("artifact_id") == F.col("_known"), "left")
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _RECORDED[name]]
+        return rows.select(F.lit(name).alias("recorded"), F.concat_ws("|", *cells).alias("line"), F.col("_known").isNotNull().alias("has_parent"))
 
-    return reduce(lambda a, b: a.unionByName(b), map(counted, read))
+    return reduce(lambda a, b: a.unionByName(b), map(listed, read))
+
+
+@query("checked_append", f"""WITH {_LEDGER}, {_ARTIFACTS}
+SELECT artifact_id, seq, tool, op, args AS input_json, result AS output_json,
+       CAST(EXISTS (SELECT 1 FROM calls WHERE artifact_id NOT IN (SELECT artifact_id FROM artifacts)) AS INTEGER) AS refused
+FROM calls WHERE artifact_id IN (SELECT artifact_id FROM artifacts)""")
+def _(t):
+    """Calls appended in two batches: those whose artifact is there, then all others, which are refused whole."""
+    tables = CheckedTables(t.spark, fresh_path(t.spark, "checked"), 8)
+    tables.declare("artifacts", SCHEMA.ARTIFACTS, "artifact_id")
+    tables.declare("tool_calls", SCHEMA.TOOL_CALLS, "artifact_id")
+    tables.append("artifacts", latest_by_key(artifacts(t), ["artifact_id"], ["version"]).withColumn("created_at", F.current_timestamp()))
+    calls = settled(L.transcript_table(ledger_events(t)), "transcript")
+    known = tables.read("artifacts").select("artifact_id")
+    parents, refused = {"artifact_id": Parent("artifacts", "artifact_id")}, 0
+    for how in ("left_semi", "left_anti"):
+        try:
+            tables.append("tool_calls", calls.join(known, "artifact_id", how), parents)
+        except Q.GateError:
+            refused += 1
+    return tables.read("tool_calls").select("artifact_id", "seq", "tool", "op", "input_json", "output_json", F.lit(refused).alias("refused"))
 
 
 @query("load_dashboard", f"""WITH {_LEDGER}, {_ARTIFACTS}
@@ -240,11 +274,11 @@ resolved AS (
            WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) = 'true'
                                THEN 'True' ELSE 'False' END
            ELSE json_extract_string(c.result, '$.' || array_to_string(parts[4:], '.')) END AS value,
-         CASE WHEN len(parts) < 4 THEN 'malformed pointer'
-              WHEN NOT regexp_full_match(parts[2], '\\d+') THEN 'turn is not a number'
-              WHEN c.seq IS NULL THEN 'unknown transcript entry'
+         CASE WHEN len(parts) < 4 THEN 'too_short'
+              WHEN NOT regexp_full_match(parts[2], '\\d+') THEN 'bad_turn'
+              WHEN c.seq IS NULL THEN 'no_call'
               WHEN json_type(c.result, '$.' || array_to_string(parts[4:], '.')) IS NULL
-              THEN 'unknown field' ELSE 'resolved' END AS status
+              THEN 'no_field' ELSE 'resolved' END AS status
   FROM pointed p LEFT JOIN calls c ON c.tool = 'query_dataset' AND c.artifact_id = p.artifact_id
        AND len(parts) >= 4 AND c.seq = try_cast(parts[2] AS INTEGER))"""
 

@@ -288,19 +288,31 @@ def _(t):
         "c0", "entity_name")
 
 
+# money columns of the long-run file: sums of the orders' and line items' own amounts
+_MONEY = {"application_fees": ("Application fees AUD", "1-URGENT"), "review_fees": ("Internal review fees AUD", "2-HIGH"),
+          "charges_notified": ("Charges notified AUD", "3-MEDIUM"), "charges_collected": ("Charges collected AUD", "5-LOW")}
+
+
 @query("long_run_trend", f"""
 SELECT {fy('o_orderdate')} AS fy,
        CASE WHEN fy >= '1997-98' THEN CAST(count(*) FILTER (kind) AS DOUBLE) END AS personal,
        CASE WHEN fy >= '1997-98' THEN CAST(count(*) FILTER (NOT kind) AS DOUBLE) END AS other,
        CAST(count(*) AS DOUBLE) AS total,
-       CAST(floor(sum(CAST(o_totalprice AS DECIMAL(18,2)))) AS DOUBLE) AS estimated_costs
-FROM (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS kind FROM orders) GROUP BY 1""")
+       {', '.join(f"CAST(floor(sum(price) FILTER (o_orderpriority = '{p}')) AS DOUBLE) AS {c}" for c, (_, p) in _MONEY.items())},
+       CASE WHEN fy >= '1993-94' THEN CAST(floor(sum(price) FILTER (o_orderstatus = 'F')) AS DOUBLE) END AS total_collected,
+       CAST(floor(sum(price)) AS DOUBLE) AS estimated_costs
+FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderpriority IN ('1-URGENT', '2-HIGH') AS kind FROM orders) GROUP BY 1""")
 def _(t):
-    """Yearly totals written in the shape of the long-run file and read back."""
-    kind = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    """Yearly totals written in the shape of the long-run file, every column of it, and read back."""
+    kind, price = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_totalprice").cast("decimal(18,2)")
+
+    def money(where):
+        return F.floor(F.sum(F.when(where, price)))
+
     yearly = with_fiscal_period(t.orders, "o_orderdate").groupBy("fy").agg(
         F.count_if(kind).alias("p"), F.count_if(~kind).alias("o"), F.count(F.lit(1)).alias("n"),
-        F.floor(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).alias("cost"))
+        *[money(F.col("o_orderpriority") == p).alias(c) for c, (_, p) in _MONEY.items()],
+        money(F.col("o_orderstatus") == "F").alias("collected"), money(F.lit(True)).alias("cost"))
     early = F.col("fy") < "1997-98"
     start = F.substring("fy", 1, 4)
     label = F.when(early, F.concat(start, F.lit("-"), (start.cast("int") + 1).cast("string")))
@@ -311,13 +323,13 @@ def _(t):
         "Requests for other information": F.when(early, "No data").otherwise(
             F.col("o").cast("string")),
         "Total requests": F.format_number("n", 0),
+        **{header: F.concat(F.lit(" "), F.format_number(c, 0)) for c, (header, _) in _MONEY.items()},
+        "Total fees and charges collected AUD": F.when(F.col("fy") < "1993-94", "").otherwise(F.col("collected").cast("string")),
         "Estimated costs AUD": F.col("cost").cast("string"),
     }
     path = fresh_path(t.spark, "long-run")
-    yearly.select(*[cells.get(h, F.lit("")).alias(h) for h in LONG_RUN_COLUMNS]).write.option(
-        "header", True).csv(path)
-    return read_long_run(t.spark, path).select("fy", "personal", "other", "total",
-                                               "estimated_costs")
+    yearly.select(*[cells[h].alias(h) for h in LONG_RUN_COLUMNS]).write.option("header", True).csv(path)
+    return read_long_run(t.spark, path)
 
 
 @query("fiscal_label", f"""

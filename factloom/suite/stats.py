@@ -372,10 +372,10 @@ _PAGE_ORDER = "entity_key, fy, quarter NULLS FIRST, measure_group, measure, buck
 
 
 @query("page_stored", over_facts(f"""
-, stored AS (SELECT {_COLUMNS}, count(*) OVER () AS total, row_number() OVER (ORDER BY {_PAGE_ORDER}) - 1 AS at
+, stored AS (SELECT {_COLUMNS}, count(*) OVER () AS total, row_number() OVER (ORDER BY {_PAGE_ORDER}) - 1 AS place
   FROM facts WHERE window_mode = 'fy')
 SELECT page, {_COLUMNS}, total FROM stored, (VALUES ('first', 0, 100), ('deep', 2000, 3000), ('next', 3000, 3500)) p(page, low, high)
-WHERE at >= low AND at < high"""))
+WHERE place >= low AND place < high"""))
 def _(t):
     """Pages of a stored snapshot by position, and the next one by the last key seen."""
     store = SnapshotStore(t.spark, fresh_path(t.spark, "paged"))

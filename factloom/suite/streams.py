@@ -8,8 +8,8 @@ from factloom.functions.periods import epoch_micros
 from factloom.operators.quota import quota_flags
 from factloom.sources.ledger import ledger_append
 from factloom.sources.shared import fresh_path
-from factloom.streaming.ledger import ledger_stream, windowed_counts, write_stream
-from factloom.streaming.quota import keyed_state, quota_stream
+from factloom.streaming.ledger import OnceTable, append_once, ledger_stream, windowed_counts, write_stream
+from factloom.streaming.quota import quota_stream
 from factloom.suite.ledger import _LEDGER, ledger_events
 from factloom.suite.registry import query
 
@@ -65,6 +65,20 @@ def _(t):
     return _drained(t, stream, stream)
 
 
+@query("ledger_stream_once", f"WITH {_LEDGER} SELECT * FROM ledger")
+def _(t):
+    """The log in several micro-batches; then one of them again, as after a failure, and a batch that failed before its commit."""
+    log, place = fresh_path(t.spark, "log"), fresh_path(t.spark, "once")
+    ledger_append(ledger_events(t).repartition(6), log)
+    stream = ledger_stream(t.spark, log, max_files=2)
+    table = OnceTable(t.spark, place, stream.schema)
+    append_once(stream, table, fresh_path(t.spark, "progress")).awaitTermination()
+    again = t.spark.read.schema(stream.schema).json(log)
+    assert not table.append(again, 1)
+    again.write.parquet(f"{place}/data/_folder=lost")
+    return table.read()
+
+
 @query("event_counts_stream", """
 SELECT epoch_us(date_trunc('day', ts)) AS window_start, event_type AS op, count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY
@@ -100,6 +114,6 @@ def _(t):
     events = ledger_events(t)
     for batch in (1, 2, 3):
         ledger_append(events.filter(F.expr(_BATCH) == batch).repartition(FILES_PER_BATCH), log)
-    stream = ledger_stream(keyed_state(t.spark), log, max_files=FILES_PER_BATCH)
+    stream = ledger_stream(t.spark, log, max_files=FILES_PER_BATCH)
     flags = quota_stream(stream, "artifact_id", epoch_micros(F.col("ts")), "event_id", LIMIT, WINDOW)
     return _drained(t, flags, flags)

@@ -56,11 +56,11 @@ def test_pointers(spark, transcript):
     expected = {
         "0.2.0.top[0].agency": ("Home", "resolved"), "0.2.9.top.0.value": ("12", "resolved"),
         "0.2.0.rate": ("1.5", "resolved"), "0.2.0.ok": ("True", "resolved"),
-        "0.2.0.pct": ("None", "resolved"), "0.2.0.none": (None, "unknown field"),
-        "0.2.0.top[7].agency": (None, "unknown field"), "0.2.0.rate.deep": (None, "unknown field"),
-        "0.1.0.value": (None, "unknown transcript entry"),
-        "0.9.0.value": (None, "unknown transcript entry"),
-        "0.two.0.value": (None, "turn is not a number"), "0.2.0": (None, "malformed pointer")}
+        "0.2.0.pct": ("None", "resolved"), "0.2.0.none": (None, "no_field"),
+        "0.2.0.top[7].agency": (None, "no_field"), "0.2.0.rate.deep": (None, "no_field"),
+        "0.1.0.value": (None, "no_call"),
+        "0.9.0.value": (None, "no_call"),
+        "0.two.0.value": (None, "bad_turn"), "0.2.0": (None, "too_short")}
     text = " and ".join("{c:" + p + "}" for p in expected)
     found = find_pointers(spark.createDataFrame([(1, text)], "artifact_id bigint, text string"))
     got = {r["pointer"]: (r["value"], r["status"])
@@ -86,7 +86,7 @@ def test_resolved_texts(spark, transcript):
     assert [(r["resolved_text"], r["unresolved"]) for r in out] == [
         ("1.5% of Home", 0), ("no pointers $1", 0), ("{c:0.2.0.rate}{c:0.2.0.gone}.", 1),
         ("{c:0.2.0.rate}", 1), (None, 0)]
-    with pytest.raises(PySparkException, match="unknown field"):
+    with pytest.raises(PySparkException, match="no_field"):
         resolve_citations(texts.filter("id = 3"), transcript, ["id"], strict=True).collect()
 
 
