@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import half_even, percent
 from factloom.operators.filters import ANNUAL, at_level, exclude_pseudo, filter_facts, not_pseudo
 from factloom.schema import UNMAPPED, WINDOW_MODES
+from factloom.sources.shared import settled
 
 
 def basis() -> Column:
@@ -175,8 +176,8 @@ def _entity_changes(facts, fy_a, fy_b, measure, level):
 def change_contributions(facts: DataFrame, fy_a: str, fy_b: str, measure: str = "received",
                          level: str = ANNUAL) -> DataFrame:
     """What part of the whole change between two years each entity makes up, in per cent;
-    NULL where the whole doesn't change."""
-    changes = _entity_changes(facts, fy_a, fy_b, measure, level)
+    NULL where the whole doesn't change.  The facts are read once, for changes that are kept."""
+    changes = settled(_entity_changes(facts, fy_a, fy_b, measure, level), "entity-changes")
     whole = changes.agg(F.sum("change").alias("whole"))
     return changes.select("entity_name", half_even(F.col("change")).alias("change"),
                           percent(F.col("change"), whole.scalar(), 1).alias("share_pct"), "basis")

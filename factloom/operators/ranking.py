@@ -9,6 +9,7 @@ from factloom.functions.numbers import half_even
 from factloom.operators.aggregates import entity_sums, period_movers
 from factloom.operators.filters import ANNUAL, filter_facts
 from factloom.schema import DEFAULT_PAGE_LIMIT, DEFAULT_TOP_N, NATURAL_KEY
+from factloom.sources.shared import settled
 
 
 def top_entities(facts: DataFrame, measure: str, fy: str, n: int = DEFAULT_TOP_N) -> DataFrame:
@@ -21,8 +22,9 @@ def top_entities(facts: DataFrame, measure: str, fy: str, n: int = DEFAULT_TOP_N
 
 def top_contributors(facts: DataFrame, fy=None, measure=None, bucket="total",
                      n: int = DEFAULT_TOP_N, level: str | None = ANNUAL) -> DataFrame:
-    """Top entities plus the number of entities before the cut."""
-    sums = entity_sums(facts, fy, measure, bucket, level)
+    """Top entities plus the number of entities before the cut; the facts are read once, for sums
+    that are kept."""
+    sums = settled(entity_sums(facts, fy, measure, bucket, level), "entity-sums")
     entities = sums.agg(F.count(F.lit(1)).alias("entities"))
     top = sums.orderBy(F.desc("value"), "entity_name").limit(n)
     return top.withColumns({"value": half_even(F.col("value")), "entities": entities.scalar()})

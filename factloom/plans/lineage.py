@@ -46,15 +46,21 @@ def update_artifact(artifacts: DataFrame, changes: DataFrame) -> DataFrame:
     }).select(*artifacts.columns)
 
 
-def record_stat_ops(panel_rows: DataFrame, board: DataFrame, dataset_id: int = 1) -> DataFrame:
-    """One op row per panel that cites a catalogue key, with that key's hash."""
+def record_stat_ops(panel_rows: DataFrame, board: DataFrame, dataset_id: int = 1,
+                    listed: DataFrame | None = None) -> DataFrame:
+    """One op row per panel that cites a catalogue key, with that key's hash and value: a number,
+    the JSON text that ``listed`` (stat_key, listed) has for it, or ``null``."""
+    if listed is not None:
+        board = board.join(listed, "stat_key", "left")
+    else:
+        board = board.withColumn("listed", F.lit(None).cast("string"))
     cited = panel_rows.withColumn("op", panel_key(STAT_KEYS, FIGURE_KEYS)).filter(
         F.col("op").isNotNull())
     return cited.join(board, cited["op"] == board["stat_key"]).select(
         "artifact_id", F.lit(dataset_id).cast("bigint").alias("dataset_id"), "pos",
         F.lit("figure").alias("kind"), "op", F.lit("{}").alias("params"),
         F.col("source_rows").alias("row_count"), "rows_hash",
-        F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("result_value"))
+        F.coalesce(F.col("value").cast("string"), "listed", F.lit("null")).alias("result_value"))
 
 
 def replay_verify(ops: DataFrame, recomputed: DataFrame) -> DataFrame:

@@ -333,6 +333,31 @@ def export_all(facts: DataFrame, pins: Pins) -> DataFrame:
     return board.unionByName(fig).unionByName(listed)
 
 
+def _json(rows: Column) -> Column:
+    return F.to_json(rows, {"ignoreNullFields": "false"})
+
+
+def listed_values(facts: DataFrame, cells: DataFrame, pins: Pins) -> DataFrame:
+    """(stat_key, listed): the value of each key that is a list, as JSON: a figure's rows by category and
+    series, and the ``DEFAULT_TOP_N`` largest movers (:func:`period_movers` has them all).  A figure without
+    rows has none here."""
+    rows = F.array_sort(F.collect_list(F.struct("category", "series", "value")))
+    listed = figures(facts, cells, pins).groupBy(F.col("figure_key").alias("stat_key")).agg(_json(rows).alias("listed"))
+    movers = period_movers(facts, *pins.mover_fys).orderBy(F.desc(F.abs("change")), "entity_name").limit(DEFAULT_TOP_N)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.abs("change")).alias("by"), "entity_name", "fy_a_rate", "fy_b_rate", "change")))
+    named = F.transform(ranked, lambda r: F.struct(*[r[c].alias(c) for c in ("entity_name", "fy_a_rate", "fy_b_rate", "change")]))
+    return listed.unionByName(movers.agg(F.lit(MOVERS_STAT).alias("stat_key"), _json(named).alias("listed")).select("stat_key", "listed"))
+
+
+def kpi_values(facts: DataFrame, pins: Pins) -> DataFrame:
+    """The stat board with the text of each value: a number, a list, or ``null``."""
+    cells = summarised(facts, digest=stat_sources(pins))
+    board = stat_board(cells, pins)
+    listed = listed_values(facts, cells, pins)
+    return board.join(listed, "stat_key", "left").select(
+        "stat_key", F.coalesce(F.col("value").cast("string"), "listed", F.lit("null")).alias("value"), "basis", "source_rows")
+
+
 def stat(facts: DataFrame, key: str, pins: Pins = PUBLISHED_PINS) -> DataFrame:
     """One key of the catalogue; unknown keys raise ``KeyError``."""
     check_keys([key])

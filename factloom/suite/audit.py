@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions.checked import computed_column
@@ -18,7 +19,7 @@ from factloom.plans.facts import build_facts, headline_facts
 from factloom.schema import FACT_COLUMNS, FACTS, HASH_COLUMNS, MEASURES
 from factloom.sources.digest_tree import DigestTree
 from factloom.sources.shared import fresh_path, settled
-from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot
+from factloom.sources.snapshots import SnapshotStore, current_snapshots, find_snapshot, ordered_facts
 from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
 from factloom.suite.registry import query
 from factloom.suite.sql import fy, over_facts
@@ -437,6 +438,23 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
+@query("reload_snapshot", over_facts(f"""
+SELECT {_COLUMNS}, row_number() OVER (ORDER BY entity_key, fy, quarter NULLS FIRST, measure_group, measure, bucket) AS place
+FROM facts WHERE window_mode = 'fy' AND measure = 'received'"""))
+def _(t):
+    """Stored facts in reload order: their places are numbered as they come."""
+    store = SnapshotStore(t.spark, fresh_path(t.spark, "store"))
+    done = store.write(build_facts(t, ["received"], folded=True), "annual", "fy", ["orders"], "1")
+    rows = settled(ordered_facts(store.load(done.dataset_id)).withColumn("_at", F.monotonically_increasing_id()), "reloaded")
+    # rows of a part are numbered in it; parts follow one another
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start") + 1
+    return rows.withColumn("_part", part).join(starts, "_part").select(*FACT_COLUMNS, at.alias("place"))
+
+
 @query("export_figures", over_facts(f""", {SERIES_CTE},
 figs AS ({figure_rows(PINS)}),
 pages AS (SELECT unnest([{', '.join(f"'{p}'" for p, ks in S.PAGE_FIGURES.items() for _ in ks)}])

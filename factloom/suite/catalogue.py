@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators.aggregates import presence_check
 from factloom.plans import stats as S
+from factloom.plans.dataset import run_op
 from factloom.plans.facts import build_facts
+from factloom.sources.shared import settled
 from factloom.suite.registry import query
 from factloom.suite.sql import over_facts
 from factloom.suite.sqlstats import SERIES_CTE, figure_rows, hashed_facts, stat_rows
@@ -30,6 +32,22 @@ def _(t):
     return S.board_of(catalogue_facts(t, buckets=("total",)), PINS)
 
 
+# the value of each list key as text
+LISTED = f"""listed AS (
+  SELECT figure_key AS stat_key, CAST(to_json(list({{'category': category, 'series': series, 'value': value}} ORDER BY category, series)) AS VARCHAR) AS listed
+  FROM figs GROUP BY figure_key
+  UNION ALL SELECT '{S.MOVERS_STAT}', CAST(to_json(list({{'entity_name': entity_name, 'fy_a_rate': fy_a_rate, 'fy_b_rate': fy_b_rate, 'change': change}}
+    ORDER BY abs(change) DESC, entity_name)) AS VARCHAR) FROM (SELECT * FROM movers ORDER BY abs(change) DESC, entity_name LIMIT 20))"""
+
+
+@query("kpi_values", f"""
+WITH {CATALOGUE_HASHED}, {SERIES_CTE}, figs AS ({figure_rows(PINS)}), movers AS ({MOVERS}), {LISTED}
+SELECT b.stat_key, coalesce(CAST(value AS VARCHAR), listed, 'null') AS value, basis, source_rows
+FROM ({stat_rows(PINS, pearson_sql)}) b LEFT JOIN listed USING (stat_key) WHERE b.stat_key IN ({STAT_LIST})""")
+def _(t):
+    return S.kpi_values(catalogue_facts(t, buckets=("total",)), PINS)
+
+
 @query("figure_table", over_facts(f", {SERIES_CTE}\n{figure_rows(PINS)}"))
 def _(t):
     facts = build_facts(t, buckets=("total",), folded=True)
@@ -118,3 +136,43 @@ def _(t):
         part = both.select(F.lit(kind).alias("selection"), *named, "entities", close.alias("near"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_OP_SQL = f"""
+op_facts AS (SELECT * FROM facts WHERE window_mode = 'fy' AND lower(entity_name) <> 'total'),
+ops AS (
+SELECT 'list_agencies' AS op, entity_name AS name, CAST(NULL AS VARCHAR) AS answer FROM op_facts WHERE NOT starts_with(entity_name, 'x') GROUP BY 2
+UNION ALL SELECT 'top_contributors', entity_name, CAST(v AS VARCHAR) FROM (SELECT entity_name, round_even(sum(value), 0) AS v, sum(value) AS s FROM op_facts
+  WHERE fy = '{FY_TOP}' AND measure = 'decided' AND bucket = 'total' GROUP BY 1 ORDER BY s DESC, 1 LIMIT 7)
+UNION ALL SELECT 'summarize_agencies', CAST(count(*) AS VARCHAR), CAST(round_even(sum(value), 0) AS VARCHAR) FROM op_facts WHERE measure = 'refused' AND bucket = 'other'
+UNION ALL SELECT 'trend', fy, CAST(round_even(sum(value) FILTER (measure = 'finalised' AND bucket = 'total'), 0) AS VARCHAR) FROM op_facts GROUP BY fy
+UNION ALL SELECT 'compare_period', 'change', CAST(round_even(sum(value) FILTER (fy = '{FY_B}') - sum(value) FILTER (fy = '{FY_A}'), 0) AS VARCHAR)
+  FROM op_facts WHERE measure = 'received' AND bucket = 'total'
+UNION ALL SELECT 'by_portfolio', coalesce(portfolio, 'Unmapped'), CAST(round_even(sum(value), 0) AS VARCHAR) FROM op_facts
+  WHERE measure = 'received' AND fy = '{FY_A}' AND bucket = 'total' GROUP BY 2
+UNION ALL SELECT 'kpis', b.stat_key, coalesce(CAST(value AS VARCHAR), listed, 'null') FROM ({stat_rows(PINS, pearson_sql)}) b LEFT JOIN listed USING (stat_key)
+  WHERE b.stat_key IN ({STAT_LIST})
+UNION ALL SELECT 'classes', 'requests', NULL)"""
+
+
+@query("dataset_ops", f"""
+WITH {CATALOGUE_HASHED}, {SERIES_CTE}, figs AS ({figure_rows(PINS)}), movers AS ({MOVERS}), {LISTED}, {_OP_SQL}
+SELECT op, name, answer FROM ops""")
+def _(t):
+    """The named ops as they are asked for by name and parameters, over facts that are stored once."""
+    facts = settled(catalogue_facts(t), "facts")
+    text = lambda c: F.col(c).cast("string")
+    asked = {
+        "list_agencies": ({}, "entity_name", F.lit(None).cast("string")),
+        "top_contributors": ({"fy": FY_TOP, "measure": "decided", "bucket": "total", "top_n": 7}, "entity_name", text("value")),
+        "summarize_agencies": ({"measure": "refused", "bucket": "other"}, "row_count", text("total")),
+        "trend": ({"measure": "finalised"}, "fy", text("value")),
+        "by_portfolio": ({"fy": FY_A, "measure": "received", "bucket": "total"}, "portfolio", text("value")),
+        "kpis": ({}, "stat_key", text("value")),
+        "classes": ({}, "measure_group", F.lit(None).cast("string")),
+    }
+    change = run_op(facts, "compare_period", {"fy_a": FY_A, "fy_b": FY_B, "measure": "received"})
+    out = change.select(F.lit("compare_period").alias("op"), F.lit("change").alias("name"), text("change").alias("answer"))
+    for op, (params, name, answer) in asked.items():
+        out = out.unionByName(run_op(facts, op, params, PINS).select(F.lit(op).alias("op"), text(name).alias("name"), answer.alias("answer")))
+    return out

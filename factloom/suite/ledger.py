@@ -22,10 +22,10 @@ from factloom.schema import CHART_TYPES
 from factloom.sources.checked import CheckedTables, Parent
 from factloom.sources.ledger import append_rows, ledger_append, ledger_read, read_rows
 from factloom.sources.shared import fresh_path, settled
-from factloom.suite.catalogue import CATALOGUE_HASHED, PINS, STAT_LIST, catalogue_facts
+from factloom.suite.catalogue import CATALOGUE_HASHED, LISTED, PINS, STAT_LIST, catalogue_facts
 from factloom.suite.registry import query
-from factloom.suite.sqlstats import stat_rows
-from factloom.suite.stats import pearson_sql
+from factloom.suite.sqlstats import SERIES_CTE, figure_rows, stat_rows
+from factloom.suite.stats import MOVERS, pearson_sql
 
 # -- the derived ledger ------------------------------------------------------
 
@@ -357,15 +357,18 @@ def _(t):
 
 
 @query("record_stat_ops", f"""
-WITH {CATALOGUE_HASHED}, {_PANELS}, board AS ({stat_rows(PINS, pearson_sql)}),
+WITH {CATALOGUE_HASHED}, {SERIES_CTE}, figs AS ({figure_rows(PINS)}), movers AS ({MOVERS}), {LISTED},
+{_PANELS}, board AS ({stat_rows(PINS, pearson_sql)}),
 cited AS (SELECT event_id AS artifact_id, pos, coalesce(nullif(stat, ''), figure) AS op FROM panels)
 SELECT artifact_id, CAST(1 AS BIGINT) AS dataset_id, pos, 'figure' AS kind, op, '{{}}' AS params,
-       source_rows AS row_count, rows_hash, coalesce(CAST(value AS VARCHAR), 'null') AS result_value FROM cited JOIN board ON stat_key = op""")
+       source_rows AS row_count, rows_hash, coalesce(CAST(value AS VARCHAR), listed, 'null') AS result_value
+FROM cited JOIN board ON board.stat_key = op LEFT JOIN listed ON listed.stat_key = op""")
 def _(t):
-    cells = S.summarised(catalogue_facts(t))
+    facts = catalogue_facts(t)
+    cells = S.summarised(facts)
     board = S.stat_board(cells, PINS).unionByName(S.headline_stats(cells, PINS, keys=S.FIGURE_KEYS))
     rows = SP.panels(specs(t)).withColumnRenamed("event_id", "artifact_id")
-    return L.record_stat_ops(rows, board)
+    return L.record_stat_ops(rows, board, listed=S.listed_values(facts, cells, PINS))
 
 
 # -- screening ---------------------------------------------------------------
