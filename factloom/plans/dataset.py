@@ -41,7 +41,7 @@ def run_op(facts: DataFrame, op: str, params: dict | None = None,
     if name == "by_portfolio":
         return A.by_portfolio(facts, **chosen, level=level)
     if name == "kpis":
-        return S.kpi_values(facts, pins).select("stat_key", "value", "basis")
+        return S.kpi_values(facts, pins).select("stat_key", "value", "listed", "basis")
     if name == "classes":
         return P.list_groups(facts).orderBy("measure_group")
     if name == "gaps":

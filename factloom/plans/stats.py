@@ -350,12 +350,12 @@ def listed_values(facts: DataFrame, cells: DataFrame, pins: Pins) -> DataFrame:
 
 
 def kpi_values(facts: DataFrame, pins: Pins) -> DataFrame:
-    """The stat board with the text of each value: a number, a list, or ``null``."""
+    """The stat board with the value of each key: a number, or the JSON text of a list."""
     cells = summarised(facts, digest=stat_sources(pins))
     board = stat_board(cells, pins)
     listed = listed_values(facts, cells, pins)
     return board.join(listed, "stat_key", "left").select(
-        "stat_key", F.coalesce(F.col("value").cast("string"), "listed", F.lit("null")).alias("value"), "basis", "source_rows")
+        "stat_key", "value", "listed", "basis", "source_rows")
 
 
 def stat(facts: DataFrame, key: str, pins: Pins = PUBLISHED_PINS) -> DataFrame:

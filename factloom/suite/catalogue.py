@@ -42,7 +42,7 @@ LISTED = f"""listed AS (
 
 @query("kpi_values", f"""
 WITH {CATALOGUE_HASHED}, {SERIES_CTE}, figs AS ({figure_rows(PINS)}), movers AS ({MOVERS}), {LISTED}
-SELECT b.stat_key, coalesce(CAST(value AS VARCHAR), listed, 'null') AS value, basis, source_rows
+SELECT b.stat_key, value, listed, basis, source_rows
 FROM ({stat_rows(PINS, pearson_sql)}) b LEFT JOIN listed USING (stat_key) WHERE b.stat_key IN ({STAT_LIST})""")
 def _(t):
     return S.kpi_values(catalogue_facts(t, buckets=("total",)), PINS)
@@ -168,7 +168,7 @@ def _(t):
         "summarize_agencies": ({"measure": "refused", "bucket": "other"}, "row_count", text("total")),
         "trend": ({"measure": "finalised"}, "fy", text("value")),
         "by_portfolio": ({"fy": FY_A, "measure": "received", "bucket": "total"}, "portfolio", text("value")),
-        "kpis": ({}, "stat_key", text("value")),
+        "kpis": ({}, "stat_key", F.coalesce(text("value"), F.col("listed"), F.lit("null"))),
         "classes": ({}, "measure_group", F.lit(None).cast("string")),
     }
     change = run_op(facts, "compare_period", {"fy_a": FY_A, "fy_b": FY_B, "measure": "received"})
