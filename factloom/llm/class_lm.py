@@ -10,7 +10,7 @@ Both probabilities are smoothed.
 
 All counts are over every training text. Tasks hold the commonest words, the head, with a class each. Where two words of the head meet, a
 task counts each one's neighbour class in place, and hands on only those counts, packed by ranges of words; pairs of words are
-written nowhere. Where a word of the head meets another one, the other's row in a distributed table lists it; only pairs of two words
+written nowhere; the texts are, once, as numbers of words. Where a word of the head meets another one, the other's row in a distributed table lists it; only pairs of two words
 outside the head are joined. Counts and classes of words are tables that grow with the texts. The driver gets the counts of the
 pairs of ``start`` words and of classes, and the classes of the head, all of fixed size.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.arrow import flat, mixed, odd_numbers, steps
+from factloom.llm.arrow import flat, lean, mixed, odd_numbers, steps
 from factloom.llm.pretoken import Codes
 from factloom.llm.tables import kept
 from factloom.llm.words import SOLID, Words
@@ -67,8 +67,8 @@ class Shape:
         return self.classes + self.endings + 1
 
 
-#: Distinct words, and bigrams, that a task gathers before it hands them on.
-_GATHERED_WORDS, _GATHERED_PAIRS = 1 << 20, 1 << 22
+#: Bytes of text that a step works on; distinct words, and bigrams, that a task gathers before it hands them on.
+_STEP_BYTES, _GATHERED_WORDS, _GATHERED_PAIRS = 1 << 20, 1 << 19, 1 << 21
 _TAIL = odd_numbers(2, 31)
 #: The end among hashes of words, and words whose moves are worked out in one go.
 _END, _MOVED_WORDS = np.uint64(0), 512
@@ -96,7 +96,7 @@ def word_counts(texts: DataFrame, text: str, endings: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ending[first].astype(np.int32)), pa.array(counts)], names=["word", "ending", "n"])
 
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, _STEP_BYTES):
                 words, ending = _words(part, text, endings)
                 hashes, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
                 held.append((hashes, ending[first], n))
@@ -109,7 +109,7 @@ def word_counts(texts: DataFrame, text: str, endings: int) -> DataFrame:
         if held:
             yield handed()
 
-    counts = texts.select(text).mapInArrow(run, "word long, ending int, n long")
+    counts = texts.select(text).mapInArrow(lean(run), "word long, ending int, n long")
     return counts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -121,7 +121,7 @@ class Head:
     counts: np.ndarray
 
     def codes(self) -> Codes:
-        out = Codes(bits=max(10, int(np.ceil(np.log2(4 * len(self.words) + 1)))))
+        out = Codes(bits=max(10, (2 * len(self.words)).bit_length()))
         out.add(self.words, np.arange(len(self.words)))
         return out
 
@@ -147,13 +147,6 @@ def commonest(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarra
     return (word[order].view(np.uint64), n[order]), ending[order].astype(np.int64)
 
 
-def _ids(words: Words, ending: np.ndarray, rank: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words and ends in order, first position of each text): the number of a
-    vocabulary word, or what stands for its ending, or the end."""
-    ids = np.where((rank >= 0) & (rank < shape.first), rank, shape.first + ending)
-    return _with_ends(ids, words, shape.ids - 1)
-
-
 def _with_ends(ids: np.ndarray, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
     texts = len(words.by_text) - 1
     out = np.full(len(ids) + texts, end, ids.dtype)
@@ -169,12 +162,67 @@ def _before(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def bigram_counts(texts: DataFrame, text: str, head: Head, shape: Shape) -> np.ndarray:
-    """Occurrences of each pair of ids, as a square of fixed size."""
-    size = shape.ids
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, bytes of equal weight together."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def prepared(texts: DataFrame, text: str, head: Head, shape: Shape) -> DataFrame:
+    """The texts as numbers, and the words outside the head with their neighbours.
+
+    Rows with ``ids``: some texts, words and the end of each: the rank of a word of the head; the end is the number after
+    those, any other word the one after that and its ending's. Rows without: (word, other, code) for each word outside the
+    head and each neighbour of it. ``code`` is twice the neighbour's number, plus 1 if it comes before; where the next
+    word isn't in the head either, ``other`` is that word, once for both, and ``code`` is null.
+    """
+    size = len(head.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, nothing = head.codes(), pa.binary()
+        for batch in batches:
+            for part in steps(batch, text, _STEP_BYTES):
+                words, ending = _words(part, text, shape.endings)
+                rank = codes.find(words.hashes)
+                ids, first = _with_ends(np.where(rank >= 0, rank, size + 1 + ending), words, size)
+                one = pa.array([_squeezed(ids)], nothing)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), one], names=["word", "other", "code", "ids"])
+                if (ids <= size).all():
+                    continue
+                hashes, _ = _with_ends(words.hashes, words, _END)
+                before, hash_before = _before(ids, first, size), _before(hashes, first, _END)
+                led, follows, both = (before <= size) & (ids > size), (before > size) & (ids <= size), (before > size) & (ids > size)
+                word = np.concatenate([hashes[led], hash_before[follows], hash_before[both]]).view(np.int64)
+                known = int(led.sum() + follows.sum())
+                missing = np.arange(len(word)) < known
+                other = np.concatenate([np.zeros(known, np.int64), hashes[both].view(np.int64)])
+                code = np.concatenate([before[led] * 2 + 1, ids[follows] * 2, np.zeros(len(word) - known, np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(other, mask=missing), pa.array(code, mask=~missing), pa.nulls(len(word), nothing)],
+                                                 names=["word", "other", "code", "ids"])
+
+    return texts.select(text).mapInArrow(lean(run), "word long, other long, code int, ids binary")
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(before, ids) of the pairs of each row; the end stands before the first word of a text."""
+    for batch in batches:
+        for row in batch.column(0):
+            ids = _spread(row.as_py()).astype(np.int64)
+            yield np.append(end, ids[:-1]), ids
+
+
+def bigram_counts(ids: DataFrame, head: Head, endings: np.ndarray, shape: Shape) -> np.ndarray:
+    """Occurrences of each pair of a vocabulary word, an ending or the end, as a square of fixed size."""
+    size, end = shape.ids, len(head.words)
+    # what each number is: itself, its ending, the end, its ending
+    rank = np.arange(end)
+    to = np.concatenate([np.where(rank < shape.first, rank, shape.first + endings), [size - 1], shape.first + np.arange(shape.endings)]).astype(np.int32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total, held = head.codes(), np.zeros(size * size, np.int32), []
+        total, held = np.zeros(size * size, np.int32), []
 
         def add() -> None:
             keys = np.concatenate(held)
@@ -183,13 +231,10 @@ def bigram_counts(texts: DataFrame, text: str, head: Head, shape: Shape) -> np.n
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
             total[keys[starts]] += np.diff(np.append(starts, len(keys))).astype(np.int32)
 
-        for batch in batches:
-            for part in steps(batch, text):
-                words, ending = _words(part, text, shape.endings)
-                ids, first = _ids(words, ending, codes.find(words.hashes), shape)
-                held.append(_before(ids, first, size - 1) * size + ids)
-                if sum(map(len, held)) > _GATHERED_PAIRS:
-                    add()
+        for before, after in _numbers(batches, end):
+            held.append(to[before] * size + to[after])
+            if sum(map(len, held)) > _GATHERED_PAIRS:
+                add()
         if held:
             add()
         rows = total.reshape(size, size)
@@ -211,7 +256,7 @@ def bigram_counts(texts: DataFrame, text: str, head: Head, shape: Shape) -> np.n
                                              names=["id", "after", "n"])
 
     schema = "id int, after binary, n binary"
-    summed = texts.select(text).mapInArrow(count, schema).repartition("id").mapInArrow(add, schema)
+    summed = ids.mapInArrow(lean(count), schema).repartition("id").mapInArrow(lean(add), schema)
     out = np.zeros((size, size))
     for row in summed.collect():  # at most ``size`` rows of ``size`` counts
         out[row.id, np.frombuffer(row.after, np.uint16)] = np.frombuffer(row["n"], np.int64)
@@ -282,88 +327,81 @@ def started(counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> D
             kind = np.where(rank >= 0, place[rank], shape.classes + batch.column("ending").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(kind.astype(np.int32))], names=["word", "n", "kind"])
 
-    return counts.select("word", "ending", "n").mapInArrow(run, "word long, n long, kind int")
+    return counts.select("word", "ending", "n").mapInArrow(lean(run), "word long, n long, kind int")
 
 
-#: Words of a block of neighbour classes.
-_BLOCK = 1024
-
-
-def outside(texts: DataFrame, text: str, head: Head, shape: Shape) -> DataFrame:
-    """(word, other, code) for each word that isn't in the head, and each neighbour of it: code is twice
-    the neighbour's rank (the end's is that of the next word), plus 1 if it comes before. Where the next
-    word isn't in the head either, ``other`` is that word, once for both, and code is null."""
-    size = len(head.words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = head.codes()
-        for batch in batches:
-            for part in steps(batch, text):
-                words, _ = _words(part, text, 1)
-                ids, first = _with_ends(codes.find(words.hashes), words, size)
-                if (ids >= 0).all():
-                    continue
-                hashes, _ = _with_ends(words.hashes, words, _END)
-                before, hash_before = _before(ids, first, size), _before(hashes, first, _END)
-                led, follows, both = (before >= 0) & (ids < 0), (before < 0) & (ids >= 0), (before < 0) & (ids < 0)
-                word = np.concatenate([hashes[led], hash_before[follows], hash_before[both]]).view(np.int64)
-                known = int(led.sum() + follows.sum())
-                missing = np.arange(len(word)) < known
-                other = np.concatenate([np.zeros(known, np.int64), hashes[both].view(np.int64)])
-                code = np.concatenate([before[led] * 2 + 1, ids[follows] * 2, np.zeros(len(word) - known, np.int64)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(other, mask=missing), pa.array(code, mask=~missing)], names=["word", "other", "code"])
-
-    return texts.select(text).mapInArrow(run, "word long, other long, code int")
-
-
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers of 32 bits, bytes of equal weight together."""
-    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _spread(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+#: Words of a block of neighbour classes, blocks of the commonest words, and counts that a task gathers before it sorts them.
+_BLOCK, _COMMON, _GATHERED_CELLS = 1024, 8, 1 << 21
 
 
 class _Cells:
-    """Counts of (word of the head, side, class), gathered and handed on in blocks of words; and of pairs of classes."""
-
-    def __init__(self, shape: Shape):
-        self.kinds, self.grid = shape.kinds, np.zeros((shape.kinds, shape.kinds), np.int64)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Counts of (word of the head, side, class), gathered and handed on in blocks of words; and of pairs of
+    classes. The commonest words' counts are an array, others are sorted when enough are gathered."""
+
+    def __init__(self, shape: Shape, size: int):
+        self.kinds, self.grid = shape.kinds, np.zeros(shape.kinds * shape.kinds, np.int64)
+        self.span = 3 * shape.kinds * _BLOCK
+        self.common = np.zeros(min(_COMMON, -(-size // _BLOCK)) * self.span, np.int64)
+        self.raw: list[np.ndarray] = []
         self.gathered = 0
+        self._empty()
 
-    def add(self, rank: np.ndarray, side: np.ndarray, kind: np.ndarray) -> None:
-        key = (rank * 3 + side) * self.kinds + kind
-        self.held.append((key, np.ones(len(key), np.int64)))
-        self.gathered += len(key)
+    def _empty(self) -> None:
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.grid += np.bincount(x * self.kinds + y, minlength=self.grid.size).reshape(self.grid.shape)
+    def add(self, rank: np.ndarray, side: np.ndarray | int, kind: np.ndarray) -> None:
+        self.raw.append((rank * 3 + side) * self.kinds + kind)
+        self.gathered += len(rank)
 
-    def merge(self) -> None:
-        keys, n = (np.concatenate(z) for z in zip(*self.held))
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.grid += np.bincount(x * self.kinds + y, minlength=len(self.grid))
+
+    def full(self) -> bool:
+        """Gathers what was added; whether it is time to hand on."""
+        if self.gathered <= _GATHERED_CELLS:
+            return False
+        self._merge()
+        return 2 * len(self.keys) > _GATHERED_CELLS
+
+    def _merge(self) -> None:
+        if not self.raw:
+            return
+        keys = np.concatenate(self.raw)
+        self.raw.clear()
+        self.gathered = 0
+        low = keys < len(self.common)
+        if len(self.common):
+            self.common += np.bincount(keys[low], minlength=len(self.common))
+        keys = keys[~low]
+        keys.sort()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        n = np.diff(np.append(starts, len(keys)))
+        keys, n = np.concatenate([self.keys, keys[starts]]), np.concatenate([self.n, n])
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.held = [(keys[starts], np.add.reduceat(n, starts) if len(starts) else n)]
-        self.gathered = len(starts)
-
-    def blocks(self) -> Iterator[pa.RecordBatch]:
-        """All that was counted so far, which starts anew."""
-        if self.held:
-            self.merge()
-            keys, n = self.held.pop()
-            span = 3 * self.kinds * _BLOCK
-            block = keys // span
-            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(keys) else np.zeros(0, np.int64)
-            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 64)):
-                rows = [(int(block[starts[i]]), slice(starts[i], starts[i + 1] if i + 1 < len(starts) else len(keys))) for i in some.tolist()]
-                yield _block_rows([(b, _squeezed(np.diff(keys[c] - b * span, prepend=0)), _squeezed(n[c])) for b, c in rows])
-            self.gathered = 0
-        if self.grid.any():
-            yield _block_rows([(-1, self.grid.tobytes(), b"")])
-            self.grid[:] = 0
+        self.keys, self.n = keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+    def _block(self, number: int, keys: np.ndarray, n: np.ndarray) -> tuple:
+        return number, _squeezed(np.diff(keys, prepend=0)), _squeezed(n)
+
+    def blocks(self, last: bool = True) -> Iterator[pa.RecordBatch]:
+        """What was counted so far, which starts anew; before the last time, without the array."""
+        self._merge()
+        block = self.keys // self.span
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(block))
+        rows = [self._block(int(block[a]), self.keys[a:b] - block[a] * self.span, self.n[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        self._empty()
+        if last:
+            for i in range(0, len(self.common), self.span):
+                at = np.flatnonzero(self.common[i: i + self.span])
+                if len(at):
+                    rows.append(self._block(i // self.span, at, self.common[i + at]))
+            if self.grid.any():
+                rows.append((-1, self.grid.tobytes(), b""))
+        for i in range(0, len(rows), 64):
+            yield _block_rows(rows[i: i + 64])
 
 
 def _block_rows(rows: list) -> pa.RecordBatch:
@@ -374,41 +412,33 @@ def _block_rows(rows: list) -> pa.RecordBatch:
 _BLOCKS = "block int, keys binary, n binary"
 
 
-def _beside_head(texts: DataFrame, text: str, head: Head, place: np.ndarray, shape: Shape, cells: bool) -> DataFrame:
+def _beside_head(ids: DataFrame, size: int, place: np.ndarray, shape: Shape, cells: bool) -> DataFrame:
     """Blocks of the neighbours' classes of words of the head beside such words, ends included; without
     ``cells`` only the pairs of classes. ``place``: the class of each word of the head and of the end."""
-    size = len(head.words)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, made, kinds = head.codes(), _Cells(shape), place.astype(np.int64)
-        for batch in batches:
-            for part in steps(batch, text):
-                words, _ = _words(part, text, 1)
-                ids, first = _with_ends(codes.find(words.hashes), words, size)
-                before = _before(ids, first, size)
-                both = (ids >= 0) & (before >= 0)
-                a, b = before[both], ids[both]
-                x, y = kinds[a], kinds[b]
-                made.pairs(x, y)
-                if cells:
-                    same = a == b
-                    left, right = (a < size) & ~same, (b < size) & ~same
-                    twice = same & (a < size)
-                    made.add(np.concatenate([a[left], b[right], a[twice]]), np.repeat([0, 1, 2], [left.sum(), right.sum(), twice.sum()]),
-                             np.concatenate([y[left], x[right], x[twice]]))
-                    if made.gathered > _GATHERED_PAIRS:
-                        made.merge()
-                        if made.gathered * 2 > _GATHERED_PAIRS:
-                            yield from made.blocks()
+        made, kinds = _Cells(shape, size if cells else 0), place.astype(np.int64)
+        for before, after in _numbers(batches, size):
+            both = (after <= size) & (before <= size)
+            a, b = before[both], after[both]
+            x, y = kinds[a], kinds[b]
+            made.pairs(x, y)
+            if cells:
+                same = a == b
+                left, right, twice = (a < size) & ~same, (b < size) & ~same, same & (a < size)
+                made.add(a[left], 0, y[left])
+                made.add(b[right], 1, x[right])
+                made.add(a[twice], 2, x[twice])
+                if made.full():
+                    yield from made.blocks(last=False)
         yield from made.blocks()
 
-    return texts.select(text).mapInArrow(run, _BLOCKS)
+    return ids.mapInArrow(lean(run), _BLOCKS)
 
 
 def _beside_others(rows: DataFrame, size: int, place: np.ndarray, shape: Shape, cells: bool) -> DataFrame:
     """The same from (kind, codes) of words outside the head."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, kinds = _Cells(shape), place.astype(np.int64)
+        made, kinds = _Cells(shape, size if cells else 0), place.astype(np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(at, 1 << 14)
@@ -420,37 +450,42 @@ def _beside_others(rows: DataFrame, size: int, place: np.ndarray, shape: Shape,
                 if cells:
                     known = rank < size
                     made.add(rank[known], 1 - (code & 1)[known], kind[known])
-                    if made.gathered > _GATHERED_PAIRS:
-                        made.merge()
-                        if made.gathered * 2 > _GATHERED_PAIRS:
-                            yield from made.blocks()
+                    if made.full():
+                        yield from made.blocks(last=False)
         yield from made.blocks()
 
-    return rows.select("kind", "codes").mapInArrow(run, _BLOCKS)
+    return rows.select("kind", "codes").mapInArrow(lean(run), _BLOCKS)
 
 
 def _added(blocks: DataFrame, shape: Shape) -> DataFrame:
-    """One row for each block."""
+    """One row for each block: a task adds up one block after the other."""
     span = 3 * shape.kinds * _BLOCK
 
+    def closed(block: int, counts: np.ndarray) -> pa.RecordBatch:
+        if block < 0:
+            return _block_rows([(block, counts.tobytes(), b"")])
+        at = np.flatnonzero(counts)
+        if counts.max() >= 1 << 32:
+            raise OverflowError("a class follows a word 2^32 times")
+        return _block_rows([(block, _squeezed(np.diff(at, prepend=0)), _squeezed(counts[at]))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        now, counts = None, None
         for batch in batches:
-            for block, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if block < 0:
-                    total[block] = total.get(block, 0) + np.frombuffer(keys, np.int64)
+            for block, keys, n in zip(*batch.columns):
+                if block.as_py() != now:
+                    if now is not None:
+                        yield closed(now, counts)
+                    now = block.as_py()
+                    counts = np.zeros(span if now >= 0 else shape.kinds * shape.kinds, np.int64)
+                if now < 0:
+                    counts += np.frombuffer(keys.as_py(), np.int64)
                 else:
-                    total.setdefault(block, np.zeros(span, np.int64))[np.cumsum(_spread(keys).astype(np.int64))] += _spread(n)
-        for block, counts in total.items():
-            if block < 0:
-                yield _block_rows([(block, counts.tobytes(), b"")])
-            else:
-                at = np.flatnonzero(counts)
-                if counts.max() >= 1 << 32:
-                    raise OverflowError("a class follows a word 2^32 times")
-                yield _block_rows([(block, _squeezed(np.diff(at, prepend=0)), _squeezed(counts[at]))])
+                    counts[np.cumsum(_spread(keys.as_py()).astype(np.int64))] += _spread(n.as_py())
+        if now is not None:
+            yield closed(now, counts)
 
-    return blocks.repartition("block").mapInArrow(run, _BLOCKS)
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lean(run), _BLOCKS)
 
 
 def _head_kinds(counts: DataFrame, head: Head, place: np.ndarray) -> DataFrame:
@@ -462,7 +497,7 @@ def _head_kinds(counts: DataFrame, head: Head, place: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(place[rank].astype(np.int32))], names=["word", "n", "kind"])
 
     least = int(head.counts[-1]) if len(head.counts) else None
-    return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n").mapInArrow(run, "word long, n long, kind int")
+    return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n").mapInArrow(lean(run), "word long, n long, kind int")
 
 
 def _grid(cells: DataFrame, shape: Shape) -> np.ndarray:
@@ -524,7 +559,7 @@ def _head_moves(added: DataFrame, grid: np.ndarray, place: np.ndarray, free: np.
                 yield _block_rows([(block, np.concatenate(out).astype(np.uint16).tobytes(), b"")])
 
     out = place.copy()
-    for r in added.filter("block >= 0").mapInArrow(run, _BLOCKS).select("block", "keys").collect():  # a number for each word of the head
+    for r in added.filter("block >= 0").mapInArrow(lean(run), _BLOCKS).select("block", "keys").collect():  # a number for each word of the head
         made = np.frombuffer(r["keys"], np.uint16)
         at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(made))
         out[at] = np.where(free[at], made, out[at])
@@ -555,16 +590,15 @@ def _other_moves(rows: DataFrame, linked: DataFrame, grid: np.ndarray, place: np
                 made = best(grid, part.column("kind").to_numpy().astype(np.int64), ends, key // shape.kinds % 3, key % shape.kinds, n, shape.classes)
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(made.astype(np.int32)), codes], names=["word", "n", "kind", "codes"])
 
-    return rows.mapInArrow(run, "word long, n long, kind int, codes array<int>")
+    return rows.mapInArrow(lean(run), "word long, n long, kind int, codes array<int>")
 
 
-def clustered(texts: DataFrame, text: str, counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+def clustered(ids: DataFrame, lists: DataFrame, counts: DataFrame, head: Head, place: np.ndarray, shape: Shape) -> tuple[np.ndarray, DataFrame, np.ndarray]:
     """(classes of the head, (word, n, kind) of all other words, counts of pairs of classes) after the
-    round whose classes are likeliest. ``place``: the head's classes at first."""
+    round whose classes are likeliest. ``ids``, ``lists``: as ``prepared``; ``place``: the head's classes at first."""
     size = len(head.words)
     least = int(head.counts[-1]) if size else 0
     others = counts.filter(F.col("n") < least if size else F.lit(True))
-    lists = kept(outside(texts, text, head, shape), "words-outside")
     codes = lists.filter("code IS NOT NULL").groupBy("word").agg(F.collect_list("code").alias("codes"))  # as many as the word occurs: fewer than a word of the head
     others = others.join(codes, "word", "left").select("word", "n", (F.col("ending") + shape.classes).alias("kind"), F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
     others = kept(others.withColumn("free", F.col("n") >= shape.least), "other-words")
@@ -581,7 +615,7 @@ def clustered(texts: DataFrame, text: str, counts: DataFrame, head: Head, place:
             labelled = labelled.join(rows.select(F.col("word").alias(word), F.col("kind").alias(own)), word, "left")
             labelled = labelled.withColumn(own, F.coalesce(own, kind))
         labelled = kept(labelled, "other-classes")
-        blocks = _beside_head(texts, text, head, place, shape, not last)
+        blocks = _beside_head(ids, size, place, shape, not last)
         for part in (fixed, rows):
             blocks = blocks.unionByName(_beside_others(part, size, place, shape, not last))
         added = kept(_added(blocks, shape), "neighbour-classes")
@@ -618,12 +652,14 @@ def fit(texts: DataFrame, text: str, shape: Shape = Shape()) -> tuple[Model, Dat
     counts = kept(word_counts(texts, text, shape.endings), "word-counts")
     top, endings = commonest(counts, shape.head)
     head = Head(*top)
-    pairs = bigram_counts(texts, text, head, shape)
+    numbered = kept(prepared(texts, text, head, shape), "numbered-words")
+    ids, lists = numbered.filter("ids IS NOT NULL").select("ids"), numbered.filter("ids IS NULL").drop("ids")
+    pairs = bigram_counts(ids, head, endings, shape)
     place, size = exchange(pairs, shape), shape.kinds
     first = np.arange(len(head.words)) < shape.first
     kind = np.where(first, place[np.minimum(np.arange(len(head.words)), shape.first)], shape.classes + endings)
     if shape.vocabulary is None and shape.rounds:
-        kind, others, grid = clustered(texts, text, counts, head, kind, shape)
+        kind, others, grid = clustered(ids, lists, counts, head, kind, shape)
         kinds = kept(_head_kinds(counts, head, kind).unionByName(others), "word-classes")
     else:
         kinds = kept(started(counts, head, place, shape), "word-classes")
@@ -659,7 +695,7 @@ def _local(rows: DataFrame, model: Model) -> DataFrame:
         codes, log_count = model.head.codes(), np.log10(np.append(model.head.counts, 0) + DELTA)
         end, last = np.log10(model.ends + DELTA), model.shape.kinds - 1
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", _STEP_BYTES):
                 words, ending = _words(part, "text", model.shape.endings)
                 texts = part.num_rows
                 rank = codes.find(words.hashes)
@@ -692,7 +728,7 @@ def _local(rows: DataFrame, model: Model) -> DataFrame:
                     *(pa.ListArray.from_arrays(joined, pa.array(x[open_].astype(np.int32))) for x in (before, kind)),
                 ], names=names)
 
-    return rows.mapInArrow(run, _DOC.format(rows.schema["key"].dataType.simpleString()))
+    return rows.mapInArrow(lean(run), _DOC.format(rows.schema["key"].dataType.simpleString()))
 
 
 def _joined(rows: DataFrame, model: Model) -> DataFrame:
@@ -715,7 +751,7 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
             made = {"moved": pa.array(moved), "members": pa.array(members)}
             yield pa.RecordBatch.from_arrays([made.get(f.name, batch.column(f.name)) for f in fields], names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(lean(run), T.StructType(fields))
 
 
 def scored(df: DataFrame, key: str, text: str, train: Column, shape: Shape = Shape()) -> DataFrame:
