@@ -38,13 +38,53 @@ def test_stages(spark):
     assert last.filter("NOT exact").count() == 0 and last.count() == len(keys[4])
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage's rows from those of the stage before, also with null, empty and repeated ones."""
+    from test_documents import brute_groups, brute_removed
+    from test_text_scans import brute_hits, words
+    from tokenizers import Tokenizer
+
+    from factloom.llm.queries import tokenizer
+
+    docs = table(spark, FOLDER, "documents")
+    text = docs.orderBy("doc_id").first().text
+    odd = [(10 ** 6, None, None, None, None), (10 ** 6 + 1, "", "en", "s", 0), (10 ** 6 + 2, text, "en", "s", len(text)), (10 ** 6 + 2, text, "en", "s", len(text)),
+           (10 ** 6 + 3, "ünï\n\n" * 300, "de", None, 2100)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    model, seen = quality_model(spark, table(spark, FOLDER, "documents"), FOLDER), []
+    for name, stage in [(None, lambda s, d, f: d), *corpus_pipeline.STAGES]:
+        docs = stage(spark, docs, FOLDER)
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/brute-{name}"
+        docs.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        seen.append(docs)
+    rows = [[(r.doc_id, r.text) for r in d.orderBy("doc_id", "text").collect()] for d in seen[:-1]]
+    good = {r.doc_id for r in scored(seen[0].select("doc_id", "text"), "text", model).filter("score >= 0.3").collect()}
+    assert rows[1] == [r for r in rows[0] if r[0] in good] and good < {k for k, _ in rows[0]}
+    stays = [g[0] for g in brute_groups(rows[1]) if g[-1]]
+    assert [k for k, _ in rows[2]] == sorted(set(stays)) and {*rows[2]} <= {*rows[1]}
+    for (key, after), (_, before), (_, size, gone, spans, _) in zip(rows[3], rows[2], brute_removed(rows[2], 100), strict=True):
+        left = len((after or "").encode())
+        assert size - gone <= left <= size - gone + 4 * spans and (gone or after == before), key
+    items = [(r.item_id, r.text) for r in table(spark, FOLDER, "benchmark").collect()]
+    hits = {k: n for k, _, n, *_ in brute_hits(rows[3], items)}
+    assert any(hits.values())
+    for (key, after), (_, before) in zip(rows[4], rows[3], strict=True):
+        assert after == before if not hits[key] else len(words(after)) == len(words(before)) - hits[key], key
+    encode = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    made = {r.doc_id: r for r in seen[5].collect()}
+    assert len(made) == len(rows[4])
+    for key, text in rows[4]:
+        assert list(made[key].ids) == encode.encode(text or "", add_special_tokens=False).ids and made[key].exact
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
 
 
 def test_every_operator_has_a_query(spark):
     queries, oracles = load()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries) == [*range(1, 14)]
     assert {*oracles} <= {*queries}
 
 
@@ -54,7 +94,7 @@ def test_against_sql(spark, name):
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     queries, oracles = load()
     made = queries[name](spark, FOLDER)
