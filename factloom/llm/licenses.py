@@ -2,7 +2,8 @@
 
 Words are runs of letters, digits and non-ASCII bytes in lower case, shingles are ``SIZE`` of
 them. A text holds a template of t distinct shingles where a run of ``span(t)`` consecutive
-shingles has at least 75 % of them. To find such runs, a grid of overlapping windows is laid over
+shingles has at least 75 % of them, and at least 75 % of those that a rival lacks: a template of another license
+with half of its shingles or more. So notices that differ in a version or a name are told apart. To find such runs, a grid of overlapping windows is laid over
 each text for every template length: each run lies whole in some window, and a window is so
 short that its similarity to the template is a third at least. Each of ``HASHES`` minima is a
 band of its own, so such a window shares none of them with probability (2/3)^32, 2e-6.
@@ -30,7 +31,8 @@ PERCENT = 75
 
 _SEEDS = odd_numbers(HASHES, 29)
 
-# Published license notices, by identifier.
+# Published license notices and sentences, by identifier. A text of the 3-clause BSD license holds what the
+# 2-clause one has, and is listed under both.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
@@ -43,8 +45,13 @@ TEMPLATES = (
             'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
             "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
             "Software is furnished to do so, subject to the following conditions"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
                      "following conditions are met"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+                     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+                     "disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                          "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
@@ -52,6 +59,26 @@ TEMPLATES = (
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
                          "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
                          "option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                          "option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                          "option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                          "option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+                "available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which "
+                "accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+             "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+             "commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+                'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the '
+                "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                 "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
@@ -91,6 +118,18 @@ class Templates:
         every = words.windows(SIZE)
         self.names = [name for name, _ in templates]
         self.sets = [np.unique(every[a: b - SIZE + 1]) for a, b in zip(words.by_text, words.by_text[1:])]
+        # by template: for each shingle the rivals that lack it, and how many of those that a rival lacks are needed
+        self.rivals: list[tuple[list[list[int]], list[int]]] = []
+        for name, held in zip(self.names, self.sets):
+            lacks: list[list[int]] = [[] for _ in held]
+            least: list[int] = []
+            for other, theirs in zip(self.names, self.sets):
+                shared = np.isin(held, theirs)
+                if other != name and 2 * shared.sum() >= len(held) and not shared.all():
+                    for x in np.flatnonzero(~shared).tolist():
+                        lacks[x].append(len(least))
+                    least.append(needed(int((~shared).sum())))
+            self.rivals.append((lacks, least))
         self.by_size: dict[int, list[int]] = {}
         for i, held in enumerate(self.sets):
             self.by_size.setdefault(len(held), []).append(i)
@@ -139,8 +178,8 @@ class Templates:
                 if a < b:
                     at = np.minimum(np.searchsorted(held, shingles[a:b]), size - 1)
                     good = np.flatnonzero(held[at] == shingles[a:b])
-                    run = _best_run(good, at[good], span(size))
-                    if run and run[0] >= needed(size):
+                    run = _best_run(good, at[good], span(size), needed(size), *self.rivals[i])
+                    if run:
                         key, new = (text, i), (-run[0], a + run[1], a + run[2] + SIZE)
                         if key not in best or new < best[key]:
                             best[key] = new
@@ -148,19 +187,29 @@ class Templates:
         return [(t, i, a - int(words.by_text[t]), b - int(words.by_text[t]), -n / len(self.sets[i])) for (t, i), (n, a, b) in sorted(best.items())]
 
 
-def _best_run(places: np.ndarray, which: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(distinct shingles, first, last) of the run of at most ``most`` places that has the most
-    distinct ones; the earliest of equals."""
-    best, seen, low, distinct = None, {}, 0, 0
+def _best_run(places: np.ndarray, which: np.ndarray, most: int, needs: int, lacks: list[list[int]], least: list[int]) -> tuple[int, int, int] | None:
+    """(distinct shingles, first, last) of the run of at most ``most`` places that has the most distinct ones, of
+    the runs with ``needs`` of them and, of those that each rival ``lacks``, as many as ``least`` says; the earliest of equals."""
+    best, seen, low, distinct, owned, short = None, {}, 0, 0, [0] * len(least), len(least)
     places, which = places.tolist(), which.tolist()
     for high, place in enumerate(places):
-        seen[which[high]] = seen.get(which[high], 0) + 1
-        distinct += seen[which[high]] == 1
+        x = which[high]
+        seen[x] = seen.get(x, 0) + 1
+        if seen[x] == 1:
+            distinct += 1
+            for r in lacks[x]:
+                owned[r] += 1
+                short -= owned[r] == least[r]
         while place - places[low] >= most:
-            seen[which[low]] -= 1
-            distinct -= seen[which[low]] == 0
+            x = which[low]
+            seen[x] -= 1
+            if not seen[x]:
+                distinct -= 1
+                for r in lacks[x]:
+                    short += owned[r] == least[r]
+                    owned[r] -= 1
             low += 1
-        if best is None or distinct > best[0]:
+        if distinct >= needs and not short and (best is None or distinct > best[0]):
             best = (distinct, places[low], place)
     return best
 
@@ -171,7 +220,11 @@ _MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("
 
 def scanned(df: DataFrame, text: str, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``df`` without ``text`` but with ``n_words`` and ``matches``: an array of (license, template,
-    start, end, containment), by template. Words are counted from 0, end is the one after the last."""
+    start, end, containment), by template. Words are counted from 0, end is the one after the last.
+
+    Null and empty texts have 0 words and no match, texts are scanned whole, repeated rows are each scanned. Other columns stay, but
+    for ones named as the new ones. An empty table gives an empty one.
+    """
     fields = [f for f in df.schema.fields if f.name not in (text, "n_words", "matches")]
     names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(_MATCH))])

@@ -149,11 +149,20 @@ d AS (SELECT doc_id, {words} AS w FROM documents),
 t AS (SELECT tid, name, {words} AS w FROM templates),
 sets AS (SELECT DISTINCT tid, name, list_slice(w, i, i + 4) AS g FROM t, unnest(range(1, len(w) - 3)) r(i)),
 sized AS (SELECT *, count(*) OVER (PARTITION BY tid) AS n FROM sets),
+rival AS (SELECT t.tid, u.tid AS rid FROM sized t JOIN sets u ON t.g = u.g AND t.name <> u.name GROUP BY t.tid, u.tid, t.n HAVING 2 * count(*) >= t.n),
+lacks AS (SELECT r.tid, r.rid, s.g FROM rival r JOIN sets s ON s.tid = r.tid
+  WHERE NOT EXISTS (SELECT 1 FROM sets u WHERE u.tid = r.rid AND u.g = s.g)),
+least AS (SELECT tid, rid, count(*) AS m FROM lacks GROUP BY ALL),
 places AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM d, unnest(range(1, len(w) - 3)) r(i) WHERE len(w) >= 5),
 found AS (SELECT doc_id, tid, name, n, i, g FROM places JOIN sized USING (g)),
-runs AS (SELECT a.doc_id, a.tid, a.name, a.n, a.i, count(DISTINCT b.g) AS k FROM found a JOIN found b
-  ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.i BETWEEN a.i AND a.i + a.n + a.n // 2 - 1 GROUP BY ALL),
-held AS (SELECT doc_id, tid, name, max(k)::DOUBLE / n AS share FROM runs WHERE 100 * k >= 75 * n GROUP BY doc_id, tid, name, n),
+hit AS (SELECT DISTINCT a.doc_id, a.tid, a.name, a.n, a.i, b.g FROM found a JOIN found b
+  ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.i BETWEEN a.i AND a.i + a.n + a.n // 2 - 1),
+runs AS (SELECT doc_id, tid, name, n, i, count(*) AS k FROM hit GROUP BY ALL HAVING 100 * count(*) >= 75 * n),
+weak AS (SELECT DISTINCT r.doc_id, r.tid, r.i FROM runs r JOIN least l USING (tid) LEFT JOIN (
+    SELECT doc_id, tid, i, rid, count(*) AS c FROM hit JOIN lacks USING (tid, g) GROUP BY ALL) o
+  ON o.doc_id = r.doc_id AND o.tid = r.tid AND o.i = r.i AND o.rid = l.rid WHERE 100 * coalesce(c, 0) < 75 * m),
+held AS (SELECT doc_id, tid, name, max(k)::DOUBLE / n AS share FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM weak w WHERE w.doc_id = r.doc_id AND w.tid = r.tid AND w.i = r.i) GROUP BY doc_id, tid, name, n),
 listed AS (SELECT doc_id, count(*) AS n, max(share) AS share, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM held GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::INT AS n_templates, coalesce(names, '') AS licenses, share AS containment
 FROM d LEFT JOIN listed USING (doc_id)"""
