@@ -2,8 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII bytes, with A-Z in lower case. A window is
 ``WINDOW`` consecutive words of an item; a shorter item is one window. The hashes of all
-windows are broadcast, in blocks of ``BLOCK_BYTES`` of item text, so that what a worker holds is
-bounded however many items there are. Texts are scanned whole, once for each block; a hash
+windows are broadcast, in blocks of ``BLOCK_BYTES`` of item text. Where there are several, each block is a
+job of its own whose hits are written down before its broadcast is destroyed and the next is made, so that what driver and
+workers hold is bounded however many items there are. Texts are scanned whole, once for each block; a hash
 that matches is verified word by word.
 
 Null and empty texts have no words. Items without words have no windows. An item without an id
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.arrow import ends_of, flat, ranges, steps
+from factloom.llm.tables import kept
 from factloom.llm.words import ALNUM, Words
 
 WINDOW = 10
@@ -99,16 +101,17 @@ _STATE = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.Array
           T.StructField("items", T.ArrayType(T.StringType())), T.StructField("cuts", T.ArrayType(T.LongType()))]
 
 
-def _scan(df: DataFrame, needles: Broadcast, keep_text: bool) -> DataFrame:
-    """(row, text[, state]) to (row, [text,] n_words, spans, items, cuts).
+def _scan(df: DataFrame, needles: Broadcast | None, keep_text: bool) -> DataFrame:
+    """(row, text[, spans, items]) to (row, [text,] n_words, spans, items, cuts).
 
-    spans: first and last + 1 word of each hit run; cuts: the same as byte positions.
+    spans: first and last + 1 word of each hit run; cuts: the same as byte positions. Spans and items that
+    are there already are added to; without needles nothing is.
     """
     before = "spans" in df.columns
     schema = T.StructType([df.schema["row"], *([df.schema["text"]] if keep_text else []), *_STATE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = needles.value
+        held = needles.value if needles is not None else Needles([], [])
         for batch in batches:
             for part in steps(batch, "text"):
                 offsets, data = flat(part.column("text"))
@@ -141,30 +144,50 @@ def _scan(df: DataFrame, needles: Broadcast, keep_text: bool) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Broadcast]:
-    """The needles of ``BLOCK_BYTES`` of item text at a time, one block at least."""
-    spark = items.sparkSession
+def _parts(items: DataFrame, key: str, text: str) -> list[DataFrame]:
+    """The items, ``BLOCK_BYTES`` of them at a time; one part at least."""
     items = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("key") + 16).cast("long")).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
-    for i in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == i)
-        rows = part.collect()
-        yield spark.sparkContext.broadcast(Needles([r.key for r in rows], [r.text for r in rows]))
+    return [items if blocks == 1 else items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def _needles(part: DataFrame) -> Broadcast:
+    rows = part.collect()
+    return part.sparkSession.sparkContext.broadcast(Needles([r.key for r in rows], [r.text for r in rows]))
 
 
 def scanned(df: DataFrame, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text",
             keep_text: bool = False) -> DataFrame:
     """(row, [text,] n_words, spans, items, cuts) of each row of ``df``; ``row`` has its other columns."""
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(text).alias("text"))
-    blocks = list(_blocks(items, item_key, item_text))
-    for i, needles in enumerate(blocks):
-        rows = _scan(rows, needles, keep_text or i + 1 < len(blocks))
-    return rows
+    parts = _parts(items, item_key, item_text)
+    if len(parts) == 1:
+        return _scan(rows, _needles(parts[0]), keep_text)
+    # rows are numbered once; of each block only rows with hits are written, and none of their text
+    rows = kept(rows.withColumn("no", F.monotonically_increasing_id()), "scanned-rows")
+    found = []
+    for part in parts:
+        needles = _needles(part)
+        hit = _scan(rows.select(F.col("no").alias("row"), "text"), needles, False).filter(F.size("spans") > 0)
+        found.append(kept(hit.select("row", "spans", "items"), "block-hits"))
+        needles.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy(F.col("row").alias("no")).agg(F.flatten(F.collect_list("spans")).alias("spans"),
+                                                         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = rows.join(merged, "no", "left").select("row", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"),
+                                                   F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return _scan(whole, None, keep_text)
 
 
 def hits(df: DataFrame, key: str, text: str, items: DataFrame) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row per row of ``df``."""
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row per row of ``df``.
+
+    Null and empty texts have 0 words and no hit, texts are scanned whole, null and repeated keys stay, a row each. Without items
+    nothing is hit; an empty table gives no row. Other columns, whatever their names, aren't read.
+    """
     found = scanned(df.select(key, text), text, items)
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(F.col(f"row.{key}").alias(key), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

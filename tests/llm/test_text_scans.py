@@ -47,6 +47,38 @@ def test_hits(table, corpus, rows, spark, monkeypatch, block):
     assert rows(got) == brute_hits(docs, items)
 
 
+def test_one_broadcast_at_a_time(table, corpus, rows, monkeypatch):
+    """Five blocks and more, each destroyed before the next is made; spans of several blocks meet in one text."""
+    from pyspark import Broadcast
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    alive, most = [], []
+    real_needles, real_destroy = decontaminate._needles, Broadcast.destroy
+
+    def made(part):
+        alive.append(real_needles(part))
+        most.append(len(alive))
+        return alive[-1]
+
+    def destroyed(self, *args, **kw):
+        if self in alive:
+            alive.remove(self)
+        return real_destroy(self, *args, **kw)
+
+    monkeypatch.setattr(decontaminate, "_needles", made)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    items = items_of(corpus)
+    texts = dict(corpus)
+    docs = [*corpus, (500, f"{texts[20]} {texts[30]} {texts[41]} one two {texts[20]}"), (None, texts[30])]
+    df = table(docs)
+    assert rows(decontaminate.hits(df, "doc_id", "text", table(items, "item_id"))) == brute_hits(docs, items)
+    assert len(most) >= 5 and max(most) == 1 and not alive
+    clean = decontaminate.decontaminated(df, "text", table(items, "item_id"))
+    hit = {r.doc_id for r in decontaminate.hits(df, "doc_id", "text", table(items, "item_id")).filter("contaminated").collect()}
+    before, after = ({(r.doc_id, r.text) for r in d.collect()} for d in (df, clean))
+    assert clean.count() == len(docs) and {x for x in before if x[0] not in hit} <= after
+
+
 def test_no_items_and_no_documents(table, corpus, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(table(corpus), "doc_id", "text", none).filter("contaminated").count() == 0
