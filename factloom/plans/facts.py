@@ -87,21 +87,30 @@ def quarter_counters(tables, measures: Iterable[str], fys: Iterable[str] | None
     return settled(folded, "counters")
 
 
+def year_counters(tables, measures: Iterable[str], fys: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Orders folded in one pass to one row of counters per entity and year, and one per quarter of all
+    entities, written out: what annual facts and the headline are made of, and no row per entity and quarter."""
+    rows = request_rows(tables.orders, tables.lineitem, measures, fys)
+    sets = rows.groupingSets([["o_custkey", "start_year"], ["start_year", "quarter"]], "o_custkey", "start_year", "quarter")
+    folded = settled(sets.agg(*_counters(measures), F.grouping_id().alias("_set")), "year-counters")
+    # a set's number has a digit for each column, 1 where the column is summed over
+    return (folded.filter("_set = 1").drop("quarter", "_set"), folded.filter("_set = 4").drop("o_custkey", "_set"))
+
+
 def _counter_names(measures: Iterable[str]) -> list[str]:
     return [f"{m}_{b}" for m in measures for b in ("personal", "other")]
 
 
 def _levels(rows: DataFrame, measures: list[str], levels: set[str], folded: bool = False) -> DataFrame:
-    """Counters per entity and period, at every level asked for.  ``rows``: requests, or
-    their quarter counters if ``folded``.
+    """Counters per entity and period, at every level asked for.  ``rows``: requests, or if ``folded``
+    their counters: by year for annual facts alone, by quarter for all others.
 
     A bucket is present in a period only where an order fell into it; presence is
     carried by ``n_personal``/``n_other`` so that missing never becomes 0.
     """
     names = _counter_names(measures)
     if levels == {"fy"}:
-        keys = ["o_custkey", "start_year"]
-        annual = _refolded(rows, keys, measures) if folded else rows.groupBy(*keys).agg(*_counters(measures))
+        annual = rows if folded else rows.groupBy("o_custkey", "start_year").agg(*_counters(measures))
         return annual.withColumns(
             {"quarter": F.lit(None).cast("int"), "window_mode": F.lit("fy")})
 
@@ -176,15 +185,19 @@ def build_facts(tables, measures: Iterable[str] = MEASURES,
     """Canonical fact rows; only the measures, levels and years asked for.
 
     With a headline, or if ``folded`` because the facts are read more than once, orders and
-    line items are read once and folded to quarter counters.
+    line items are read once and folded to counters, per entity and quarter only where quarters are asked for.
     """
     measures = [m for m in MEASURES if m in set(measures)]
     levels = set(levels)
     if not measures or not levels or not levels <= set(WINDOW_MODES):
         raise ValueError("unknown measure or level")
     folded = folded or headline
-    rows = quarter_counters(tables, measures, fys) if folded else request_rows(
-        tables.orders, tables.lineitem, measures, fys)
+    if folded and levels == {"fy"}:
+        rows, quarters = year_counters(tables, measures, fys)
+    elif folded:
+        rows = quarters = quarter_counters(tables, measures, fys)
+    else:
+        rows = request_rows(tables.orders, tables.lineitem, measures, fys)
     entity = entity_dimension(tables.customer, tables.nation, tables.region)
     # Both sides grow with the data and the rows fan out right after this join, so
     # it is a merge join: broadcasting either side would leave the fan-out with the
@@ -195,7 +208,7 @@ def build_facts(tables, measures: Iterable[str] = MEASURES,
     ids = ["entity_key", "entity_name", "fy", "quarter", "window_mode", "portfolio"]
     facts = _finish(_long(named, ids, measures, buckets), derived=False)
     if headline:
-        facts = facts.unionByName(_headline(_refolded(rows, ["start_year", "quarter"], measures), measures))
+        facts = facts.unionByName(_headline(_refolded(quarters, ["start_year", "quarter"], measures), measures))
     return facts
 
 
