@@ -6,7 +6,9 @@ import pytest
 
 from factloom.plans import facts as facts_plan
 from factloom.plans.facts import build_facts
-from factloom.schema import FACT_COLUMNS
+from factloom.schema import FACT_COLUMNS, NATURAL_KEY
+from factloom.sources import pages
+from factloom.sources.pages import PageIndex
 from factloom.sources.snapshots import SnapshotStore
 from factloom.sources.tables import Tables
 
@@ -57,3 +59,18 @@ def test_a_snapshot_is_written_by_the_tasks_that_make_it(spark, folder, tmp_path
     other = facts.selectExpr(*[f"{c} + 1 AS {c}" if c == "value" else c for c in FACT_COLUMNS])
     assert store.write(other, "all", "fy", ["x"], "1").dataset_id == 2 and len(asked) == 2
     facts.unpersist()
+
+
+def test_a_task_writes_many_files_of_a_page_index(spark, folder, tmp_path, monkeypatch):
+    facts = build_facts(Tables(spark, folder), folded=True)
+    index = PageIndex.build(facts, str(tmp_path / "p"), NATURAL_KEY, 50)
+    files = index._stored().inputFiles()
+    assert len(files) == -(-facts.count() // 50) and {re.search(r"part-(\d+)", f).group(1) for f in files} == {"00000"}
+    monkeypatch.setattr(pages, "TASK_ROWS", 400)
+    several = PageIndex.build(facts, str(tmp_path / "q"), NATURAL_KEY, 50)
+    assert several.page(10_000).collect() == index.page(10_000).collect()
+    for offset in (0, 390, 801):
+        assert several.page(70, offset).collect() == index.page(70, offset).collect()
+    monkeypatch.setattr(pages, "FILES", 7)
+    few = PageIndex.build(facts, str(tmp_path / "r"), NATURAL_KEY, 1)
+    assert few.index().count() <= 7 + facts.count() // 400 + 1 and few.page(33, 500).collect() == index.page(33, 500).collect()
