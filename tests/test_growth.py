@@ -11,6 +11,7 @@ from factloom.sources import pages
 from factloom.sources.pages import PageIndex
 from factloom.sources.snapshots import SnapshotStore
 from factloom.sources.tables import Tables
+from factloom.suite import load
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,13 @@ def test_a_task_writes_many_files_of_a_page_index(spark, folder, tmp_path, monke
     monkeypatch.setattr(pages, "FILES", 7)
     few = PageIndex.build(facts, str(tmp_path / "r"), NATURAL_KEY, 1)
     assert few.index().count() <= 7 + facts.count() // 400 + 1 and few.page(33, 500).collect() == index.page(33, 500).collect()
+
+
+def test_doubled_facts_are_made_once(spark, folder):
+    found = load()[0]["fact_duplicates"](spark, folder)
+    # a stack of the facts, one of their latest year and a headline each
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate stack") <= 4
+    got = {tuple(r) for r in found.collect()}
+    annual = build_facts(Tables(spark, folder)).collect()
+    last = max(r["fy"] for r in annual)
+    assert got == {(r["entity_key"], r["fy"], None, r["measure"], r["bucket"], 2) for r in annual if r["fy"] != last} and got
