@@ -21,7 +21,7 @@ import functools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow import ends_of, flat, mixed, ranges, steps
+from factloom.llm.arrow import ends_of, flat, lean, mixed, ranges, steps
 from factloom.llm.tables import kept
 
 #: Ids of a shard, entries of an index bucket, bytes of text of a task.
@@ -41,6 +41,8 @@ TASKS = 20_000
 FEW = 1_000
 #: Distinct words that an encoder remembers, and that it hands to the library at once.
 MEMORY, CHUNK = 1 << 20, 1 << 16
+#: Bytes of text encoded at once: a worker holds about 20 times as many.
+STEP = 4 << 20
 
 _TAIL, _MAGIC = struct.Struct("<QQQQ"), b"FLIDS01\n"
 
@@ -139,6 +141,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoded(encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch, size: int = STEP
+            ) -> Iterator[tuple[list[str | None], np.ndarray, np.ndarray]]:
+    """(keys, ids of each text, counted; all ids) of about ``size`` bytes of text at a time."""
+    for step in steps(batch, "text", size):
+        yield step.column("key").to_pylist(), *encode(step.column("text"))
+
+
 # --- shards -----------------------------------------------------------------------------
 
 def packed(ids: list[np.ndarray], sizes: list[int], keys: list[str | None], width: int) -> bytes:
@@ -185,10 +194,9 @@ def write(df: DataFrame, key: str, text: str, path: str, end: int, folder: str,
             return pa.RecordBatch.from_pydict({"shard": [f"s{part:06d}-{shard:06d}"], "payload": pa.array([packed(ids, sizes, keys, encode.width)], pa.binary())})
 
         for batch in batches:
-            for step in steps(batch, "text", task_bytes):
-                counts, made = encode(step.column("text"))
+            for names, counts, made in encoded(encode, batch, min(task_bytes, STEP)):
                 ends = ends_of(counts)
-                for i, name in enumerate(step.column("key").to_pylist()):
+                for i, name in enumerate(names):
                     ids += [made[ends[i]: ends[i + 1]], np.array([end], np.uint32)]
                     sizes.append(int(counts[i]) + 1)
                     keys.append(name)
@@ -199,7 +207,7 @@ def write(df: DataFrame, key: str, text: str, path: str, end: int, folder: str,
         if keys:
             yield closed()
 
-    made = rows.select(F.col("key").cast("string").alias("key"), "text").mapInArrow(run, "shard string, payload binary")
+    made = rows.select(F.col("key").cast("string").alias("key"), "text").mapInArrow(lean(run), "shard string, payload binary")
     # rows of the text writer are bytes as they come and one line end, which is the shard's last byte
     made.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(f"{folder}/shards")
     _indexed(df.sparkSession, folder, bucket)

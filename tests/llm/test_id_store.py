@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -127,3 +128,17 @@ def test_the_query(spark):
         want.append((k, start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
         start += len(ids) + 1
     assert sorted(map(tuple, QUERIES["op11_id_store"](spark, folder).collect())) == want
+
+
+def test_texts_are_encoded_a_few_megabytes_at_a_time():
+    texts = ["word " * 2000] * 900
+    batch = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(900)], "text": texts})
+    seen = []
+
+    def encode(column):
+        seen.append(sum(map(len, column.to_pylist())))
+        return np.ones(len(column), np.int64), np.arange(len(column))
+
+    made = list(id_store.encoded(encode, batch))
+    assert [k for keys, _, _ in made for k in keys] == batch.column("key").to_pylist()
+    assert sum(seen) == 900 * 10_000 and max(seen) <= id_store.STEP < id_store.TASK_BYTES
