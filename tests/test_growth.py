@@ -3,17 +3,18 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from factloom.operators.sequence import placed
 from factloom.plans import facts as facts_plan
 from factloom.plans.facts import build_facts
 from factloom.schema import FACT_COLUMNS, NATURAL_KEY
-from factloom.sources import pages
+from factloom.sources import pages, snapshots
 from factloom.sources.pages import PageIndex
 from factloom.sources.snapshots import SnapshotStore
 from factloom.sources.tables import Tables
 from factloom.suite import load
 
-
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Orders of 40 customers over four years, one line item each."""
@@ -85,3 +86,46 @@ def test_doubled_facts_are_made_once(spark, folder):
     annual = build_facts(Tables(spark, folder)).collect()
     last = max(r["fy"] for r in annual)
     assert got == {(r["entity_key"], r["fy"], None, r["measure"], r["bucket"], 2) for r in annual if r["fy"] != last} and got
+
+
+# -- reload --------------------------------------------------------------------
+
+
+def in_order(facts):
+    """Rows by the reference's six columns, then by the others; NULL first."""
+    key = ("entity_key", "fy", "quarter", "measure_group", "measure", "bucket", "window_mode", "entity_name", "value", "derived", "portfolio")
+    got = [tuple(r[c] for c in FACT_COLUMNS) for r in facts.collect()]
+    places = [FACT_COLUMNS.index(c) for c in key]
+    return sorted(got, key=lambda r: [(r[i] is not None, r[i]) for i in places])
+
+
+def test_a_snapshot_is_loaded_whole_and_in_order(spark, folder, monkeypatch):
+    """The query gives every fact with its place; nothing is summed up."""
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 200)
+    want = in_order(build_facts(Tables(spark, folder)))
+    got = sorted(load()[0]["load_snapshot"](spark, folder).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, len(want) + 1)) and {r["dataset_id"] for r in got} == {1}
+    assert [tuple(r[c] for c in FACT_COLUMNS) for r in got] == want
+
+
+def test_loaded_facts_come_in_order(spark, folder, tmp_path, monkeypatch):
+    """Of several levels, with keys that repeat; by many tasks, by one, and of a year alone."""
+    facts = build_facts(Tables(spark, folder), levels=("fy", "single_quarter", "cumulative"), folded=True)
+    twice = facts.filter("entity_key = '7'")
+    facts = facts.unionByName(twice).unionByName(twice.withColumns({"entity_name": F.lit("A"), "portfolio": F.lit(None).cast("string")}))
+    store, want = SnapshotStore(spark, str(tmp_path / "s")), in_order(facts)
+    done = store.write(facts.repartition(5), "all", "fy", ["x"], "1")
+    for size in (100, 1 << 19):
+        monkeypatch.setattr(snapshots, "TASK_ROWS", size)
+        loaded = store.load(done.dataset_id)
+        assert loaded.rdd.getNumPartitions() == len(want) // size + 1
+        assert [tuple(r) for r in loaded.select(*FACT_COLUMNS).collect()] == want
+        year = [r for r in want if r[2] == "1996-97"]
+        assert year and [tuple(r) for r in loaded.filter("fy = '1996-97'").select(*FACT_COLUMNS).collect()] == year
+        got = placed(loaded.select(*FACT_COLUMNS)).collect()
+        assert [tuple(r)[:-1] for r in sorted(got, key=lambda r: r["place"])] == want
+        assert sorted(r["place"] for r in got) == list(range(1, len(want) + 1))
+    # as stored, for readers that sum or sort: no shuffle
+    assert "Exchange" not in store.load(done.dataset_id, ordered=False)._jdf.queryExecution().executedPlan().toString()
+    empty = store.write(facts.limit(0), "none", "fy", ["x"], "1")
+    assert placed(store.load(empty.dataset_id)).collect() == []
